@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,7 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     """Cuts batches into runs of rows of about ``size`` characters; no row is cut."""
     for batch in batches:
         start = total = 0
-        lengths = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))
+        lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
         for i, n in enumerate(lengths.to_pylist()):
             total += n or 0
             if total >= size:
