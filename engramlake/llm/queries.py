@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engramlake.llm import decontaminate, lang_id, sharding, url_filter
+from engramlake.llm import decontaminate, lang_id, packing, sharding, simhash, topk, url_filter
 from engramlake.session import ship
 
 
@@ -19,6 +19,9 @@ QUERIES = {
     q.__name__: _shipped(q)
     for q in (
         url_filter.op3_url_filters,
+        simhash.op4_simhash,
+        topk.op5_topk,
+        packing.op7_packing,
         decontaminate.op8_decontaminate,
         lang_id.op9_language_id,
         sharding.op10_sharding,
@@ -27,6 +30,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_url_filters": url_filter.oracle,
+    "op5_topk": topk.oracle,
     "op8_decontaminate": decontaminate.oracle,
     "op10_sharding": sharding.oracle,
 }
