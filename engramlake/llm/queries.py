@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engramlake.llm import decontaminate, lang_id, packing, phrases, sharding, simhash, topk, url_filter
+from engramlake.llm import decontaminate, lang_id, lm, packing, phrases, sharding, simhash, topk, url_filter
 from engramlake.session import ship
 
 
@@ -18,6 +18,7 @@ def _shipped(query):
 QUERIES = {
     q.__name__: _shipped(q)
     for q in (
+        lm.op1_lm,
         phrases.op2_phrases,
         url_filter.op3_url_filters,
         simhash.op4_simhash,
