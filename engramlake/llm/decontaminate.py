@@ -18,8 +18,6 @@ MAX_PATTERN_BYTES = 32 << 20
 _SEGMENT = 512
 _HASH_BITS = 16
 
-SPAN_SCHEMA = "doc_id {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-
 
 def _block_hash(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """Block of two word symbols."""
@@ -133,56 +131,56 @@ def pattern_sets(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
         yield held
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text: str = "text", limit: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """One row for each document: doc_id, n_words, spans (word ranges inside occurrences of a window of ``window``
-    consecutive item words; a shorter item is one window) and items (texts of the item ids that occur, sorted).
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
+         item_col: str = "item_id", item_text: str = "text", limit: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """The columns of ``keep`` with n_words, spans (word ranges inside occurrences of a window of ``window`` consecutive
+    item words; a shorter item is one window) and items (texts of the item ids that occur, sorted).
 
     Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.  Null and empty texts have no
     words and no spans; items without words match nothing; repeated rows are judged alike; other columns are
     ignored.  The tables of a pattern set are bounded by ``limit`` and broadcast; a larger benchmark is searched in
-    several passes, whose results are merged for each row.
+    further passes, each of which adds to what the passes before it found.
     """
     spark = docs.sparkSession
-    kind = docs.schema[doc_col].dataType.simpleString()
-    source = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = list(keep)
+    out = docs.select(*names, F.col(text_col).alias("__text"))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
 
-    def scan(items):
+    def search(items: list[tuple], first: bool):
         shared = spark.sparkContext.broadcast(Matcher(items, window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                found = shared.value.find(batch.column(1).to_pylist())
-                spans = [[{"start": a, "end": b} for a, b in s] for _, s, _ in found]
+            for batch in slices(batches, "__text"):
+                held = batch.to_pydict() if not first else {}
+                spans, owners, counts = [], [], []
+                for i, (n, own, x) in enumerate(shared.value.find(batch.column(len(names)).to_pylist())):
+                    if not first:
+                        own = merge_spans(own + [(s["start"], s["end"]) for s in held["__spans"][i]])
+                        x = x | set(held["__items"][i])
+                    counts.append(n)
+                    spans.append([{"start": a, "end": b} for a, b in own])
+                    owners.append(sorted(x))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([n for n, _, _ in found], pa.int64()),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                        pa.array([sorted(x) for _, _, x in found], pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "n_words", "spans", "items"],
-                )
+                    [*batch.columns[: len(names) + 1], pa.array(counts, pa.int64()),
+                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(owners, pa.list_(pa.string()))],
+                    names=[*names, "__text", "__words", "__spans", "__items"])
 
         return run
 
     sets = list(pattern_sets(benchmark, item_col, item_text, limit)) or [[]]
-    if len(sets) == 1:
-        return source.mapInArrow(scan(sets[0]), SPAN_SCHEMA.format(kind=kind))
-    numbered = source.withColumn("row", F.monotonically_increasing_id())
-    merged = None
-    for items in sets:
-        one = numbered.select(F.struct("doc_id", "row").alias("doc_id"), "text").mapInArrow(
-            scan(items), SPAN_SCHEMA.format(kind=f"struct<doc_id:{kind},row:bigint>"))
-        merged = one if merged is None else merged.unionByName(one)
-    both = merged.groupBy(F.col("doc_id.row").alias("row")).agg(
-        F.first("doc_id.doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.expr("""aggregate(s, cast(array() as array<struct<start:int,end:int>>), (acc, x) ->
-        CASE WHEN size(acc) > 0 AND element_at(acc, -1).end >= x.start
-             THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
-             ELSE concat(acc, array(x)) END)""")
-    return both.select("doc_id", "n_words", joined.alias("spans"), "items")
+    for k, items in enumerate(sets):
+        out = out.mapInArrow(search(items, k == 0), schema + ", __text string, __words long, __spans array<struct<start:int,end:int>>, __items array<string>")
+    return out.select(*names, F.col("__words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
+
+
+def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -193,7 +191,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return digest(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:

@@ -239,19 +239,18 @@ def predict(docs: DataFrame, model: Crf, doc_col: str = "doc_id", text_col: str
     The model is broadcast; its size is fixed by its number of buckets and labels.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [docs.schema[c] for c in (doc_col, *keep)]
+    own = [docs.schema[c] for c in dict.fromkeys((doc_col, *keep))]
+    names = [f.name for f in own]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 2 << 20):
-            at = batch.schema.get_field_index("__text")
-            said = shared.value.predict(batch.column(at).to_pylist())
-            held = [batch.column(i) for i in range(batch.num_columns) if i != at]
+        for batch in slices(batches, text_col, 2 << 20):
+            said = shared.value.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*held, pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())],
-                names=[*(f.name for f in own), "lang_pred", "score"])
+                [*batch.columns[: len(names)], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())],
+                names=[*names, "lang_pred", "score"])
 
-    return docs.select(*(f.name for f in own), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*names, *([] if text_col in names else [text_col])).mapInArrow(run, schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engramlake.llm import decontaminate, lang_id, lm, packing, phrases, sharding, simhash, topk, url_filter
+from engramlake.llm import decontaminate, lang_id, line_dedup, lm, packing, phrases, sharding, simhash, topk, url_filter
 from engramlake.session import ship
 
 
@@ -23,6 +23,7 @@ QUERIES = {
         url_filter.op3_url_filters,
         simhash.op4_simhash,
         topk.op5_topk,
+        line_dedup.op6_line_dedup,
         packing.op7_packing,
         decontaminate.op8_decontaminate,
         lang_id.op9_language_id,
@@ -34,6 +35,7 @@ ORACLES = {
     "op2_phrases": phrases.oracle,
     "op3_url_filters": url_filter.oracle,
     "op5_topk": topk.oracle,
+    "op6_line_dedup": line_dedup.oracle,
     "op8_decontaminate": decontaminate.oracle,
     "op10_sharding": sharding.oracle,
 }

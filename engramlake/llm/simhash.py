@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import first_of_runs, lower_words, materialize, shard_count, slices, table
+from engramlake.llm.common import first_of_runs, lower_words, materialize, mix64, shard_count, slices, table
 from engramlake.llm.components import components
 
 SHINGLE = 4
@@ -98,11 +98,13 @@ def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def near_pairs(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars over the pairs (home member, member) of one anchor within ``threshold``; pairs are formed in bounded
-    runs, and a run's pairs are reduced to stars before they leave."""
+def near_pairs(anchor: np.ndarray, home: np.ndarray, prints: list[tuple[list[np.ndarray], int]], node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars over the pairs (home member, member) of one anchor; ``prints`` are fingerprints as words of 64 bits, each
+    with the largest number of bits in which a pair may differ.  Pairs are formed in bounded runs, and a run's
+    pairs are reduced to stars before they leave."""
     order = np.lexsort((~home, anchor))
-    anchor, fp, home = anchor[order], fp[order], home[order]
+    anchor, home, node = anchor[order], home[order], node[order]
+    prints = [([w[order] for w in words], most) for words, most in prints]
     cut = np.flatnonzero(first_of_runs(anchor))
     end = np.concatenate([cut[1:], [len(anchor)]])
     group = np.cumsum(first_of_runs(anchor)) - 1
@@ -117,9 +119,15 @@ def near_pairs(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold:
         n = size[at:to]
         left = np.repeat(homes[at:to], n)
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at:to], n)
-        close = (np.bitwise_count(fp[left] ^ fp[right]) <= threshold) & (left != right)
-        if close.any():
-            yield star_edges(fp[left[close]].view(np.int64), fp[right[close]].view(np.int64))
+        apart = left != right
+        left, right = left[apart], right[apart]
+        for words, most in prints:
+            far = np.zeros(len(left), np.int64)
+            for w in words:
+                far += np.bitwise_count(w[left] ^ w[right])
+            left, right = left[far <= most], right[far <= most]
+        if len(left):
+            yield star_edges(node[left], node[right])
         at = to
 
 
@@ -135,34 +143,96 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_col: str = "doc_id
     return docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, partitions: int = 64) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints ``fp`` as the pairs within ``threshold`` do."""
+def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, partitions: int = 64,
+                      checks: tuple[str, ...] = (), most: int = 0) -> DataFrame:
+    """Edges (a, b) that connect the rows of ``distinct`` as the pairs within ``threshold`` do.
+
+    ``fp`` is the fingerprint, ``node`` names a row.  ``checks`` are further words of a second fingerprint, in
+    which a linked pair may differ in at most ``most`` bits."""
     codes = covering(threshold, blocks)
+    names = ["anchor", "home", "node", "fp", *checks]
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            x = cols[1].view(np.uint64)
             for k, code in enumerate(codes):
                 for i in range(0, len(x), 1 << 14):
-                    part = x[i : i + (1 << 14)]
-                    who, anchor, home = code.anchors(part)
+                    who, anchor, home = code.anchors(x[i : i + (1 << 14)])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((anchor.astype(np.int64) << 3) | k), pa.array(part[who].view(np.int64)), pa.array(home)],
-                        names=["anchor", "fp", "home"])
+                        [pa.array((anchor.astype(np.int64) << 3) | k), pa.array(home), *(pa.array(c[i + who]) for c in cols)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held)
-        anchor, fp, home = (t.column(i).to_numpy() for i in range(3))
-        for a, b in near_pairs(anchor, fp.view(np.uint64), home, threshold):
+        anchor, home, node, fp, *rest = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        prints = [([fp.view(np.uint64)], threshold)] + ([([c.view(np.uint64) for c in rest], most)] if rest else [])
+        for a, b in near_pairs(anchor, home, prints, node):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    copies = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
+    schema = "anchor long, home boolean, node long, fp long" + "".join(f", {c} long" for c in checks)
+    copies = distinct.select("node", "fp", *checks).mapInArrow(replicate, schema)
     return copies.repartition(partitions, "anchor").mapInArrow(compare, "a long, b long")
 
 
+SIMILARITY = 0.8
+STAGE_SHINGLE = 5
+STAGE_THRESHOLD = 7
+STAGE_BLOCKS = 4
+CHECK_WORDS = 4
+
+
+def check_bits(similarity: float, bits: int = 64 * CHECK_WORDS) -> int:
+    """Bits in which fingerprints of sets of this Jaccard similarity differ on average, and one standard deviation."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = STAGE_SHINGLE, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, fp, c0 .. c3): fp over a text's distinct words, c0 .. c3 the 256-bit fingerprint over its distinct
+    shingles.  ``row`` numbers the rows of a stored table."""
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for text in batch.column(2).to_pylist():
+                found = lower_words(text)
+                h = np.unique(shingle_hashes(found, shingle))
+                out.append([fingerprint(shingle_hashes(list(dict.fromkeys(found)), 1))] + [
+                    fingerprint(h if not j else mix64(h + np.uint64(j))) for j in range(CHECK_WORDS)])
+            cols = np.array(out, np.uint64).reshape(-1, 1 + CHECK_WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(cols[:, j])) for j in range(1 + CHECK_WORDS))],
+                names=["row", "doc_id", "fp", *(f"c{j}" for j in range(CHECK_WORDS))])
+
+    kind = docs.schema[doc_col].dataType.simpleString()
+    return source.mapInArrow(run, f"row long, doc_id {kind}, fp long" + "".join(f", c{j} long" for j in range(CHECK_WORDS)))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE,
+                         threshold: int = STAGE_THRESHOLD, blocks: int = STAGE_BLOCKS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without all but one document of each group of near-duplicates: the one with the smallest id stays
+    (null ids come last, then the earlier row).
+
+    Candidates are documents whose 64-bit fingerprints over distinct words differ in at most ``threshold`` bits.
+    They are linked if their 256-bit fingerprints over distinct shingles of ``shingle`` words differ in no more bits
+    than a Jaccard similarity of ``similarity`` makes likely (see :func:`check_bits`); links are followed.  Null
+    and empty texts are one group.  ``docs`` must be a stored table, whose rows can be read again in one order.
+    """
+    checks = tuple(f"c{j}" for j in range(CHECK_WORDS))
+    prints = materialize(wide_fingerprints(docs, shingle, doc_col, text_col), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
+    classes = materialize(prints.groupBy("fp", *checks).agg(first).withColumn("node", F.col("first.row")), "classes")
+    links = link_fingerprints(classes, threshold, blocks, shard_count(classes, 1 << 16, 24), checks, check_bits(similarity))
+    roots = components(links, "near")
+    alone = classes.join(roots, "node", "left_anti").select("node")
+    groups = roots.join(classes, "node").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("node"))
+    kept = alone.union(groups).withColumnRenamed("node", "__row")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, blocks: int = BLOCKS,
                     doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: doc_id, fp (long) and component_id, the smallest doc_id that links reach.
@@ -173,7 +243,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     """
     fps = materialize(fingerprints(docs, shingle, doc_col, text_col), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = fps.select("fp").distinct()
+    distinct = fps.select("fp").distinct().withColumn("node", F.col("fp"))
     links = link_fingerprints(distinct, threshold, blocks, shard_count(fps, 1 << 16, 24))
     roots = components(links, "simhash")
     low = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("first").alias("component_id"))
