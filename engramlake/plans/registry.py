@@ -23,3 +23,8 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return put
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from engramlake.plans import relational  # noqa: F401
