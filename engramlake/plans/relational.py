@@ -204,7 +204,7 @@ def query_class(spark, d):
     return M.table(spark, d, "conversations").select("conv_id", "turn", X.classify_query(F.col("text")).alias("class"))
 
 
-MENTION_QUERY = "what did FRANCE and united-states export to Saudi Arabia, kenya or Iran"
+MENTION_QUERY = "what did NATION-3, nation_17 and the middle   east sell to Supplier#000000042 in asia"
 NORM = r"trim(regexp_replace(translate(lower({c}), '-_/.', '    '), '\s+', ' ', 'g'))"
 
 
@@ -336,11 +336,11 @@ def evidence_merge(spark, d):
     return e.groupBy("id").agg(F.max("s").alias("similarity"))
 
 
-@query("s2_3_17_unique_candidate", "WITH u AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name HAVING count(*) = 1) SELECT p.p_partkey, u.k FROM part p JOIN u ON p.p_name = u.p_name")
+@query("s2_3_17_unique_candidate", "WITH n AS (SELECT p_partkey, p_name || p_brand || p_type AS name FROM part), u AS (SELECT name, min(p_partkey) AS k FROM n GROUP BY name HAVING count(*) = 1) SELECT n.p_partkey, u.k FROM n JOIN u USING (name)")
 def unique_candidate(spark, d):
-    p = M.table(spark, d, "part").select("p_partkey", "p_name")
-    u = p.groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.count(F.lit(1)).alias("n")).where("n = 1").select("p_name", "k")
-    return p.join(u, "p_name").select("p_partkey", "k")
+    p = M.table(spark, d, "part").select("p_partkey", F.concat("p_name", "p_brand", "p_type").alias("name"))
+    u = p.groupBy("name").agg(F.min("p_partkey").alias("k"), F.count(F.lit(1)).alias("n")).where("n = 1").select("name", "k")
+    return p.join(u, "name").select("p_partkey", "k")
 
 
 @query("s2_6_1_top_k", f"{OBS} SELECT id, importance FROM observations ORDER BY importance DESC, id LIMIT 10")
