@@ -107,8 +107,10 @@ def trigram_similarity(c: Column, other: Column | str) -> Column:
 
 
 def term_frequencies(c: Column, terms: list[str]) -> list[Column]:
-    t = tokens(c)
-    return [F.size(F.filter(t, lambda w, x=x: w == x)) for x in terms]
+    def count(term: str) -> Column:
+        return F.size(F.filter(tokens(c), lambda w: w == term))
+
+    return [count(t) for t in terms]
 
 
 def rank_any(c: Column, terms: list[str]) -> Column:
