@@ -27,7 +27,7 @@ from engramlake.llm.common import (
 
 WINDOW = 13
 SEED = 5
-PATTERNS_PER_AUTOMATON = 50_000
+PATTERNS_PER_AUTOMATON = 20_000
 _ALWAYS = np.iinfo(np.int64).min
 
 
@@ -109,40 +109,66 @@ def _bits(replies: dict[int, bytes], keys: np.ndarray, n_shards: int) -> np.ndar
     return out
 
 
-def code_points(ids: np.ndarray) -> str:
-    """One character a word, past the surrogates."""
-    return (ids + np.where(ids >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
+def spelled(ids: np.ndarray, digits: int) -> str:
+    """Each word as ``digits`` characters of base 64, the first from an alphabet of its own: an automaton's nodes stay
+    narrow, and no match begins within a word."""
+    out = np.empty((len(ids), digits), "<u4")
+    rest = ids.copy()
+    for j in range(digits - 1, -1, -1):
+        out[:, j] = 64 + (rest & 63)
+        rest >>= 6
+    out[:, 0] += 64
+    return out.tobytes().decode("utf-32-le")
 
 
-def locate(block: Block, at: np.ndarray, owner: np.ndarray, window: int, limit: int = PATTERNS_PER_AUTOMATON) -> np.ndarray:
+def locate(block: Block, at: np.ndarray, owner: np.ndarray, key: np.ndarray, candidates: np.ndarray, seeds: np.ndarray, window: int,
+           limit: int = PATTERNS_PER_AUTOMATON) -> np.ndarray:
     """Which words of the block lie in an occurrence of a pattern in a document with an id above the pattern's owner.
 
-    Patterns are the windows at positions ``at``; they are compiled into automata of ``limit`` patterns each, and
-    the block's documents are streamed through every automaton.  A separator between documents stops matches."""
-    gone = np.zeros(len(block.ids) + 1, np.int32)
+    Patterns are the windows at positions ``at``, with the seeds ``key``.  They are compiled into automata of about
+    ``limit`` patterns, by ranges of seeds; through each automaton go the passages of all documents that have a
+    seed in its range (``candidates`` and their ``seeds``), for a pattern occurs nowhere else."""
+    n = len(block.ids)
+    change = np.zeros(n + 1, np.int32)
     if not len(at):
-        return gone[:-1] > 0
+        return change[:-1] > 0
     doc = block.doc_of_word()
-    starts = block.starts()
-    top = int(block.ids.max()) + 1
-    text = code_points(np.insert(block.ids, starts[1:-1], top))
-    doc_ids = block.doc_ids
-    doc_in_text = np.repeat(np.arange(len(block.lengths)), block.lengths + 1)
-    for i in range(0, len(at), limit):
+    order = np.argsort(key, kind="stable")
+    at, owner, key = at[order], owner[order], key[order]
+    order = np.lexsort((candidates, seeds))
+    candidates, seeds = candidates[order], seeds[order]
+    i = 0
+    while i < len(at):
+        j = min(i + limit, len(at))
+        j = int(np.searchsorted(key, key[j - 1], "right"))  # a seed's patterns stay together
+        lo, hi = np.searchsorted(seeds, key[i], "left"), np.searchsorted(seeds, key[j - 1], "right")
+        begin = np.sort(candidates[lo:hi])
+        new = np.ones(len(begin), bool)
+        new[1:] = (begin[1:] > begin[:-1] + window) | (doc[begin[1:]] != doc[begin[:-1]])
+        first = begin[new]
+        last = begin[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(begin) - 1]])] + window
+        size = last - first + 1  # a separator ends each passage
+        where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        stop = np.zeros(len(where), bool)
+        stop[np.cumsum(size) - 1] = True
+        known, stream = np.unique(block.ids[np.minimum(where, n - 1)], return_inverse=True)
+        stream[stop] = len(known)
+        digits = max(1, -(-int(len(known)).bit_length() // 6))
+        text = spelled(stream, digits)
+        patterns = spelled(np.searchsorted(known, block.ids[at[i:j, None] + np.arange(window)]).reshape(-1), digits)
+        width = digits * window
         automaton = ahocorasick.Automaton()
-        for a, own in zip(at[i : i + limit].tolist(), owner[i : i + limit].tolist()):
-            b = a + int(doc[a])
-            automaton.add_word(text[b : b + window], own)
+        add = automaton.add_word
+        for k, own in enumerate(owner[i:j].tolist()):
+            add(patterns[k * width : (k + 1) * width], own)
         automaton.make_automaton()
-        hits = [(end, own) for end, own in automaton.iter(text)]
-        end, own = np.array(hits, np.int64).reshape(-1, 2).T
-        begin = end - window + 1
-        d = doc_in_text[begin]
-        take = doc_ids[d] > own
-        begin = begin[take] - d[take]
-        np.add.at(gone, begin, 1)
-        np.add.at(gone, begin + window, -1)
-    return np.cumsum(gone[:-1]) > 0
+        end, own = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2).T
+        start = where[(end + 1) // digits - window]
+        start = start[block.doc_ids[doc[start]] > own]
+        np.add.at(change, start, 1)
+        np.add.at(change, start + window, -1)
+        i = j
+    return np.cumsum(change[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,7 +239,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, doc_
             low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
             elsewhere = _bits(replies.get(REPLY + 1, {}), k1, n_shards)
             confirmed = elsewhere | (low < high)
-            gone = locate(block, at[first][confirmed], np.where(elsewhere, _ALWAYS, low)[confirmed], window)
+            pattern = at[first][confirmed]
+            gone = locate(block, pattern, np.where(elsewhere, _ALWAYS, low)[confirmed], w.seeds[pattern], at, w.seeds[at], window)
         starts = block.starts()
         kept = [
             b" ".join([vocab[i] for i in block.ids[a:b][~gone[a:b]].tolist()]).decode("utf-8", "surrogatepass")
