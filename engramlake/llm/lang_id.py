@@ -219,11 +219,18 @@ class Crf:
 
 def sample_rows(docs: DataFrame, doc_col: str, text_col: str, lang_col: str, limit: int) -> list[tuple[str, str]]:
     """At most ``limit`` labelled rows, those with the smallest hash of id and text: a fixed sample that does not
-    depend on the order of the rows."""
+    depend on the order of the rows.  A cut on the hash leaves a few times ``limit`` rows to sort, so that tasks
+    send little, whatever their number; it is widened should too few pass."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = F.xxhash64(F.col(doc_col).cast("string"), F.col(text_col))
-    rows = labelled.select(lang_col, text_col, key.alias("h")).orderBy("h", lang_col, text_col).limit(limit).collect()
-    return [(r[0], r[1]) for r in rows]
+    rows = labelled.select(lang_col, text_col, key.alias("h"))
+    total, share = labelled.count(), 2.0 * limit
+    while True:
+        part = rows if share >= total else rows.where(F.col("h") < int(-(2**63) + 2**64 * (share / total)))
+        found = part.orderBy("h", lang_col, text_col).limit(limit).collect()
+        if share >= total or len(found) == limit:
+            return [(r[0], r[1]) for r in found]
+        share *= 4
 
 
 def fit(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_ROWS) -> Crf:
