@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from engramlake.plans import graphs, relational, retrieval, scalars, states, statistics  # noqa: F401
+    from engramlake.plans import graphs, relational, retrieval, scalars, sources, states, statistics  # noqa: F401
