@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_TEXT_BYTES = 24 << 20
+BLOCK_TEXT_BYTES = 12 << 20
 BLOCK_MAX_WORDS = 1_000_000
-SHARD_INPUT_BYTES = 16 << 20
+SHARD_INPUT_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
 PACKET_SCHEMA = "kind int, block long, shard int, data binary"

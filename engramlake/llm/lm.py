@@ -303,7 +303,10 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
         level = mmap.mmap(-1, len(raw))
         level.write(raw)
         trie = Trie.over(level)
-        found, code, _ = trie.lookup(ctx, word)
+        del order, first, total, at, lower
+        found, code = np.empty(len(ctx), bool), np.empty(len(ctx), np.uint8)
+        for i in range(0, len(ctx), 1 << 18):
+            found[i : i + (1 << 18)], code[i : i + (1 << 18)], _ = trie.lookup(ctx[i : i + (1 << 18)], word[i : i + (1 << 18)])
         away = quantise(prior / (seen + prior)).astype(np.int64) + low  # an unseen pair backs off, seen context or not
         code = np.where(found, code, np.minimum(away, TOP_CODE)).astype(np.uint8)
         cut = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])])
