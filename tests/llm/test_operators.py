@@ -1,0 +1,429 @@
+"""Operators against brute force, and their defined results for odd input."""
+
+import random
+
+import pytest
+
+from engramlake.llm import decontaminate, lang_id, line_dedup, lm, packing, phrases, sharding, simhash, topk, url_filter
+
+WORDS = [f"w{i}" for i in range(60)] + ["the", "of", "Été", "größe"]
+
+
+def text(rng, n):
+    return " ".join(rng.choice(WORDS) + ("\n" if rng.random() < 0.1 else "") for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(7)
+    out = []
+    for i in range(60):
+        if i % 4 == 3:
+            words = out[rng.randrange(len(out))][1].split(" ")
+            if len(words) > 5:
+                words[rng.randrange(len(words))] = "changed"
+            out.append((i, " ".join(words)))
+        elif i % 7 == 6:
+            out.append((i, text(rng, 10) + " " + " ".join(out[0][1].split()[:30]) + " " + text(rng, 10)))
+        else:
+            out.append((i, text(rng, rng.choice([0, 1, 3, 12, 40, 200]))))
+    out.append((60, None))
+    out.append((61, ""))
+    out.append((62, "  \n \t "))
+    out.append((63, "x " * 20000))
+    return out
+
+
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, rows):
+    """Extra columns whose names clash with results, a repeated row and a null id."""
+    more = [(i, t, 1.5, "kept", 3, "x", True) for i, t in [*rows, rows[5], (None, rows[63][1])]]
+    return spark.createDataFrame(more, "doc_id long, text string, score double, kept string, n_words int, block string, train boolean")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_lm_matches_brute_force(docs, rows):
+    from pyspark.sql import functions as F
+
+    from engramlake.llm.common import in_fold
+
+    got = sorted(map(tuple, lm.score_texts(docs.withColumn("train", ~in_fold(F.col("doc_id"), 7, 2))).collect()))
+    want = sorted(lm.brute_force(rows))
+    assert [(g[0], not g[1], *g[2:5]) for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert g[5] == pytest.approx(w[5], abs=1e-6)
+        assert abs(g[6] - w[6]) <= g[2] * 1.01 / lm.CODES_PER_DECADE
+
+
+def test_lm_odd_input(odd, empty):
+    from pyspark.sql import functions as F
+
+    got = lm.score_texts(odd).collect()
+    assert len(got) == odd.count() and all(r.n_tokens >= 1 for r in got)
+    assert lm.score_texts(empty.withColumn("train", F.lit(True))).count() == 0
+    nothing = lm.score_texts(odd.withColumn("train", F.lit(False))).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 for r in nothing)
+
+
+def test_elias_fano_successor():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for top, n in ((10, 5), (1000, 400), (1 << 40, 300), (50, 200)):
+        v = np.sort(rng.integers(0, top, n))
+        s = lm.EliasFano.of(v)
+        assert (s[np.arange(n)] == v).all()
+        q = rng.integers(0, top + 5, 500)
+        assert (s.successor(q) == np.searchsorted(v, q, "left")).all()
+
+
+def test_trie_round_trip(tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 40, 500), rng.integers(0, 90, 500))})
+    ctx, word = np.array([k[0] for k in keys]), np.array([k[1] for k in keys])
+    code = rng.integers(0, 255, len(keys)).astype(np.uint8)
+    trie = lm.Trie.build(ctx, word, code, np.arange(len(set(ctx)), dtype=np.uint8))
+    path = tmp_path / "trie"
+    path.write_bytes(trie.to_bytes())
+    mapped = lm.Trie.open(str(path))
+    found, got, _ = mapped.lookup(ctx, word)
+    assert found.all() and (got == code).all()
+    a, b = np.repeat(np.arange(45), 95), np.tile(np.arange(95), 45)
+    found, _, _ = mapped.lookup(a, b)
+    assert found.tolist() == [(x, y) in set(keys) for x, y in zip(a.tolist(), b.tolist())]
+
+
+def test_phrases_match_brute_force(docs, rows):
+    from pyspark.sql import functions as F
+
+    got = phrases.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    want = phrases.brute_force(rows)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert any(w[2] for w in want)
+
+
+def test_phrases_odd_input(odd, empty):
+    got = phrases.remove_repeats(odd).collect()
+    assert len(got) == odd.count()
+    last = [r for r in got if r.doc_id is None][0]
+    assert last.n_removed == last.n_words  # a null id is the largest
+    assert phrases.remove_repeats(empty).count() == 0
+
+
+def test_urls(spark):
+    rules = url_filter.RULES
+    urls = ["http://a.example.net/en/x", "http://example.net/de/", "https://EXAMPLE.com/de/1?q#f", "http://x.org/fr/", "http://net", "http://net/", "nothing", None, "",
+            "http://fr.org/fr", "http://example.net/en/?a=/x", "s://a.net#/en/", "http://" + "a." * 5000 + "net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS rule")
+    got = {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls(pages, rules).collect()}
+    want = ["allow", "block", "block", "allow", "allow", "block", "allow", "allow", "allow", "allow", "allow", "allow", "block"]
+    assert [got[i][3] for i in range(len(urls))] == want
+    assert got[0][:3] == ("a.example.net", "/en/x", "example.net/en/") and got[4][:2] == ("net", "") and got[7][:2] == ("", "")
+    joined = {r.page_id: tuple(r)[1:] for r in url_filter.judge_by_join(pages, rules, "page_id", "url", "allow").collect()}
+    assert joined == got
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_simhash_matches_brute_force(docs, rows):
+    from pyspark.sql import functions as F
+
+    got = simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
+    assert sorted(map(tuple, got.collect())) == sorted(simhash.brute_force(rows))
+
+
+def test_covering_loses_no_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for blocks, threshold in ((3, 4), (4, 7)):
+        x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        y = x.copy()
+        for i in range(len(y)):
+            for b in rng.choice(64, rng.integers(0, threshold + 1), replace=False):
+                y[i] ^= np.uint64(1) << np.uint64(b)
+        met = np.zeros(len(x), bool)
+        for code in simhash.covering(threshold, blocks):
+            home = code.decode(code.bits(x))
+            who, anchor, _ = code.anchors(y)
+            met[who[anchor == home[who]]] = True
+        assert met.all()
+
+
+def test_near_duplicate_stage(spark):
+    rng = random.Random(11)
+    base = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(250)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, t) for i, t in enumerate(base[:10])]  # exact copies
+    rows += [(200 + i, " ".join([*t.split()[:100], "edited", *t.split()[101:]])) for i, t in enumerate(base[10:20])]  # one word in 250
+    rows += [(300, None), (301, ""), (None, base[0])]
+    from engramlake.llm.common import materialize
+
+    stored = materialize(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS fp", "2 AS node"), "test")
+    kept = simhash.drop_near_duplicates(stored)
+    assert kept.columns == ["doc_id", "text", "fp", "node"]
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 300]
+    assert simhash.drop_near_duplicates(materialize(stored.limit(0), "test")).count() == 0
+
+
+def test_simhash_odd_input(odd, empty):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count() and all(r.component_id is not None for r in got)
+    zero = {r.component_id for r in got if r.fp == 0}
+    assert zero == {min(r.doc_id for r in got if r.fp == 0)}
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_topk(spark):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(-3, 4)) / 2 for _ in range(20)]) for i in range(130)] + [
+        (150, None), (200, [1.0, None] + [0.0] * 18), (250, [float("nan")] * 20), (300, [float("inf")] * 20), (None, [1.0] * 20), (350, [1.0, 2.0]), (351, [2.0, 2.0]), (400, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "'x' AS score").repartition(3)
+    ok = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and x == x and abs(x) != float("inf") for x in v)]
+    import math
+
+    want = []
+    for q, v in ok:
+        if q % 50 == 0:
+            s = sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, w)), c) for c, w in ok if c != q and len(w) == len(v))
+            want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s[:5])]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+    assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_topk_prunes_without_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    c = np.floor(256 * rng.normal(size=(64, 3000)) * 0.9 ** np.arange(64)[:, None]).astype(np.int64)
+    q = np.ascontiguousarray(c[:, :4].T) + 1
+    alive, scores = topk.branch_and_bound(q, c, 5, np.full(4, -1))
+    whole = q @ c
+    assert len(alive) < 3000
+    for i in range(4):
+        assert sorted(whole[i])[-5:] == sorted(int(x) for x in scores[i])[-5:]
+
+
+def test_line_dedup_matches_brute_force(docs, rows):
+    got = line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(line_dedup.brute_force(rows), key=str)
+
+
+def test_line_dedup_runs(spark):
+    long = "a line that is long enough to count as a run of its own"
+    short = ["one", "two", "three", "four five six seven eight nine ten"]
+    rows = [(1, "\n".join([long, "x", *short])), (2, "\n".join(["intro", *short, "outro"])), (3, long), (4, "\n".join([long, "", long])), (5, "\n".join(short[:2]))]
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {d: (n, t) for d, _, n, t in line_dedup.brute_force(rows)}
+    assert got == want
+    assert got[1][0] == 0 and got[2][1] == "intro\noutro" and got[3] == (1, "") and got[5][0] == 0
+
+
+def test_line_dedup_odd_input(odd, empty):
+    extra = odd.withColumnRenamed("score", "n_lines")
+    got = line_dedup.drop_repeated_lines(extra).collect()
+    assert len(got) == odd.count()
+    assert line_dedup.drop_repeated_lines(empty).count() == 0
+
+
+def test_packing(docs, rows, spark):
+    check_packing(packing.pack_documents(docs).collect(), rows)
+    assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def check_packing(got, rows):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {d: [*tk.encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows}
+    seen = {}
+    for r in got:
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(own) == r.length and zlib.crc32(np.array(own, "<u4").tobytes()) == r.ids_crc32
+        seen.setdefault(r.doc_id, []).append(r)
+    for d, full in ids.items():
+        parts = sorted(seen[d], key=lambda r: r.piece)
+        assert [p.piece for p in parts] == list(range(len(parts)))
+        assert sum(p.length for p in parts) == len(full) and all(p.length == 2048 for p in parts[1:])
+        assert len(parts) == 1 or len(full) > 2048
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in by.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r.length for r in got)
+    assert len(by) <= -(-total // 2048) + 1
+
+
+def test_bin_completion_beats_or_meets_best_fit():
+    rng = random.Random(9)
+    for capacity in (50, 200):
+        for _ in range(6):
+            items = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(5, 60))]
+            hist = {x: items.count(x) for x in items}
+            plan = packing.complete_bins(hist, capacity)
+            used = {}
+            for filling, times in plan:
+                assert sum(x * k for x, k in filling) <= capacity
+                for x, k in filling:
+                    used[x] = used.get(x, 0) + k * times
+            assert used == hist
+            bins = []
+            for x in sorted(items, reverse=True):
+                fit = [b for b in bins if b >= x]
+                if fit:
+                    bins.remove(min(fit))
+                    bins.append(min(fit) - x)
+                else:
+                    bins.append(capacity - x)
+            assert sum(t for _, t in plan) <= len(bins)
+    assert packing.complete_bins({}, 10) == []
+
+
+def test_tokenizers_agree(small):
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder(packing.vocabulary_path())
+    texts = pq.read_table(f"{small}/documents.parquet")["text"].to_pylist() + ["a\u00a0b  c\t\td", "日本語 emoji 😀 ñ", "1234 5'll x_y", "", " "]
+    for t in texts:
+        assert list(enc.encode_ordinary(t)) == tk.encode(t, add_special_tokens=False).ids
+
+
+ITEMS = [(1, "w1 w2 w3"), (2, None), (3, "..."), (4, " ".join(f"w{i}" for i in range(10, 30))), (5, "The Of"), (4, "w1 w2 w3 w4")]
+
+
+def test_decontamination_matches_brute_force(spark, docs, rows):
+    items = [*ITEMS, (9, " ".join((rows[0][1] or "").split()[3:40])), (10, rows[20][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS doc_id")
+    want = decontaminate.brute_force(rows, items)
+    got = decontaminate.digest(decontaminate.scan(docs, bench))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert any(w[5] for w in want)
+    sets = decontaminate.digest(decontaminate.scan(docs, bench, limit=40))
+    assert sorted(map(tuple, sets.collect())) == sorted(want)
+
+
+def test_decontamination_odd_input(spark, odd, empty):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.scan(odd, bench, keep=tuple(odd.columns))
+    assert got.count() == odd.count()
+    assert decontaminate.scan(empty, bench).count() == 0
+    assert decontaminate.digest(decontaminate.scan(odd, bench.limit(0))).where("contaminated").count() == 0
+
+
+def test_language_id(spark, small):
+    got = lang_id.op9_language_id(spark, small).join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = got.where("held_out").collect()
+    assert len(held) > 40 and sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in held)
+
+
+def test_language_id_odd_input(spark, small, odd, empty):
+    model = lang_id.fit(spark.read.parquet(f"{small}/documents.parquet"), sample=60)
+    got = lang_id.predict(odd, model, keep=("kept",)).collect()
+    assert len(got) == odd.count()
+    assert {r.lang_pred for r in got if r.doc_id in (60, 61, 62)} == {"und"}
+    assert lang_id.predict(empty, model).count() == 0
+    none = lang_id.fit(empty.selectExpr("*", "cast(null AS string) AS lang"))
+    assert {r.lang_pred for r in lang_id.predict(odd, none).collect()} == {"und"}
+
+
+def test_language_id_code_switching(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = {r.lang: r.text for r in docs.orderBy("doc_id").collect()}
+    model = lang_id.fit(docs)
+    first, second = sorted(rows)[:2]
+    mixed = " ".join(rows[first].split()[:30]) + " " + " ".join(rows[second].split()[:30])
+    found, size, gamma = model.label_words([mixed])
+    best = [model.labels[i] for i in gamma.argmax(1)]
+    half = len(best) // 2
+    assert best[: half - 5].count(first) > 0.8 * (half - 5) and best[half + 5 :].count(second) > 0.8 * (half - 5)
+
+
+def test_forward_backward_is_exact():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (1, 3, 7):
+        emit, trans, init = rng.normal(size=(n, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+        begins = np.zeros(n, bool)
+        begins[0] = True
+        gamma, pairs, firsts, z = lang_id.marginals(emit, begins, trans, init)
+        weight = {}
+        for path in itertools.product(range(3), repeat=n):
+            s = init[path[0]] + sum(emit[i, y] for i, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:]))
+            weight[path] = np.exp(s)
+        total = sum(weight.values())
+        want = np.zeros((n, 3))
+        for path, x in weight.items():
+            for i, y in enumerate(path):
+                want[i, y] += x / total
+        assert np.allclose(gamma, want) and np.isclose(z, np.log(total)) and np.isclose(pairs.sum(), n - 1) and np.allclose(firsts, want[0])
+    emit = rng.normal(size=(300, 3))
+    begins = rng.random(300) < 0.05
+    begins[0] = True
+    whole = lang_id.marginals(emit, begins, trans, init)[0]
+    cuts = [*np.flatnonzero(begins), 300]
+    for a, b in zip(cuts, cuts[1:]):
+        one = np.zeros(b - a, bool)
+        one[0] = True
+        assert np.allclose(whole[a:b], lang_id.marginals(emit[a:b], one, trans, init)[0])
+
+
+def test_sharding(spark, odd, empty):
+    from collections import Counter
+
+    owner = sharding.lookup_table(sharding.shard_names(7), 101)
+    assert max(Counter(owner).values()) - min(Counter(owner).values()) <= 1
+    fewer = sharding.lookup_table(sharding.shard_names(6), 101)
+    moved = sum(a != b for a, b in zip(owner, fewer) if a != 6)
+    assert moved < 30  # most slots keep their shard when one leaves
+    got = sharding.assign_shards(odd).collect()
+    assert len(got) == odd.count() and len({r.shard for r in got if r.doc_id == 5}) == 1
+    assert sharding.assign_shards(empty).count() == 0
+    for bad in ((["a", "a"], 7), (["a"], 8), ([], 7)):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(*bad)
+
+
+def test_pipeline_stages(spark, small):
+    import corpus_pipeline
+    from engramlake.llm.common import materialize
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = materialize(stage(spark, docs, small), f"test-{name}")
+        assert docs.columns == columns and docs.count() <= before.count()
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, small).collect()
+    check_packing(last, [(r.doc_id, r.text) for r in docs.collect()])
+    nothing = materialize(spark.read.parquet(f"{small}/documents.parquet").limit(0), "test")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, small).count() == 0
