@@ -138,12 +138,12 @@ def autolink(spark, d):
 
 @query("s2_10_15_path_pruning")
 def path_pruning(spark, d):
-    p = G.paths(M.trade(spark, d), F.col("x").isin("n:1", "n:2"), 3)
+    p = G.paths(M.trade(spark, d), F.lit(True), 3)
     scored = p.select(F.element_at("path", 1).alias("start"), F.array_join("path", ">").alias("id"), F.size("path").alias("n_nodes"), rd(F.col("strength") / (1 + F.col("depth")), 8).alias("score"))
     return G.prune_paths(scored, "start")
 
 
-@query("s2_10_16_visited_bfs", f"{bfs_sql()} SELECT node, d FROM s WHERE source = 'n:1'")
+@query("s2_10_16_visited_bfs", f"{bfs_sql()} SELECT node, min(d) AS d FROM (SELECT node, d FROM s WHERE source = 'n:1' UNION ALL SELECT 'n:1', 0) GROUP BY node")
 def visited(spark, d):
     t = M.trade(spark, d)
     e = t.select("src", "dst").union(t.where("bidirectional").select("dst", "src"))

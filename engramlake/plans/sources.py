@@ -94,7 +94,7 @@ def vault(spark, d):
     return B.wikilinks(M.entities(spark, d), M.trade(spark, d))
 
 
-@query("s2_3_16_recursive_join", f"""{M.cte('trade')}, w AS (SELECT DISTINCT src AS node, 0 AS depth FROM trade WHERE src = 'n:4' UNION SELECT t.dst, w.depth + 1 FROM w JOIN trade t ON t.src = w.node WHERE w.depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
+@query("s2_3_16_recursive_join", f"""{M.cte('trade')}, w AS (SELECT 'n:4' AS node, 0 AS depth UNION SELECT t.dst, w.depth + 1 FROM w JOIN trade t ON t.src = w.node WHERE w.depth < 4) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def recursive_join(spark, d):
     """Levels are unrolled joins: recursion with UNION (distinct) isn't offered, and UNION ALL repeats rows."""
     from engramlake.operators.graph import distances
