@@ -27,7 +27,7 @@ from engramlake.llm.common import (
 
 WINDOW = 13
 SEED = 5
-PATTERNS_PER_AUTOMATON = 20_000
+PATTERNS_PER_AUTOMATON = 1_000
 _ALWAYS = np.iinfo(np.int64).min
 
 
