@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions import scores as S
+from engramlake.operators.ordering import prefix_sums
 
 
 def ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, n, first): how often each value occurs and the 1-based rank of its first occurrence in ascending order."""
     per = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)) + 1)
+    return prefix_sums(per, [F.asc(value)], "n", "first").withColumn("first", F.col("first") + 1)
 
 
 def at_rank(df: DataFrame, value: str, wanted: list[tuple[str, Column]]) -> DataFrame:

@@ -9,6 +9,7 @@ from engramlake.functions import scores as S
 from engramlake.functions import text as X
 from engramlake.functions import vectors as V
 from engramlake.operators import relational as R
+from engramlake.operators.ordering import global_rank
 from engramlake.plans import model as M
 from engramlake.plans.registry import query
 
@@ -247,10 +248,8 @@ def left_join(spark, d):
 @query("s2_3_3_self_join_similar", f"""{OBS}, g AS (SELECT id, entity, session, {gram('left(content, 200)')} AS t FROM observations WHERE kind <> 'superseded')
  SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.entity = b.entity AND a.id < b.id AND {sim('a.t', 'b.t')} > 0.8""")
 def self_join(spark, d):
-    o = R.active(M.observations(spark, d)).select("id", "entity", X.trigrams(X.cut(F.col("content"), 200)).alias("t"))
-    a, b = o.alias("a"), o.alias("b")
-    j = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.id") < F.col("b.id")) & (F.size("a.t") >= F.size("b.t") * 0.8) & (F.size("b.t") >= F.size("a.t") * 0.8))
-    return j.where(X.jaccard(F.col("a.t"), F.col("b.t")) > 0.8).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    o = R.active(M.observations(spark, d)).select("id", "entity", X.cut(F.col("content"), 200).alias("head"))
+    return R.similar_names(o, "id", "head", 0.8, within="entity").select("a", "b")
 
 
 @query("s2_3_4_similarity_join", f"""WITH g AS (SELECT p_partkey AS id, {gram('p_name')} AS t FROM part WHERE p_partkey IS NOT NULL)
@@ -350,12 +349,7 @@ def top_k(spark, d):
 
 @query("s2_6_2_stable_order", f"{OBS} SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS rank FROM observations")
 def stable_order(spark, d):
-    """Ranks without one task: counts per importance give each value's first rank, rows are ranked within it."""
-    o = M.observations(spark, d).select("id", "importance")
-    per = o.groupBy("importance").agg(F.count(F.lit(1)).alias("n"))
-    before = per.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("importance")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = o.withColumn("r", F.row_number().over(Window.partitionBy("importance").orderBy("id")))
-    return inner.join(before, "importance").select("id", (F.col("base") + F.col("r")).alias("rank"))
+    return global_rank(M.observations(spark, d).select("id", "importance"), [F.desc("importance"), F.asc("id")]).select("id", "rank")
 
 
 @query("s2_6_3_nulls_last", f"{OBS} SELECT id, quality FROM observations ORDER BY quality DESC NULLS LAST, id LIMIT 50")
