@@ -100,6 +100,7 @@ def repeated_runs(keyed: DataFrame, least: int = MIN_CHARS) -> DataFrame:
         key = ["n", "r1"] if h == 1 else ["n", "r1", "r2"]
         whole = materialize(whole.select(*_KEY, "start", *key), "runs")
         first = whole.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        first = materialize(first, "first")  # a plain join of two tables, whose hot keys can be split
         found = whole.join(first, key).where(F.col("first") < place).select(*_KEY, "start", "n")
         later = found if later is None else later.union(found)
         if 2 * h <= longest:
