@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     low = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("first").alias("component_id"))
     linked = roots.join(low, "root").select("node", "component_id")
     labels = classes.join(linked, classes.fp == linked.node, "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    labels = materialize(labels, "labels")  # a plain join of two tables, whose hot keys can be split
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
