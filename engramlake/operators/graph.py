@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import scores as S
-from engramlake.lineage import cut
+from engramlake.lineage import cut, discard
 
 #: Edges of the largest graph whose adjacency is broadcast.
 MAX_BROADCAST_EDGES = 2_000_000
@@ -103,6 +103,7 @@ def page_rank(edges: DataFrame, seeds: list | None = None, damping: float = 0.85
         return nodes.select("node", F.lit(0.0).alias("rank"))
     share = F.lit(1.0 / n) if not seeds else F.when(F.col("node").isin(seeds), 1.0 / len(seeds)).otherwise(0.0)
     ranks = nodes.select("node", "dangling", share.alias("share"), F.lit(1.0 / n).alias("rank"))
+    stored = None
     for k in range(1, iterations + 1):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         got = ranks.join(p, ranks.node == p.src).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
@@ -110,7 +111,10 @@ def page_rank(edges: DataFrame, seeds: list | None = None, damping: float = 0.85
         ranks = step.select("node", "dangling", "share", (
             (1 - damping) * F.col("share") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("share"))).alias("rank"))
         if k % CUT_EVERY == 0:
-            ranks = cut(ranks, "rank")
+            last, ranks = stored, cut(ranks, "rank")
+            stored = ranks
+            if last is not None:
+                discard(last)
     return ranks.select("node", "rank")
 
 
@@ -154,6 +158,7 @@ def core_numbers(edges: DataFrame) -> DataFrame:
             stay = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("src").alias("node"))
             rest = cut(e.join(stay, e.src == stay.node, "left_semi").join(stay, e.dst == stay.node, "left_semi"), "core")
             if rest.count() == e.count():
+                discard(rest)
                 break
             e = rest
         inside = e.select(F.col("src").alias("node"), F.lit(k).alias("core")).distinct()
@@ -222,9 +227,11 @@ def connected(edges: DataFrame, most: int = 60) -> DataFrame:
         # jump: a label's own label
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("higher"))
         new = cut(new.join(up, "component", "left").select("node", F.least("component", F.coalesce("higher", "component")).alias("component")), "labels")
-        if not new.exceptAll(labels).limit(1).count():
-            return new
+        settled = not new.exceptAll(labels).limit(1).count()
+        discard(labels)
         labels = new
+        if settled:
+            return labels
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
