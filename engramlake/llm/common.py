@@ -8,8 +8,6 @@ block, whatever share of the rows holds it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramlake.lineage import cut
+
 BLOCK_TEXT_BYTES = 12 << 20
 BLOCK_MAX_WORDS = 1_000_000
 SHARD_INPUT_BYTES = 4 << 20
@@ -39,22 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="engramlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table: lineage is cut and the rows survive
-    the loss of an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: lineage is cut and the rows survive the loss of an executor."""
+    return cut(df, label, "zstd")
 
 
 def shard_count(df: DataFrame, per_shard: int = SHARD_INPUT_BYTES, least: int = 24) -> int:

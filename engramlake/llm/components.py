@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.lineage import discard
 from engramlake.llm.common import materialize
 
 
@@ -28,6 +29,8 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 60
         least = large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m"))
         # small star: a node and its lower neighbours hang on the least of them
         near = large.join(least, large.hi == least.n)
-        e = near.select("hi", F.col("m").alias("lo")).union(near.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
-        e = materialize(e, label)
+        new = near.select("hi", F.col("m").alias("lo")).union(near.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
+        new = materialize(new, label)
+        discard(e)
+        e = new
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
