@@ -27,3 +27,14 @@ def prefix_sums(df: DataFrame, order: list[Column], amount: str, into: str = "be
 def global_rank(df: DataFrame, order: list[Column], into: str = "rank") -> DataFrame:
     """1-based ranks of all rows in a total order."""
     return prefix_sums(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", into).withColumn(into, F.col(into) + 1).drop("__one")
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], into: str = "rank") -> DataFrame:
+    """1-based ranks of all rows of each key in a total order; a hot key is spread over ranges like any other."""
+    ranked = global_rank(df, [*(F.asc(k) for k in keys), *order], "__rank")
+    first = ranked.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("__rank").alias("__first"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = ranked.join(first, same).withColumn(into, F.col("__rank") - F.col("__first") + 1)
+    return out.drop("__rank", "__first", *[f"__{k}" for k in keys])

@@ -326,7 +326,7 @@ def nearest(spark, d):
 @query("s2_3_14_chunk_parent_max", "SELECT conv_id, max(length(text)) AS best FROM (SELECT conv_id, text FROM conversations UNION ALL SELECT doc_id, text FROM documents) GROUP BY conv_id")
 def chunk_parent(spark, d):
     c = M.table(spark, d, "conversations").select("conv_id", "text").union(M.table(spark, d, "documents").select("doc_id", "text"))
-    return c.groupBy("conv_id").agg(F.max(F.length("text")).alias("best"))
+    return c.groupBy("conv_id").agg(F.max(F.length("text").cast("long")).alias("best"))
 
 
 @query("s2_3_15_evidence_merge", f"{M.cte('observations', 'verify_log')} SELECT id, max(s) AS similarity FROM (SELECT id, importance AS s FROM observations UNION ALL SELECT id, confidence FROM verify_log) GROUP BY id")

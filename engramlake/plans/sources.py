@@ -28,7 +28,7 @@ def jsonl_reader(spark, d):
     return B.read_eval(spark, path).select("query", "relevant_ids")
 
 
-@query("s2_1_4_builtin_eval", "SELECT 3 AS questions, 1 AS abstain")
+@query("s2_1_4_builtin_eval", "SELECT 3::BIGINT AS questions, 1::BIGINT AS abstain")
 def builtin_eval(spark, d):
     return B.builtin_eval(spark).agg(F.count(F.lit(1)).alias("questions"), F.count_if("abstain").alias("abstain"))
 

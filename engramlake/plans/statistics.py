@@ -9,6 +9,7 @@ from engramlake.functions import scores as S
 from engramlake.functions import text as X
 from engramlake.operators import relational as R
 from engramlake.operators import stats as T
+from engramlake.operators.ordering import rank_within
 from engramlake.plans import model as M
 from engramlake.plans.registry import query
 from engramlake.plans.relational import rd, tok
@@ -199,7 +200,7 @@ def ranked(spark, d):
     """Each entity is a query; its notes by importance are the ranking, labelled quality is relevance."""
     o = M.observations(spark, d).select("entity", "id", "importance", F.coalesce("quality", F.lit(0)).alias("rel"))
     total = o.groupBy("entity").agg(F.sum("rel").alias("total"))
-    shown = R.newest_per(o, ["entity"], [F.desc("importance"), F.asc("id")], 1 << 30)
+    shown = rank_within(o, ["entity"], [F.desc("importance"), F.asc("id")])
     return shown.join(total, "entity")
 
 
@@ -364,4 +365,4 @@ def budget_prefix(df, keys, order, tokens: int):
 @query("s2_5_8_rank_for_fusion", f"{OBS} SELECT entity, id, row_number() OVER (PARTITION BY entity ORDER BY importance DESC, id) AS rank FROM observations")
 def fusion_rank(spark, d):
     o = M.observations(spark, d).select("entity", "id", "importance")
-    return R.newest_per(o, ["entity"], [F.desc("importance"), F.asc("id")], 1 << 30).select("entity", "id", F.col("rank").cast("long").alias("rank"))
+    return rank_within(o, ["entity"], [F.desc("importance"), F.asc("id")]).select("entity", "id", "rank")
