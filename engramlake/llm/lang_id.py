@@ -19,6 +19,7 @@ EPOCHS = 12
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _CHUNK = 64
+_FIT_WORDS = 60_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,6 +140,12 @@ def marginals(emit: np.ndarray, begins: np.ndarray, trans: np.ndarray, init: np.
     return gamma.reshape(pad, k)[:n], pairs, firsts, z
 
 
+def _lettered(text: str | None) -> list[str]:
+    """The words of a text, none if it has no letter (signs such as raised digits alone are no letters)."""
+    found = _WORD.findall(text.lower()) if text else []
+    return found if any(map(str.isalpha, found)) or any(c.isalpha() for w in found for c in w) else []
+
+
 class Crf:
     def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, init: np.ndarray):
         self.labels, self.weights, self.trans, self.init = labels, weights, trans, init
@@ -176,10 +183,16 @@ class Crf:
         np.add.at(gold_pairs, (gold[:-1][inner], gold[1:][inner]), 1)
         gold_first = np.bincount(gold[begins], minlength=k)
         acc = [np.full_like(x, 1e-8) for x in (weights, trans, init)]
+        starts = np.flatnonzero(begins)
+        cuts = [*starts[np.searchsorted(starts, np.arange(0, len(ids), _FIT_WORDS))[: -(-len(ids) // _FIT_WORDS)].clip(max=len(starts) - 1)], len(ids)]
+        cuts = sorted(set(cuts))
         for _ in range(epochs):
             emit = np.add.reduceat(weights[code], off[:-1], axis=0) * share[:, None]
-            gamma, pairs, firsts, _ = marginals(emit[ids], begins, trans, init)
-            expected = np.stack([np.bincount(ids, gamma[:, j], len(vocab)) for j in range(k)], 1)
+            expected, pairs, firsts = np.zeros((len(vocab), k)), np.zeros((k, k)), np.zeros(k)
+            for a, b in zip(cuts, cuts[1:]):  # whole chains, a bounded number of words at a time
+                gamma, p, f, _ = marginals(emit[ids[a:b]], begins[a:b], trans, init)
+                expected += np.stack([np.bincount(ids[a:b], gamma[:, j], len(vocab)) for j in range(k)], 1)
+                pairs, firsts = pairs + p, firsts + f
             d = (seen - expected) * share[:, None] / len(ids)
             grads = [
                 np.stack([np.bincount(code, d[word, j], n_buckets) for j in range(k)], 1) - l2 * weights,
@@ -193,7 +206,7 @@ class Crf:
 
     def label_words(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Words of each text, their number, and the label marginals of all words, text after text."""
-        found = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        found = [_lettered(t) for t in texts]
         vocab: dict[str, int] = {}
         ids = np.fromiter((vocab.setdefault(w, len(vocab)) for f in found for w in f), np.int64)
         size = np.array([len(f) for f in found], np.int64)
@@ -205,12 +218,14 @@ class Crf:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The label with the largest mean marginal over the text's words, and that mean."""
+        if not self.labels:
+            return [(UNDETERMINED, 0.0)] * len(texts)
         _, size, gamma = self.label_words(texts)
         doc = np.repeat(np.arange(len(size)), size)
         out = []
-        total = np.stack([np.bincount(doc, gamma[:, j], len(size)) for j in range(gamma.shape[1])], 1) if gamma.shape[1] else np.zeros((len(size), 0))
+        total = np.stack([np.bincount(doc, gamma[:, j], len(size)) for j in range(gamma.shape[1])], 1)
         for n, row in zip(size, total):
-            if not n or not len(row):
+            if not n:
                 out.append((UNDETERMINED, 0.0))
             else:
                 out.append((self.labels[int(row.argmax())], float(min(1.0, max(0.0, row.max() / n)))))
