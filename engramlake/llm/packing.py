@@ -28,39 +28,35 @@ Plan = list[tuple[list[tuple[int, int]], int]]
 def fillings(room: int, counts: dict[int, int], lengths: list[int], most: int = FILLINGS) -> list[tuple[tuple[int, ...], int]]:
     """(items, waste) of undominated ways to fill ``room``, best first.
 
-    The depth-first search takes items in falling length.  A filling is dominated, and left out, if an unused item
-    fits into its waste, or if one of its items can give way to a longer one that fits.  An exact fit by one item
-    dominates every other filling."""
+    ``lengths`` are the lengths left, falling.  The depth-first search takes items in falling length and keeps maximal
+    fillings: one into whose waste another item fits is dominated.  So is one in which a longer item that is left
+    fits in the place of another.  An exact fit by one item dominates every other filling."""
     if counts.get(room, 0) > 0:
         return [((room,), 0)]
-    found: list[tuple[tuple[int, ...], int]] = []
+    found: dict[tuple[int, ...], int] = {}
     steps = 0
 
     def go(left: int, at: int, taken: list[int]) -> None:
         nonlocal steps
-        while at < len(lengths) and lengths[at] > left:
-            at += 1
-        extended = False
+        maximal = True
         for i in range(at, len(lengths)):
-            if steps > 40 * most or len(found) >= 4 * most:
-                return
             x = lengths[i]
-            if counts[x] > taken.count(x):
-                extended = True
-                steps += 1
-                taken.append(x)
-                go(left - x, i, taken)
-                taken.pop()
-                if found and min(w for _, w in found) == 0 and len(found) >= 2:
-                    return
-        if not extended:
-            if not any(counts[x] > taken.count(x) for x in lengths[::-1] if x <= left):
-                found.append((tuple(taken), left))
+            if x > left or counts[x] <= taken.count(x):
+                continue
+            maximal = False
+            steps += 1
+            if steps > 40 * most or len(found) >= 4 * most or (len(found) > 1 and 0 in found.values()):
+                return
+            go(left - x, i, [*taken, x])
+        if maximal and not any(x <= left and counts[x] > taken.count(x) for x in lengths[:at]):
+            found[tuple(taken)] = left
+
+    def dominated(items: tuple[int, ...], waste: int) -> bool:
+        return any(counts.get(y, 0) > items.count(y) for x in set(items) for y in range(x + 1, x + waste + 1))
 
     go(room, 0, [])
-    found = [f for f in dict.fromkeys(found) if not any(
-        y > x and y - x <= f[1] and counts[y] > f[0].count(y) for x in set(f[0]) for y in range(x + 1, x + f[1] + 1) if y in counts)] or found
-    return sorted(found, key=lambda f: (f[1], len(f[0])))[:most]
+    best = [f for f in found.items() if not dominated(*f)] or list(found.items())
+    return sorted(best, key=lambda f: (f[1], len(f[0])))[:most]
 
 
 def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Plan:
@@ -68,53 +64,42 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
 
     Bins are completed around the longest item left; a filling is repeated as often as the items last, so the
     search sees lengths and not items.  The first descent takes the best-fit filling everywhere and is the first
-    incumbent; the other branches are cut when the waste so far leaves no room for a better total.  The search
-    ends at the volume bound, or after ``nodes`` fillings with the best plan found."""
+    incumbent; a branch is cut when its waste leaves no room for a better total.  The search ends at the volume
+    bound, or after ``nodes`` bins with the best plan found."""
     total = sum(x * n for x, n in histogram.items())
     bound = -(-total // capacity)
-    best: Plan | None = None
+    best: Plan = []
     best_bins = sum(histogram.values()) + 1
     spent = 0
 
-    def descend(counts: dict[int, int], plan: Plan, bins: int, waste: int) -> tuple[list, dict]:
-        """One node: the choices at the longest item left."""
-        lengths = sorted((x for x in counts if counts[x] > 0), reverse=True)
-        if not lengths:
-            return [], counts
-        counts[lengths[0]] -= 1
-        options = fillings(capacity - lengths[0], counts, [x for x in lengths if counts[x] > 0])
-        counts[lengths[0]] += 1
-        return [(lengths[0], f, w) for f, w in options], counts
-
-    stack = [(dict(histogram), [], 0, 0)]
-    while stack:
-        counts, plan, bins, waste = stack.pop()
-        while True:
-            if bins * capacity + 0 > 0 and best is not None and waste > (best_bins - 1) * capacity - total:
+    def choices(counts: dict[int, int]) -> list[tuple[dict[int, int], int]]:
+        """(items with counts, waste) of the bins around the longest item left."""
+        longest = max(counts)
+        left = {x: n - (x == longest) for x, n in counts.items()}
+        options = fillings(capacity - longest, left, sorted((x for x, n in left.items() if n), reverse=True))
+        return [({x: items.count(x) + (x == longest) for x in {longest, *items}}, waste) for items, waste in options]
+
+    def fill(counts: dict[int, int], plan: Plan, bins: int, waste: int, option: tuple[dict[int, int], int]) -> tuple:
+        need, left = option
+        times = min(counts[x] // k for x, k in need.items())
+        after = {x: n - need.get(x, 0) * times for x, n in counts.items()}
+        return {x: n for x, n in after.items() if n}, [*plan, (sorted(need.items(), reverse=True), times)], bins + times, waste + left * times
+
+    stack = [({x: n for x, n in histogram.items() if n}, [], 0, 0)]
+    while stack and best_bins > bound and not (best and spent >= nodes):
+        state = stack.pop()
+        while state[0]:
+            if best and state[3] > (best_bins - 1) * capacity - total:
                 break
-            options, counts = descend(counts, plan, bins, waste)
             spent += 1
-            if not options:
-                if bins < best_bins:
-                    best, best_bins = plan, bins
-                break
-
-            def apply(option):
-                longest, items, left = option
-                need: dict[int, int] = {longest: 1}
-                for x in items:
-                    need[x] = need.get(x, 0) + 1
-                times = min(counts[x] // k for x, k in need.items())
-                after = {x: n - need.get(x, 0) * times for x, n in counts.items() if n > need.get(x, 0) * times}
-                return after, [*plan, (sorted(need.items(), reverse=True), times)], bins + times, waste + left * times
-
+            first, *others = choices(state[0])
             if spent < nodes and len(stack) < 64:
-                for option in options[:0:-1]:
-                    stack.append(apply(option))
-            counts, plan, bins, waste = apply(options[0])
-        if best_bins <= bound or (spent >= nodes and best is not None):
-            break
-    return best or []
+                stack.extend(fill(*state, option) for option in reversed(others))
+            state = fill(*state, first)
+        else:
+            if state[2] < best_bins:
+                best, best_bins = state[1], state[2]
+    return best
 
 
 class Placement:
