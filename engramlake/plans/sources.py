@@ -64,8 +64,8 @@ def bundle_validate(spark, d):
 
 @query("s2_1_10_paged_pull")
 def paged_pull(spark, d):
-    f = M.table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), F.octet_length("text").cast("long").alias("size"))
-    return B.pages(f, 3_000_000)
+    f = M.table(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), F.octet_length("text").cast("long").alias("size"))
+    return B.pages(f, 100_000, "source")
 
 
 @query("s2_1_12_source_tree")
@@ -152,3 +152,11 @@ def reinforcement(spark, d):
 @query("s2_12_2_deduplicated_stream", "SELECT count(*) AS n FROM events")
 def deduplicated(spark, d):
     return collected(spark, T.deduplicated(event_stream(spark, d), "event_id", late="365 days"), "dedup").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s2_12_7_session_windows", """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM events)
+ SELECT user_id, sum(new)::BIGINT AS sessions FROM s GROUP BY user_id""")
+def session_windows(spark, d):
+    """The batch form; :func:`engramlake.streaming.streams.sessions` is the stream's."""
+    e = M.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))

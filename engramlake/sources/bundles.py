@@ -59,24 +59,25 @@ def validate(observations: DataFrame, kinds: list[str]) -> DataFrame:
     return repeated.union(other)
 
 
-def pages(files: DataFrame, budget: int) -> DataFrame:
-    """(name, size, page): files in name order, page after page within a byte budget; a page takes at least one file.
-
-    The reset at each page makes this sequential; the list has one row per file of one bundle."""
-    from collections.abc import Iterator
+def pages(files: DataFrame, budget: int, bundle: str) -> DataFrame:
+    """(bundle, name, size, page): each bundle's files in name order, page after page within a byte budget; a page
+    takes at least one file.
 
+    The reset at each page makes this sequential within a bundle; a list has one row per file, and bundles are
+    paged side by side."""
     import pandas as pd
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         page, used, out = 0, 0, []
-        for name, size in p.sort_values("name")[["name", "size"]].itertuples(index=False):
+        for own, name, size in p.sort_values("name")[[bundle, "name", "size"]].itertuples(index=False):
             if used and used + size > budget:
                 page, used = page + 1, 0
             used += size
-            out.append((name, size, page))
-        return pd.DataFrame(out, columns=["name", "size", "page"])
+            out.append((own, name, size, page))
+        return pd.DataFrame(out, columns=[bundle, "name", "size", "page"])
 
-    return files.withColumn("bundle", F.lit(0)).groupBy("bundle").applyInPandas(run, "name string, size long, page int")
+    kind = files.schema[bundle].dataType.simpleString()
+    return files.groupBy(bundle).applyInPandas(run, f"{bundle} {kind}, name string, size long, page int")
 
 
 def wikilinks(entities: DataFrame, edges: DataFrame) -> DataFrame:

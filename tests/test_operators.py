@@ -148,8 +148,8 @@ def test_bundle_round_trip(spark, tmp_path):
 
 
 def test_pages(spark):
-    files = spark.createDataFrame([("a", 5), ("b", 4), ("c", 30), ("d", 1)], "name string, size long")
-    assert as_dict(B.pages(files, 10), "name", "page") == {"a": 0, "b": 0, "c": 1, "d": 2}
+    files = spark.createDataFrame([(1, "a", 5), (1, "b", 4), (1, "c", 30), (1, "d", 1), (2, "e", 9)], "bundle int, name string, size long")
+    assert as_dict(B.pages(files, 10, "bundle"), "name", "page") == {"a": 0, "b": 0, "c": 1, "d": 2, "e": 0}
 
 
 def test_working_memory_expires(spark, tmp_path):
