@@ -56,11 +56,11 @@ def append_absent(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def session_boost(results: DataFrame, goals: DataFrame, names: str = "entity", content: str = "content") -> DataFrame:
     """x 1.3 where a goal mentions the entity; else x (1 + 0.3 * share of the first goal's words that the content has),
-    over the first goal that shares a word.  ``goals`` has place and goal and is small."""
+    over the first goal that shares a word.  ``goals`` has place and goal; ``results`` is a cut list and is broadcast."""
     tokens = lambda c: F.array_distinct(F.filter(X.tokens(c), lambda w: F.octet_length(w) > 1))
     g = goals.select("place", X.normalize_mention(F.col("goal")).alias("said"), tokens(F.col("goal")).alias("g"))
     r = results.select("*", X.normalize_mention(F.col(names)).alias("__n"), tokens(F.col(content)).alias("__t"))
-    j = r.crossJoin(F.broadcast(g))
+    j = g.crossJoin(F.broadcast(r))
     share = F.size(F.array_intersect("__t", "g")) / F.greatest(F.size("g"), F.lit(1))
     named = (F.length("__n") >= 4) & F.contains(F.col("said"), F.col("__n"))
     per = j.groupBy("id").agg(F.max(named).alias("named"), F.min_by(share, F.when(share > 0, F.col("place"))).alias("share"))

@@ -39,7 +39,7 @@ def decay(state: DataFrame, now: Column, protect: DataFrame | None = None) -> Da
     lost = S.decay(F.col("importance"), idle, halflife(F.col("kind")), F.col("access_count"))
     spared = F.col("kind").isin(KEPT_KINDS) | (idle <= 1)
     if protect is not None:
-        state = state.join(F.broadcast(protect.select("entity").distinct().withColumn("__safe", F.lit(True))), "entity", "left")
+        state = state.join(protect.select("entity").distinct().withColumn("__safe", F.lit(True)), "entity", "left")
         spared = spared | F.col("__safe").isNotNull()
     out = state.withColumn("importance", F.when(spared, F.col("importance")).otherwise(lost))
     return out.drop("__safe")
@@ -86,7 +86,7 @@ def neighbour_boost(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     from engramlake.operators.relational import endpoints
 
     near = endpoints(edges).where(F.col("node") == node).groupBy(F.col("other").alias("id")).agg(F.max("strength").alias("__s"))
-    out = nodes.join(F.broadcast(near), "id", "left")
+    out = nodes.join(near, "id", "left")
     return out.withColumn("importance", F.least(F.lit(1.0), F.col("importance") + 0.5 * S.ACCESS_BOOST * F.coalesce("__s", F.lit(0.0)))).drop("__s")
 
 
@@ -228,13 +228,20 @@ def leases(requests: DataFrame, seconds: int) -> DataFrame:
     return requests.groupBy("path").applyInPandas(fold, "path string, actor string, at timestamp_ntz, granted boolean")
 
 
-def fire_triggers(triggers: DataFrame, texts: DataFrame, threshold: float = 0.5) -> DataFrame:
+def fire_triggers(triggers: DataFrame, texts: DataFrame, threshold: float = 0.5, at_once: int = 10_000) -> DataFrame:
     """Trigger state after texts were seen: a trigger fires where its pattern equals a text or resembles it, up to its
-    maximum, before it expires.  Triggers are few and broadcast."""
+    maximum, before it expires.
+
+    Triggers are broadcast, about ``at_once`` of them in a pass over the texts."""
     p = triggers.withColumn("__g", X.trigrams(F.col("pattern")))
     t = texts.select("content", X.trigrams(F.col("content")).alias("__t"), "at")
-    met = t.join(F.broadcast(p), (F.col("at") < F.col("expires_at")) & ((F.col("content") == F.col("pattern")) | (X.jaccard(F.col("__g"), F.col("__t")) > threshold)))
-    fired = met.groupBy("trigger").agg(F.count(F.lit(1)).alias("__f"))
+    passes = max(1, -(-triggers.count() // at_once))
+    close = (F.col("at") < F.col("expires_at")) & ((F.col("content") == F.col("pattern")) | (X.jaccard(F.col("__g"), F.col("__t")) > threshold))
+    fired = None
+    for k in range(passes):
+        part = p if passes == 1 else p.where(F.pmod(F.xxhash64("trigger"), F.lit(passes)) == k)
+        hits = t.join(F.broadcast(part), close).groupBy("trigger").agg(F.count(F.lit(1)).alias("__f"))
+        fired = hits if fired is None else fired.union(hits)
     n = F.least(F.col("max_fires"), F.col("fire_count") + F.coalesce("__f", F.lit(0)))
     return triggers.join(fired, "trigger", "left").select("trigger", n.alias("fire_count"), (n < F.col("max_fires")).alias("live"))
 
