@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _CHUNK = 64
 _FIT_WORDS = 60_000
+_KNOWN_WORDS = 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,37 +70,39 @@ def emissions(weights: np.ndarray, vocab: list[str]) -> np.ndarray:
     return np.add.reduceat(weights[code], off[:-1], axis=0) / np.diff(off)[:, None]
 
 
-def marginals(emit: np.ndarray, begins: np.ndarray, trans: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def marginals(emit: np.ndarray, begins: np.ndarray, trans: np.ndarray, init: np.ndarray, pair_sums: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Exact forward-backward over chains laid end to end.
 
     ``emit`` (n, K) are log potentials, ``begins`` flags the first word of each chain.  Returns the marginals, the
-    summed pair marginals (K, K), the summed first-word marginals and the log likelihood's normaliser.  The chain
-    is cut into runs of ``_CHUNK`` words: products of their step matrices give the messages that enter each run,
-    then all runs advance together."""
+    summed pair marginals (K, K) and first-word marginals (both zero without ``pair_sums``) and the normaliser's
+    logarithm.  The chain is cut into runs of ``_CHUNK`` words: products of their step matrices give the messages
+    that enter each run, then all runs advance together."""
     n, k = emit.shape
     if not n:
         return np.zeros((0, k)), np.zeros((k, k)), np.zeros(k), 0.0
     runs = -(-n // _CHUNK)
     pad = runs * _CHUNK
+
+    def by_step(flat: np.ndarray) -> np.ndarray:  # (step within the run, run, ...)
+        return np.ascontiguousarray(flat.reshape(runs, _CHUNK, *flat.shape[1:]).swapaxes(0, 1))
+
     top = emit.max(1)
-    e = np.ones((pad, k))
-    e[:n] = np.exp(emit - top[:, None])
+    potential = np.ones((pad, k))
+    potential[:n] = np.exp(emit - top[:, None])
+    e = by_step(potential)
     first = np.zeros(pad, bool)
     first[:n] = begins
+    begin = [np.flatnonzero(f) for f in by_step(first)]
+    inert = [np.flatnonzero(f) for f in by_step(np.arange(pad) >= n)]  # of the last run only
     t, i0 = np.exp(trans), np.exp(init)
-    rest = np.eye(k)
-    e, first = e.reshape(runs, _CHUNK, k), first.reshape(runs, _CHUNK)
-    real = (np.arange(pad) < n).reshape(runs, _CHUNK)
 
-    def step(c):  # (runs, K, K): alpha' = alpha @ step
-        m = np.where(first[:, c, None, None], i0[None, None, :], t[None])
-        return np.where(real[:, c, None, None], m * e[:, c, None, :], rest)
-
-    # a first word forgets what came before: the sum of alpha is kept at 1, so all rows of its matrix are alike
-    prod = np.broadcast_to(rest, (runs, k, k)).copy()
+    prod = np.broadcast_to(np.eye(k), (runs, k, k)).copy()  # alpha' = alpha @ prod over a run
     for c in range(_CHUNK):
-        prod = prod @ step(c)
-        prod /= prod.sum((1, 2), keepdims=True)
+        new = (prod.reshape(-1, k) @ t).reshape(runs, k, k) * e[c, :, None, :]
+        at = begin[c]  # a first word forgets what came before
+        new[at] = prod[at].sum(2, keepdims=True) * (i0 * e[c, at])[:, None, :]
+        new[inert[c]] = prod[inert[c]]
+        prod = new / new.sum((1, 2), keepdims=True)
     enter = np.empty((runs, k))
     a = np.full(k, 1.0 / k)
     for r in range(runs):
@@ -111,33 +115,37 @@ def marginals(emit: np.ndarray, begins: np.ndarray, trans: np.ndarray, init: np.
         leave[r] = b
         b = prod[r] @ b
         b /= b.sum()
-    alpha, scale = np.empty((runs, _CHUNK, k)), np.empty((runs, _CHUNK))
+    alpha, scale = np.empty((_CHUNK, runs, k)), np.empty((_CHUNK, runs))
+    before = np.empty((_CHUNK, runs, k)) if pair_sums else None
     a = enter
-    before = np.empty((runs, _CHUNK, k))
     for c in range(_CHUNK):
-        before[:, c] = a
-        a = np.where(first[:, c, None], i0 * e[:, c], (a @ t) * e[:, c])
-        a = np.where(real[:, c, None], a, before[:, c])
-        scale[:, c] = a.sum(1)
-        a = a / scale[:, c, None]
-        alpha[:, c] = a
+        if pair_sums:
+            before[c] = a
+        new = (a @ t) * e[c]
+        new[begin[c]] = i0 * e[c, begin[c]]
+        new[inert[c]] = a[inert[c]]
+        scale[c] = new.sum(1)
+        a = alpha[c] = new / scale[c][:, None]
     pairs, firsts = np.zeros((k, k)), np.zeros(k)
-    gamma = np.empty((runs, _CHUNK, k))
     b = leave
     for c in range(_CHUNK - 1, -1, -1):
-        g = alpha[:, c] * b
+        g = alpha[c] * b
         g /= g.sum(1, keepdims=True)
-        gamma[:, c] = g
-        inner = real[:, c] & ~first[:, c]
-        eb = e[:, c] * b
-        x = before[inner, c][:, :, None] * t[None] * eb[inner][:, None, :]
-        pairs += (x / x.sum((1, 2), keepdims=True)).sum(0)
-        firsts += g[first[:, c]].sum(0)
-        back = np.where(first[:, c, None], (i0 * eb).sum(1, keepdims=True), eb @ t.T)
+        alpha[c] = g  # from here on the marginals
+        eb = e[c] * b
+        if pair_sums:
+            inner = np.ones(runs, bool)
+            inner[begin[c]] = inner[inert[c]] = False
+            x = before[c, inner][:, :, None] * t[None] * eb[inner][:, None, :]
+            pairs += (x / x.sum((1, 2), keepdims=True)).sum(0)
+            firsts += g[begin[c]].sum(0)
+        back = eb @ t.T
+        back[begin[c]] = (i0 * eb[begin[c]]).sum(1, keepdims=True)
         back /= back.sum(1, keepdims=True)
-        b = np.where(real[:, c, None], back, b)
-    z = float(np.log(scale.reshape(-1)[:n]).sum() + top.sum())
-    return gamma.reshape(pad, k)[:n], pairs, firsts, z
+        back[inert[c]] = b[inert[c]]
+        b = back
+    z = float(np.log(scale).sum() + top.sum())  # padding scales by 1
+    return alpha.swapaxes(0, 1).reshape(pad, k)[:n], pairs, firsts, z
 
 
 def _lettered(text: str | None) -> list[str]:
@@ -149,6 +157,8 @@ def _lettered(text: str | None) -> list[str]:
 class Crf:
     def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, init: np.ndarray):
         self.labels, self.weights, self.trans, self.init = labels, weights, trans, init
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(labels)))
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]], n_buckets: int = N_BUCKETS, epochs: int = EPOCHS, rate: float = 0.5, l2: float = 1e-6) -> Crf:
@@ -204,16 +214,32 @@ class Crf:
                 x += rate * g / np.sqrt(a)
         return cls(labels, weights.astype(np.float32), trans, init)
 
+    def __getstate__(self):
+        return self.labels, self.weights, self.trans, self.init
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _emit(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the words' potentials; those of recent words are kept, up to a fixed number."""
+        new = [w for w in dict.fromkeys(flat) if w not in self.known]
+        if len(self.known) + len(new) > _KNOWN_WORDS:
+            self.known, self.rows = {}, np.zeros((0, len(self.labels)))
+            new = list(dict.fromkeys(flat))
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.rows = np.concatenate([self.rows, emissions(self.weights, new)])
+        return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)), self.rows
+
     def label_words(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Words of each text, their number, and the label marginals of all words, text after text."""
         found = [_lettered(t) for t in texts]
-        vocab: dict[str, int] = {}
-        ids = np.fromiter((vocab.setdefault(w, len(vocab)) for f in found for w in f), np.int64)
+        flat = list(chain.from_iterable(found))
+        ids, emit = self._emit(flat)
         size = np.array([len(f) for f in found], np.int64)
         begins = np.zeros(len(ids), bool)
         begins[(np.cumsum(size) - size)[size > 0]] = True
-        emit = emissions(self.weights, list(vocab)).astype(float)
-        gamma = marginals(emit[ids], begins, self.trans, self.init)[0]
+        gamma = marginals(emit[ids], begins, self.trans, self.init, pair_sums=False)[0]
         return found, size, gamma
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -222,14 +248,9 @@ class Crf:
             return [(UNDETERMINED, 0.0)] * len(texts)
         _, size, gamma = self.label_words(texts)
         doc = np.repeat(np.arange(len(size)), size)
-        out = []
         total = np.stack([np.bincount(doc, gamma[:, j], len(size)) for j in range(gamma.shape[1])], 1)
-        for n, row in zip(size, total):
-            if not n:
-                out.append((UNDETERMINED, 0.0))
-            else:
-                out.append((self.labels[int(row.argmax())], float(min(1.0, max(0.0, row.max() / n)))))
-        return out
+        score = np.clip(total.max(1) / np.maximum(size, 1), 0.0, 1.0)
+        return [(self.labels[j], x) if n else (UNDETERMINED, 0.0) for n, j, x in zip(size, total.argmax(1).tolist(), score.tolist())]
 
 
 def sample_rows(docs: DataFrame, doc_col: str, text_col: str, lang_col: str, limit: int) -> list[tuple[str, str]]:
