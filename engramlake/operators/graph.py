@@ -85,7 +85,7 @@ def predict_links(edges: DataFrame, start) -> DataFrame:
 
 def transitions(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(src, dst, p) with rows summing to 1, and the nodes that have an edge with whether they are dangling."""
-    e = edges.groupBy("src", "dst").agg(F.sum("strength").alias("s"))
+    e = cut(edges.groupBy("src", "dst").agg(F.sum("strength").alias("s")), "edges")
     out = e.groupBy("src").agg(F.sum("s").alias("t"))
     p = e.join(out, "src").where("t > 0").select("src", "dst", (F.col("s") / F.col("t")).alias("p"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
@@ -127,7 +127,7 @@ def normalised(ranks: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
     """(source, node, d): breadth-first distances, first seen wins, level by level until nothing is new."""
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct(), "edges")
     frontier = sources.select(F.col("node").alias("source"), "node")
     seen = cut(frontier.withColumn("d", F.lit(0)), "bfs")
     for k in range(1, most + 1):
@@ -175,7 +175,7 @@ def betweenness(edges: DataFrame, partitions: int = 32) -> DataFrame:
 
     Sources are spread over tasks; the adjacency is broadcast after its size was checked, and larger graphs are
     refused: the algorithm costs nodes times edges, so it isn't meant for them."""
-    e = edges.select("src", "dst")
+    e = cut(edges.select("src", "dst"), "edges")
     if e.limit(MAX_BROADCAST_EDGES + 1).count() > MAX_BROADCAST_EDGES:
         raise ValueError(f"betweenness takes graphs of up to {MAX_BROADCAST_EDGES} edges")
     adjacency: dict = {}
