@@ -81,13 +81,18 @@ def long_tokens(c: Column, more_than_bytes: int = 2) -> Column:
 
 
 def jaccard(x: Column, y: Column) -> Column:
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+    """Of two arrays of distinct elements; 0 if both are empty."""
+    def of(shared: Column) -> Column:
+        union = F.size(x) + F.size(y) - shared
+        return F.when(union == 0, 0.0).otherwise(shared / union)
+
+    return let(F.size(F.array_intersect(x, y)), of)
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct 3-grams of each word with two blanks before and one behind."""
-    grams = F.transform(tokens(c), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    """Distinct 3-grams of each word with two blanks before and one behind; a repeated word is taken apart once."""
+    padded = F.transform(F.array_distinct(tokens(c)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    grams = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
 
@@ -103,26 +108,37 @@ def text_array(items: list[str]) -> Column:
 def trigram_similarity(c: Column, other: Column | str) -> Column:
     x = trigrams(c)
     y = text_array(trigrams_of(other)) if isinstance(other, str) else trigrams(other)
-    return jaccard(x, y)
+    return let(x, lambda g: jaccard(g, y))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def term_frequencies(c: Column, terms: list[str]) -> list[Column]:
-    def count(term: str) -> Column:
-        return F.size(F.filter(tokens(c), lambda w: w == term))
+def _counts(c: Column, terms: list[str], body) -> Column:
+    """``body`` of the frequencies of the terms; the text is split once."""
+    def of(hits: Column) -> Column:
+        def count(term: str) -> Column:
+            return F.size(F.filter(hits, lambda w: w == term))
 
-    return [count(t) for t in terms]
+        return body([count(t) for t in terms])
+
+    return let(F.filter(tokens(c), lambda w: w.isin(terms)), of)
 
 
 def rank_any(c: Column, terms: list[str]) -> Column:
     """Rank of a query that matches any term: the mean over terms of 0.1 * sum(1 / j^2, j <= frequency) / 1.64493."""
-    parts = [F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j))).otherwise(0.0) for n in term_frequencies(c, terms)]
-    return sum(parts[1:], parts[0]) * 0.1 / 1.64493 / len(terms)
+    def body(counts: list[Column]) -> Column:
+        parts = [F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, j: a + F.lit(1.0) / (j * j))).otherwise(0.0) for n in counts]
+        return sum(parts[1:], parts[0]) * 0.1 / 1.64493 / len(terms)
+
+    return _counts(c, terms, body)
 
 
 def cover_density(c: Column, terms: list[str]) -> Column:
     """0.1 for every matching position."""
-    counts = term_frequencies(c, terms)
-    return sum(counts[1:], counts[0]) * 0.1
+    return _counts(c, terms, lambda counts: sum(counts[1:], counts[0]) * 0.1)
 
 
 def matches_any(c: Column, terms: list[str]) -> Column:
