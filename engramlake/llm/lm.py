@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from engramlake.llm.common import (
     DOCS, NO_ID, PACKET_SCHEMA, QUERY, REPLY, Block, blocks, deltas, first_of_runs, in_fold, lower_words, materialize, mix64, pack,
-    packets, shard_count, slices, table, undeltas, unpack,
+    packets, shard_count, slices, table, trimmed, undeltas, unpack,
 )
 
 #: Weight of the lower order in a context, in pseudo-counts.
@@ -28,7 +28,7 @@ PRIOR = 200.0
 #: Probabilities are stored as bytes: code c is 10^(-c / CODES_PER_DECADE).
 CODES_PER_DECADE = 16.0
 TOP_CODE = 255
-STATS, MODEL = 8, 9
+TOKENS, TYPES = 8, 9
 END = b""
 
 
@@ -183,7 +183,7 @@ def _runs(shard: np.ndarray, n_shards: int) -> Iterator[tuple[int, int, int]]:
 class Known:
     """A block with what the vocabulary shards said: global ids and training counts of its words."""
 
-    def __init__(self, t: pa.Table, base: np.ndarray, n_shards: int):
+    def __init__(self, t: pa.Table, stride: int, n_shards: int):
         ids, counts = {}, {}
         self.answers = {}
         for kind, name, shard, data in zip(*(t.column(c).to_pylist() for c in ("kind", "block", "shard", "data"))):
@@ -192,7 +192,7 @@ class Known:
                 self.end = int(unpack(data)[1][0])
             elif kind == REPLY:
                 i, c = unpack(data)
-                ids[shard], counts[shard] = undeltas(i) + base[shard], c
+                ids[shard], counts[shard] = undeltas(i) + shard * stride, c
             else:
                 self.answers[shard] = data
         self.gid = np.concatenate([ids[s] for s in sorted(ids)])
@@ -246,7 +246,8 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
             for w, c in zip(vocab, count.tolist()):
                 total[w] = total.get(w, 0) + c
         place = {w: i for i, w in enumerate(sorted(total))}
-        rows = [(STATS, sum(total.values()), shard, pack(np.array([len(total), sum(c > 0 for c in total.values())])))]
+        # training tokens and types of the shard, each with its number of words
+        rows = [(TOKENS, sum(total.values()), len(total), b""), (TYPES, sum(c > 0 for c in total.values()), len(total), b"")]
         for name, (vocab, _) in zip(t.column("block").to_pylist(), sent):
             ids = np.fromiter((place[w] for w in vocab), np.int64, len(vocab))
             rows.append((REPLY, name, shard, pack(deltas(ids), np.fromiter((total[w] for w in vocab), np.int64, len(vocab)))))
@@ -254,17 +255,15 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
 
     sent = materialize(source.mapInArrow(encode, PACKET_SCHEMA), "lm")
     held = sent.where(F.col("kind") == DOCS)
-    numbered = materialize(sent.where(F.col("kind") == QUERY).groupBy("shard").applyInArrow(number, PACKET_SCHEMA), "vocabulary")
-    base, n_train, n_types = np.zeros(n_shards, np.int64), 0, 0
-    for r in numbered.where(F.col("kind") == STATS).collect():  # three numbers for each shard
-        base[r.shard], seen = unpack(r.data)[0]
-        n_train, n_types = n_train + r.block, n_types + int(seen)
-    base = np.cumsum(base) - base
-    shared = docs.sparkSession.sparkContext.broadcast(base)
+    numbered = materialize(sent.where(F.col("kind") == QUERY).groupBy("shard").applyInArrow(trimmed(number), PACKET_SCHEMA), "vocabulary")
+    stats = numbered.where(F.col("kind").isin(TOKENS, TYPES)).groupBy("kind").agg(F.sum("block").alias("n"), F.max("shard").alias("words"))
+    seen = {r.kind: (r.n, r.words) for r in stats.collect()}
+    n_train, n_types = (seen.get(k, (0, 0))[0] for k in (TOKENS, TYPES))
+    stride = max(1, seen.get(TOKENS, (0, 0))[1])  # a word's id: its shard times the largest shard's words, and its place
     floor = n_train + n_types + 1
 
     def ask(t: pa.Table) -> pa.Table:
-        k = Known(t, shared.value, n_shards)
+        k = Known(t, stride, n_shards)
         trained = np.repeat(k.block.flags > 0, k.block.lengths)
         count = np.bincount(k.pair_of[trained], minlength=len(k.pairs))
         rows = []
@@ -313,7 +312,7 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
         return pa.Table.from_batches([packets([(REPLY + 1, b, shard, pack(code[i:j])) for b, i, j in zip(t.column("block").to_pylist(), cut, cut[1:])])])
 
     def score(t: pa.Table) -> pa.Table:
-        k = Known(t, shared.value, n_shards)
+        k = Known(t, stride, n_shards)
         code = np.empty(len(k.pairs), np.int64)
         for s, a, b in _runs(k.shard, n_shards):
             code[k.order[a:b]] = unpack(k.answers[s])[0]
@@ -329,10 +328,9 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
         })
 
     vocabulary = numbered.where(F.col("kind") == REPLY)
-    asked = held.union(vocabulary).groupBy("block").applyInArrow(ask, PACKET_SCHEMA)
-    answers = asked.groupBy("shard").applyInArrow(answer, PACKET_SCHEMA)
-    return held.union(vocabulary).union(answers).groupBy("block").applyInArrow(
-        score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = held.union(vocabulary).groupBy("block").applyInArrow(trimmed(ask), PACKET_SCHEMA)
+    answers = asked.groupBy("shard").applyInArrow(trimmed(answer), PACKET_SCHEMA)
+    return held.union(vocabulary).union(answers).groupBy("block").applyInArrow(trimmed(score), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
