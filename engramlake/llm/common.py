@@ -8,6 +8,8 @@ block, whatever share of the rows holds it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,33 @@ _ALNUM = bytes(
 )
 
 
+try:  # large arrays always get mappings of their own, which go back to the system when freed
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 20)
+except (OSError, AttributeError):
+    _libc = None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and several share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def trimmed(fn):
+    """A group function that gives its memory back."""
+
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            return fn(t)
+        finally:
+            give_back()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -184,8 +213,11 @@ def blocks(batches: Iterator[pa.RecordBatch], split=words) -> Iterator[tuple[int
                 count += 1
                 vocab = {}
                 parts, lengths, ids, flags, size = [], [], [], [], 0
+                give_back()
     if lengths:
         yield base + count, *done()
+    vocab, parts = {}, []
+    give_back()
 
 
 def by_shard(keys: np.ndarray, n_shards: int) -> Iterator[tuple[int, np.ndarray]]:

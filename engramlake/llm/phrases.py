@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from engramlake.llm.common import (
     DOCS, NO_ID, PACKET_SCHEMA, QUERY, REPLY, Block, blocks, by_shard, deltas, first_of_runs, materialize, mix64, pack, packets,
-    shard_count, slices, table, undeltas, unpack, words,
+    shard_count, slices, table, trimmed, undeltas, unpack, words,
 )
 
 WINDOW = 13
@@ -256,10 +256,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, doc_
 
     sent = materialize(source.mapInArrow(encode, PACKET_SCHEMA), "phrases")
     held = sent.where(F.col("kind") == DOCS)
-    known = materialize(sent.where(F.col("kind") == QUERY).groupBy("shard").applyInArrow(recur, PACKET_SCHEMA), "seeds")
-    asked = held.union(known).groupBy("block").applyInArrow(ask, PACKET_SCHEMA)
-    answers = asked.groupBy("shard").applyInArrow(owned, PACKET_SCHEMA)
-    return held.union(known).union(answers).groupBy("block").applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    known = materialize(sent.where(F.col("kind") == QUERY).groupBy("shard").applyInArrow(trimmed(recur), PACKET_SCHEMA), "seeds")
+    asked = held.union(known).groupBy("block").applyInArrow(trimmed(ask), PACKET_SCHEMA)
+    answers = asked.groupBy("shard").applyInArrow(trimmed(owned), PACKET_SCHEMA)
+    return held.union(known).union(answers).groupBy("block").applyInArrow(trimmed(remove), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
