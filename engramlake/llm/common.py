@@ -37,9 +37,10 @@ _ALNUM = bytes(
 )
 
 
-try:  # large arrays always get mappings of their own, which go back to the system when freed
+try:  # arrays of 8 MB and more get mappings of their own, which go back to the system when freed
     _libc = ctypes.CDLL(None)
-    _libc.mallopt(-3, 1 << 20)
+    _libc.mallopt(-3, 8 << 20)
+    _libc.mallopt(-1, 64 << 20)
 except (OSError, AttributeError):
     _libc = None
 
