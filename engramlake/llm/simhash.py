@@ -8,10 +8,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import first_of_runs, lower_words, materialize, mix64, shard_count, slices, table
+from engramlake.llm.common import first_of_runs, lower_words, materialize, shard_count, slices, table
 from engramlake.llm.components import components
 
 SHINGLE = 4
@@ -178,58 +178,147 @@ def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, blocks: i
 
 SIMILARITY = 0.8
 STAGE_SHINGLE = 5
-STAGE_THRESHOLD = 7
-STAGE_BLOCKS = 4
-CHECK_WORDS = 4
+#: Rows in whose sample a shingle must occur this often to be put last in the order; only costs depend on these.
+HOT_SAMPLE = 4096
+HOT_ROWS = 5
+MOST_HOT = 1 << 16
+#: Grams that candidates must share; each costs one posting more for a set.
+SHARED = 6
 
 
-def check_bits(similarity: float, bits: int = 64 * CHECK_WORDS) -> int:
-    """Bits in which fingerprints of sets of this Jaccard similarity differ on average, and one standard deviation."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
-
-
-def wide_fingerprints(docs: DataFrame, shingle: int = STAGE_SHINGLE, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, fp, c0 .. c3): fp over a text's distinct words, c0 .. c3 the 256-bit fingerprint over its distinct
-    shingles.  ``row`` numbers the rows of a stored table."""
+def shingle_sets(docs: DataFrame, shingle: int = STAGE_SHINGLE, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, node, grams): the distinct shingle hashes of each text, rising as unsigned numbers, and their
+    64-bit digest, which names the set.  ``row`` numbers the rows of a stored table."""
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for text in batch.column(2).to_pylist():
-                found = lower_words(text)
-                h = np.unique(shingle_hashes(found, shingle))
-                out.append([fingerprint(shingle_hashes(list(dict.fromkeys(found)), 1))] + [
-                    fingerprint(h if not j else mix64(h + np.uint64(j))) for j in range(CHECK_WORDS)])
-            cols = np.array(out, np.uint64).reshape(-1, 1 + CHECK_WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(cols[:, j])) for j in range(1 + CHECK_WORDS))],
-                names=["row", "doc_id", "fp", *(f"c{j}" for j in range(CHECK_WORDS))])
+            sets = [np.unique(shingle_hashes(lower_words(t), shingle)) for t in batch.column(2).to_pylist()]
+            names = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), grams], names=["row", "doc_id", "node", "grams"])
 
     kind = docs.schema[doc_col].dataType.simpleString()
-    return source.mapInArrow(run, f"row long, doc_id {kind}, fp long" + "".join(f", c{j} long" for j in range(CHECK_WORDS)))
+    return source.mapInArrow(run, f"row long, doc_id {kind}, node long, grams array<long>")
+
+
+def hot_grams(sets: DataFrame) -> np.ndarray:
+    """Shingles that are frequent in a sample of the rows, sorted."""
+    some = sets.where(F.pmod(F.xxhash64("row"), F.lit(max(1, sets.count() // HOT_SAMPLE))) == 0)
+    counts = some.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS)
+    return np.sort(np.array([r["gram"] for r in counts.orderBy(F.desc("n"), "gram").limit(MOST_HOT).collect()], np.int64))
+
+
+def postings(sets: DataFrame, similarity: float, hot: np.ndarray) -> DataFrame:
+    """(gram, node, n, at): the first n - c + min(SHARED, c) of a set's n grams, c = ceil(similarity * n), in one order of
+    all grams, the ``hot`` ones last.  Sets that are similar enough share SHARED of these, or as many as they have in
+    common if that is less, whatever the order."""
+    shared = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                ends, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+                n = np.diff(ends)
+                least = np.ceil(n * similarity - 1e-9).astype(np.int32)
+                k = n - least + np.minimum(least, SHARED)
+                first = []
+                for a, b, m in zip(ends, ends[1:], k):
+                    g = values[a:b]
+                    if len(hot):
+                        late = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
+                        g = np.concatenate([g[~late], g[late]])
+                    first.append(g[:m])
+                at = np.arange(k.sum(), dtype=np.int32) - np.repeat(np.cumsum(k) - k, k).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first)), pa.array(np.repeat(batch.column(0).to_numpy(), k)), pa.array(np.repeat(n, k)), pa.array(at)],
+                    names=["gram", "node", "n", "at"])
+
+    return sets.where(F.size("grams") > 0).select("node", "grams").mapInArrow(run, "gram long, node long, n int, at int")
+
+
+def shared_postings(entries: DataFrame, partitions: int) -> DataFrame:
+    """The distinct rows of :func:`postings` whose gram another set has too; ``least`` marks the gram's least node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        gram, node, n, at = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        order = np.lexsort((node, gram))
+        order = order[first_of_runs(gram[order]) | first_of_runs(node[order])]
+        least = first_of_runs(gram[order])
+        several = ~(least & np.append(least[1:], True))
+        order, least = order[several], least[several]
+        for i in range(0, len(order), 1 << 16):
+            o = order[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[o]) for c in (gram, node, n, at)), pa.array(least[i : i + (1 << 16)])],
+                                             names=["gram", "node", "n", "at", "least"])
+
+    return entries.repartition(partitions, "gram").mapInArrow(run, "gram long, node long, n int, at int, least boolean")
+
+
+def candidates(x: DataFrame, y: DataFrame, similarity: float, also: Column) -> DataFrame:
+    """(a, b): nodes of postings that may be of similar sets, by the sets' sizes, the number of grams they share here and
+    the grams from the first shared one on."""
+    n, m, slack = F.col("x.n"), F.col("y.n"), 1e-6
+    sizes = (n >= m * similarity - slack) & (m >= n * similarity - slack)
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & also & sizes).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least(n - F.col("x.at"), m - F.col("y.at")).alias("left"),
+        ((n + m) * (similarity / (1 + similarity)) - slack).alias("need"))
+    met = pairs.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared"), F.max("left").alias("left"))
+    return met.where((F.col("shared") >= F.least(F.lit(float(SHARED)), "need")) & (F.col("left") >= F.col("need"))).select("a", "b")
+
+
+def similar_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the ``pairs`` of nodes (a, b) whose sets have a Jaccard similarity of ``similarity`` or more."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    sides = materialize(sides.join(classes, "node").select("a", "b", F.col("first.row").alias("row")), "candidates")
+    both = sides.join(sets.select("row", "grams"), "row").groupBy("a", "b").agg(F.collect_list("grams").alias("g"))
+    x, y = F.col("g")[0], F.col("g")[1]
+    common = F.size(F.array_intersect(x, y))
+    return materialize(both.where(common / (F.size(x) + F.size(y) - common) >= similarity).select("a", "b"), "similar")
+
+
+def link_sets(sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect the nodes of ``sets`` as the pairs of Jaccard similarity ``similarity`` or more do;
+    each edge is such a pair.  ``classes`` has one row (first.row) of each node.
+
+    Candidates come from a prefix filter and lose no pair.  First each set of a gram is compared with the gram's
+    least one; then the sets that these links leave apart meet, so a large group's pairs aren't formed.
+    """
+    entries = shared_postings(postings(sets, similarity, hot_grams(sets)), shard_count(sets, 16 << 20, 24))
+    entries = materialize(entries, "postings")
+    stars = candidates(entries.where("least"), entries.where("NOT least"), similarity, F.lit(True))
+    near = similar_pairs(stars, classes, sets, similarity)
+    roots = components(near, "stars")
+    labelled = materialize(entries.join(roots, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root")), "labelled")
+    several = labelled.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
+    others = labelled.join(several, "gram", "left_semi")
+    rest = candidates(others, others, similarity, (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+    return near.union(similar_pairs(rest, classes, sets, similarity))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE,
-                         threshold: int = STAGE_THRESHOLD, blocks: int = STAGE_BLOCKS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                         doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but one document of each group of near-duplicates: the one with the smallest id stays
     (null ids come last, then the earlier row).
 
-    Candidates are documents whose 64-bit fingerprints over distinct words differ in at most ``threshold`` bits.
-    They are linked if their 256-bit fingerprints over distinct shingles of ``shingle`` words differ in no more bits
-    than a Jaccard similarity of ``similarity`` makes likely (see :func:`check_bits`); links are followed.  Null
-    and empty texts are one group.  ``docs`` must be a stored table, whose rows can be read again in one order.
+    Two documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
+    more, which is computed for each candidate (see :func:`link_sets`); links are followed.  Texts of fewer words
+    are one shingle.  Null and empty texts are one group.  ``docs`` must be a stored table, whose rows can be read
+    again in one order.
     """
-    checks = tuple(f"c{j}" for j in range(CHECK_WORDS))
-    prints = materialize(wide_fingerprints(docs, shingle, doc_col, text_col), "fingerprints")
+    sets = materialize(shingle_sets(docs, shingle, doc_col, text_col), "shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
-    classes = materialize(prints.groupBy("fp", *checks).agg(first).withColumn("node", F.col("first.row")), "classes")
-    links = link_fingerprints(classes, threshold, blocks, shard_count(classes, 1 << 16, 24), checks, check_bits(similarity))
-    roots = components(links, "near")
-    alone = classes.join(roots, "node", "left_anti").select("node")
-    groups = roots.join(classes, "node").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("node"))
-    kept = alone.union(groups).withColumnRenamed("node", "__row")
+    classes = materialize(sets.groupBy("node").agg(first), "classes")
+    roots = components(link_sets(sets, classes, similarity), "near")
+    alone = classes.join(roots, "node", "left_anti").select(F.col("first.row").alias("__row"))
+    groups = roots.join(classes, "node").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    kept = alone.union(groups)
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").select(*docs.columns)
 
 

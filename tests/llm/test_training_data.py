@@ -179,6 +179,38 @@ def test_near_duplicate_stage(spark):
     assert simhash.drop_near_duplicates(materialize(stored.limit(0), "test")).count() == 0
 
 
+def test_near_duplicate_stage_links_exactly_the_similar(spark):
+    from engramlake.llm.common import materialize
+
+    rng = random.Random(12)
+    rows, hot = [], " ".join(f"hot{i}" for i in range(40))
+    for i in range(240):
+        words = [f"z{int(rng.paretovariate(0.7))}" if rng.random() < 0.3 else f"u{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 700]))]
+        if i % 9 == 0:
+            words = hot.split() + words  # an opening that many share
+        share = rng.uniform(0.72, 0.98)
+        n = int(len(words) * share)
+        other = [words[:n], words + [f"v{rng.randrange(5000)}" for _ in range(len(words) - n)], words[: n // 2] + words[n // 2 + len(words) - n :],
+                 words[len(words) - n :]][i % 4]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    rows += [(1000 + i, " ".join([*rows[4][1].split()[:i], "x", *rows[4][1].split()[i + 1 :]])) for i in range(30)]  # a large group
+    rows += [(2000, "one two"), (2001, "one two"), (2002, "one two three"), (2003, "A b c d e"), (2004, "a b C d e")]
+
+    grams = {d: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})(t.lower().split()) for d, t in rows}
+    group, ids = {d: d for d in grams}, sorted(grams)
+    pairs = [(a, b) for a in ids for b in ids if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8]
+    assert len(pairs) > 100
+    for _ in ids:
+        before = dict(group)
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+        if before == group:
+            break
+    stored = materialize(spark.createDataFrame(rows, SCHEMA).repartition(4), "test")
+    kept = simhash.drop_near_duplicates(stored)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
+
+
 def test_simhash_odd_input(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count() and all(r.component_id is not None for r in got)
