@@ -25,38 +25,41 @@ FILLINGS = 16
 Plan = list[tuple[list[tuple[int, int]], int]]
 
 
-def fillings(room: int, counts: dict[int, int], lengths: list[int], most: int = FILLINGS) -> list[tuple[tuple[int, ...], int]]:
-    """(items, waste) of undominated ways to fill ``room``, best first.
+def fillings(room: int, counts: dict[int, int], lengths: list[int], most: int = FILLINGS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """(items with counts, waste) of undominated ways to fill ``room``, best first.
 
-    ``lengths`` are the lengths left, falling.  The depth-first search takes items in falling length and keeps maximal
-    fillings: one into whose waste another item fits is dominated.  So is one in which a longer item that is left
-    fits in the place of another.  An exact fit by one item dominates every other filling."""
+    ``lengths`` are the lengths left, falling.  The depth-first search takes lengths in falling order, as many items of
+    each as fit and then fewer, and keeps maximal fillings: one into whose waste another item fits is dominated.  So is
+    one in which a longer item that is left fits in the place of another.  An exact fit by one item dominates every
+    other filling.  The first descent always ends in a filling; limits apply after it."""
     if counts.get(room, 0) > 0:
-        return [((room,), 0)]
-    found: dict[tuple[int, ...], int] = {}
+        return [(((room, 1),), 0)]
+    found: dict[tuple[tuple[int, int], ...], int] = {}
     steps = 0
 
-    def go(left: int, at: int, taken: list[int]) -> None:
+    def go(left: int, at: int, taken: dict[int, int]) -> None:
         nonlocal steps
         maximal = True
         for i in range(at, len(lengths)):
             x = lengths[i]
-            if x > left or counts[x] <= taken.count(x):
-                continue
-            maximal = False
-            steps += 1
-            if steps > 40 * most or len(found) >= 4 * most or (len(found) > 1 and 0 in found.values()):
-                return
-            go(left - x, i, [*taken, x])
-        if maximal and not any(x <= left and counts[x] > taken.count(x) for x in lengths[:at]):
-            found[tuple(taken)] = left
-
-    def dominated(items: tuple[int, ...], waste: int) -> bool:
-        return any(counts.get(y, 0) > items.count(y) for x in set(items) for y in range(x + 1, x + waste + 1))
-
-    go(room, 0, [])
+            fit = min(counts[x], left // x)
+            if fit:
+                maximal = False
+            for k in range(fit, 0, -1):
+                steps += 1
+                if found and (steps > 40 * most or len(found) >= 4 * most or (len(found) > 1 and 0 in found.values())):
+                    return
+                go(left - k * x, i + 1, {**taken, x: k})
+        if maximal and not any(x <= left and counts[x] > taken.get(x, 0) for x in lengths[:at]):
+            found[tuple(taken.items())] = left
+
+    def dominated(items: tuple[tuple[int, int], ...], waste: int) -> bool:
+        used = dict(items)
+        return any(counts.get(y, 0) > used.get(y, 0) for x in used for y in range(x + 1, x + waste + 1))
+
+    go(room, 0, {})
     best = [f for f in found.items() if not dominated(*f)] or list(found.items())
-    return sorted(best, key=lambda f: (f[1], len(f[0])))[:most]
+    return sorted(best, key=lambda f: (f[1], sum(k for _, k in f[0])))[:most]
 
 
 def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = SEARCH_NODES) -> Plan:
@@ -77,7 +80,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
         longest = max(counts)
         left = {x: n - (x == longest) for x, n in counts.items()}
         options = fillings(capacity - longest, left, sorted((x for x, n in left.items() if n), reverse=True))
-        return [({x: items.count(x) + (x == longest) for x in {longest, *items}}, waste) for items, waste in options]
+        return [({**dict(items), longest: dict(items).get(longest, 0) + 1}, waste) for items, waste in options]
 
     def fill(counts: dict[int, int], plan: Plan, bins: int, waste: int, option: tuple[dict[int, int], int]) -> tuple:
         need, left = option

@@ -333,6 +333,25 @@ def test_bin_completion_beats_or_meets_best_fit():
     assert packing.complete_bins({}, 10) == []
 
 
+def test_bin_completion_takes_thousands_of_tiny_pieces():
+    rng = random.Random(10)
+    for hist in ({1: 642}, {1: 5000}, {2: 9000}, {1: 3000, 2: 3000, 3: 3000}, {1: 4000, 2000: 3, 1500: 2, 700: 5},
+                 {1: 2500, 2: 800, **{rng.randrange(4, 600): rng.randrange(1, 30) for _ in range(200)}}):
+        used, bins = {}, 0
+        for filling, times in packing.complete_bins(hist):
+            assert sum(x * k for x, k in filling) <= packing.CAPACITY
+            bins += times
+            for x, k in filling:
+                used[x] = used.get(x, 0) + k * times
+        assert used == hist
+        assert bins <= -(-sum(x * n for x, n in hist.items()) // packing.CAPACITY) + 1
+
+
+def test_packing_many_empty_texts(spark):
+    rows = [(i, None if i % 2 else "") for i in range(3000)] + [(5000 + i, "ok") for i in range(500)] + [(9000, "w1 " * 900)]
+    check_packing(packing.pack_documents(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect(), rows)
+
+
 def test_tokenizers_agree(small):
     import pyarrow.parquet as pq
     import public_tokenizers
