@@ -188,8 +188,8 @@ SHARED = 6
 
 def shingle_sets(docs: DataFrame, shingle: int = STAGE_SHINGLE, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, node, grams): the distinct shingle hashes of each text, rising as unsigned numbers, and their
-    64-bit digest, which names the set.  ``row`` numbers the rows of a stored table."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
+    64-bit digest, which names the set.  ``row`` is the column ``__row``."""
+    source = docs.select(F.col("__row").alias("row"), F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -309,17 +309,18 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingl
 
     Two documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
     more, which is computed for each candidate (see :func:`link_sets`); links are followed.  Texts of fewer words
-    are one shingle.  Null and empty texts are one group.  ``docs`` must be a stored table, whose rows can be read
-    again in one order.
+    are one shingle.  Null and empty texts are one group.  Rows are numbered once and stored with their numbers, as
+    another read may deal them otherwise.
     """
-    sets = materialize(shingle_sets(docs, shingle, doc_col, text_col), "shingles")
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    sets = materialize(shingle_sets(numbered, shingle, doc_col, text_col), "shingles")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     classes = materialize(sets.groupBy("node").agg(first), "classes")
     roots = components(link_sets(sets, classes, similarity), "near")
     alone = classes.join(roots, "node", "left_anti").select(F.col("first.row").alias("__row"))
     groups = roots.join(classes, "node").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     kept = alone.union(groups)
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").select(*docs.columns)
+    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, blocks: int = BLOCKS,

@@ -211,6 +211,22 @@ def test_near_duplicate_stage_links_exactly_the_similar(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
 
 
+def test_near_duplicate_stage_survives_another_dealing_of_files(spark):
+    from engramlake.llm.common import materialize
+
+    rng = random.Random(13)
+    texts = [text(rng, 30) for _ in range(40)]
+    stored = materialize(spark.createDataFrame([(i, texts[i % 40]) for i in range(80)], SCHEMA).repartition(8), "test")
+    kept = simhash.drop_near_duplicates(stored)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_simhash_odd_input(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count() and all(r.component_id is not None for r in got)
