@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import first_of_runs, lower_words, materialize, shard_count, slices, table
+from engramlake.lineage import discard
+from engramlake.llm.common import first_of_runs, lower_words, materialize, mix64, shard_count, slices, table
 from engramlake.llm.components import components
 
 SHINGLE = 4
 THRESHOLD = 4
 BLOCKS = 3
 _PAIRS_AT_ONCE = 1 << 21
+#: Copies of one anchor that one task compares; an anchor with more is dealt to several.
+ANCHOR_ROWS = 200_000
+_HASHES_AT_ONCE = 1 << 16
 
 
 def shingle_hashes(found: list[bytes], k: int) -> np.ndarray:
@@ -37,7 +43,10 @@ def fingerprint(hashes: np.ndarray) -> int:
     """Bits set in over half of the hashes; zero for none."""
     if not len(hashes):
         return 0
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _HASHES_AT_ONCE):
+        part = hashes[i : i + _HASHES_AT_ONCE]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
@@ -79,6 +88,15 @@ def covering(threshold: int = THRESHOLD, blocks: int = BLOCKS) -> list[CoveringC
     return [CoveringCode(a, b - a, threshold // blocks) for a, b in zip(cuts, cuts[1:])]
 
 
+@dataclass(frozen=True)
+class Run:
+    """One run of bits: its code, the word of the fingerprint it lies in, and the words its copies carry."""
+
+    code: CoveringCode
+    word: int
+    carried: tuple[int, ...]
+
+
 def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from every node of a graph to the least node it is connected with: at most one for each node."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -98,19 +116,35 @@ def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def near_pairs(anchor: np.ndarray, home: np.ndarray, prints: list[tuple[list[np.ndarray], int]], node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Stars over the pairs (home member, member) of one anchor; ``prints`` are fingerprints as words of 64 bits, each
-    with the largest number of bits in which a pair may differ.  Pairs are formed in bounded runs, and a run's
-    pairs are reduced to stars before they leave."""
-    order = np.lexsort((~home, anchor))
-    anchor, home, node = anchor[order], home[order], node[order]
-    prints = [([w[order] for w in words], most) for words, most in prints]
-    cut = np.flatnonzero(first_of_runs(anchor))
-    end = np.concatenate([cut[1:], [len(anchor)]])
-    group = np.cumsum(first_of_runs(anchor)) - 1
+class FewPartners:
+    """Of the pairs of one anchor, those with the first ``most`` partners of each member; the nodes of all others come
+    out as loops (n, n)."""
+
+    def __init__(self, rows: int, most: int):
+        self.met, self.most = np.zeros(rows, np.int64), most
+
+    def __call__(self, left: np.ndarray, right: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((left, right))
+        left, right = left[order], right[order]
+        first = np.flatnonzero(first_of_runs(right))
+        count = np.diff(first, append=len(right))
+        place = np.arange(len(right)) - np.repeat(first, count) + self.met[right]
+        self.met[right[first]] += count
+        few = place < self.most
+        loops = np.unique(np.concatenate([node[left[~few]], node[right[~few]]]))
+        a, b = node[left[few]], node[right[few]]
+        return np.concatenate([np.maximum(a, b), loops]), np.concatenate([np.minimum(a, b), loops])
+
+
+def near_pairs(key: np.ndarray, home: np.ndarray, member: np.ndarray, node: np.ndarray, words: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right): positions of the pairs (home, member) of one key whose ``words`` differ in at most ``most`` bits.
+    Pairs are formed in bounded runs; the rows must be sorted by key, members first, then by node."""
+    cut = np.flatnonzero(first_of_runs(key))
+    group = np.cumsum(first_of_runs(key)) - 1
+    members = np.add.reduceat(member.astype(np.int64), cut) if len(cut) else cut
     homes = np.flatnonzero(home)
-    size = (end - cut)[group[homes]]
-    begin = cut[group[homes]]
+    homes = homes[np.lexsort((node[homes], group[homes]))]
+    size, begin = members[group[homes]], cut[group[homes]]
     total = np.cumsum(size)
     at = 0
     while at < len(homes):
@@ -119,15 +153,14 @@ def near_pairs(anchor: np.ndarray, home: np.ndarray, prints: list[tuple[list[np.
         n = size[at:to]
         left = np.repeat(homes[at:to], n)
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at:to], n)
-        apart = left != right
+        apart = node[left] != node[right]
         left, right = left[apart], right[apart]
-        for words, most in prints:
-            far = np.zeros(len(left), np.int64)
-            for w in words:
-                far += np.bitwise_count(w[left] ^ w[right])
-            left, right = left[far <= most], right[far <= most]
+        far = np.zeros(len(left), np.int64)
+        for w in words:
+            far += np.bitwise_count(w[left] ^ w[right])
+            left, right, far = left[far <= most], right[far <= most], far[far <= most]
         if len(left):
-            yield star_edges(node[left], node[right])
+            yield left, right
         at = to
 
 
@@ -143,163 +176,182 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_col: str = "doc_id
     return docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD, blocks: int = BLOCKS, partitions: int = 64,
-                      checks: tuple[str, ...] = (), most: int = 0) -> DataFrame:
-    """Edges (a, b) that connect the rows of ``distinct`` as the pairs within ``threshold`` do.
+def link_fingerprints(distinct: DataFrame, runs: list[Run], most: int, partitions: int = 64, few: int | None = None) -> DataFrame:
+    """Edges (a, b) between the rows of ``distinct``: ``node`` names a row, w0, w1 ... are the words of its fingerprint.
 
-    ``fp`` is the fingerprint, ``node`` names a row.  ``checks`` are further words of a second fingerprint, in
-    which a linked pair may differ in at most ``most`` bits."""
-    codes = covering(threshold, blocks)
-    names = ["anchor", "home", "node", "fp", *checks]
+    Each row is replicated to its anchors in every run, and the rows of an anchor are compared by the words that
+    they carry, which may differ in at most ``most`` bits.  Without ``few`` the edges connect the rows as
+    the pairs found do.  With ``few`` they are pairs found, those with the first ``few`` partners of a row, and a loop
+    (n, n) for each row of another pair; rows that share a ``root``, where there is such a column, are no pair.
+
+    Anchors of more than ``ANCHOR_ROWS`` copies are dealt to several keys: a member to one, a home to all of them.
+    """
+    rooted = "root" in distinct.columns
+    width = len(runs[0].carried)
+    carry = [f"f{i}" for i in range(width)]
+    names = ["key", "home", "member", "node", *(["root"] if rooted else []), *carry]
+    words = sorted({r.word for r in runs} | {w for r in runs for w in r.carried})
+    spark = distinct.sparkSession
+    source = distinct.select("node", *(["root"] if rooted else []), *(f"w{i}" for i in words))
+    skip = 1 + rooted
+
+    def anchored(batch: pa.RecordBatch) -> Iterator[tuple]:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = {w: cols[skip + i].view(np.uint64) for i, w in enumerate(words)}
+        for k, run in enumerate(runs):
+            for i in range(0, len(cols[0]), 1 << 14):
+                who, anchor, home = run.code.anchors(held[run.word][i : i + (1 << 14)])
+                yield run, cols, held, i + who, (np.int64(k) << np.int64(48)) | (anchor.astype(np.int64) << np.int64(16)), home
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, _, key, _ in anchored(batch):
+                k, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    hot = source.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > ANCHOR_ROWS)
+    # at most (copies / ANCHOR_ROWS) anchors
+    large = sorted((r["key"], -(-r["n"] // ANCHOR_ROWS)) for r in hot.collect())
+    dealt = spark.sparkContext.broadcast((np.array([k for k, _ in large], np.int64), np.array([min(n, 1 << 16) for _, n in large], np.int64)))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, parts = dealt.value
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            x = cols[1].view(np.uint64)
-            for k, code in enumerate(codes):
-                for i in range(0, len(x), 1 << 14):
-                    who, anchor, home = code.anchors(x[i : i + (1 << 14)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((anchor.astype(np.int64) << 3) | k), pa.array(home), *(pa.array(c[i + who]) for c in cols)], names=names)
+            for run, cols, held, who, key, home in anchored(batch):
+                member = np.ones(len(key), bool)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                    n = np.where(hot[at] == key, parts[at], 1)
+                    own = (mix64(cols[0][who]) % n.astype(np.uint64)).astype(np.int64)
+                    more = np.flatnonzero(home & (n > 1))
+                    copy = np.repeat(more, n[more])
+                    part = np.arange(len(copy)) - np.repeat(np.cumsum(n[more]) - n[more], n[more])
+                    other = part != own[copy]
+                    copy, part = copy[other], part[other]
+                    who, home = np.concatenate([who, who[copy]]), np.concatenate([home, home[copy]])
+                    member = np.concatenate([member, np.zeros(len(copy), bool)])
+                    key = np.concatenate([key | own, key[copy] | part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(home), pa.array(member), *(pa.array(c[who]) for c in cols[:skip]), *(pa.array(held[w][who].view(np.int64)) for w in run.carried)],
+                    names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        anchor, home, node, fp, *rest = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
-        prints = [([fp.view(np.uint64)], threshold)] + ([([c.view(np.uint64) for c in rest], most)] if rest else [])
-        for a, b in near_pairs(anchor, home, prints, node):
+        key, home, member, node, *rest = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        order = np.lexsort((node, ~member, key))
+        key, home, member, node = key[order], home[order], member[order], node[order]
+        root = rest[0][order] if rooted else None
+        carried = [c[order].view(np.uint64) for c in rest[int(rooted):]]
+        partners = FewPartners(len(key), few) if few is not None else None
+        for left, right in near_pairs(key, home, member, node, carried, most):
+            if rooted:
+                apart = root[left] != root[right]
+                left, right = left[apart], right[apart]
+            a, b = partners(left, right, node) if partners else star_edges(node[left], node[right])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    schema = "anchor long, home boolean, node long, fp long" + "".join(f", {c} long" for c in checks)
-    copies = distinct.select("node", "fp", *checks).mapInArrow(replicate, schema)
-    return copies.repartition(partitions, "anchor").mapInArrow(compare, "a long, b long")
+    schema = "key long, home boolean, member boolean, node long" + (", root long" if rooted else "") + "".join(f", {c} long" for c in carry)
+    copies = source.mapInArrow(replicate, schema)
+    return copies.repartition(partitions, "key").mapInArrow(compare, "a long, b long")
 
 
 SIMILARITY = 0.8
 STAGE_SHINGLE = 5
-#: Rows in whose sample a shingle must occur this often to be put last in the order; only costs depend on these.
-HOT_SAMPLE = 4096
-HOT_ROWS = 5
-MOST_HOT = 1 << 16
-#: Grams that candidates must share; each costs one posting more for a set.
-SHARED = 6
+#: Share of the pairs just at the similarity that meet at an anchor; pairs above it meet more often.
+RECALL = 0.997
+#: Fingerprints that a fingerprint may meet by chance at the anchors of one run.
+CHANCE = 8192
+#: Words of a fingerprint that a copy carries, and the standard deviations of slack in their comparison.
+CARRIED, SLACK = 2, 4.5
+#: Partners of a fingerprint at an anchor that are compared at once; others only if they are in another group by then.
+PARTNERS = 8
 
 
-def shingle_sets(docs: DataFrame, shingle: int = STAGE_SHINGLE, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, node, grams): the distinct shingle hashes of each text, rising as unsigned numbers, and their
-    64-bit digest, which names the set.  ``row`` is the column ``__row``."""
-    source = docs.select(F.col("__row").alias("row"), F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
+def flips(similarity: float) -> float:
+    """Share of SimHash bits in which two sets of equal size and this Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(lower_words(t), shingle)) for t in batch.column(2).to_pylist()]
-            names = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), grams], names=["row", "doc_id", "node", "grams"])
 
-    kind = docs.schema[doc_col].dataType.simpleString()
-    return source.mapInArrow(run, f"row long, doc_id {kind}, node long, grams array<long>")
+def meeting(width: int, p: float) -> float:
+    """Share of the pairs that differ in at most one bit of a run of ``width`` bits, each flipped with probability ``p``."""
+    return (1 - p) ** width + width * p * (1 - p) ** (width - 1)
 
 
-def hot_grams(sets: DataFrame) -> np.ndarray:
-    """Shingles that are frequent in a sample of the rows, sorted."""
-    some = sets.where(F.pmod(F.xxhash64("row"), F.lit(max(1, sets.count() // HOT_SAMPLE))) == 0)
-    counts = some.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS)
-    return np.sort(np.array([r["gram"] for r in counts.orderBy(F.desc("n"), "gram").limit(MOST_HOT).collect()], np.int64))
+def stage_runs(n: int, similarity: float = SIMILARITY) -> tuple[list[Run], int]:
+    """(runs, number of words) for ``n`` fingerprints: runs as short as chance meetings allow, as many as ``RECALL`` needs."""
+    width = 15
+    while width < 31 and n * (width + 1) / 2**width > CHANCE:
+        width += 1
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - meeting(width, flips(similarity))))
+    each = 64 // width
+    words = max(-(-count // each), CARRIED + 1)
+    return [Run(CoveringCode(k % each * width, width, 1), k // each, tuple((k // each + 1 + j) % words for j in range(CARRIED))) for k in range(count)], words
 
 
-def postings(sets: DataFrame, similarity: float, hot: np.ndarray) -> DataFrame:
-    """(gram, node, n, at): the first n - c + min(SHARED, c) of a set's n grams, c = ceil(similarity * n), in one order of
-    all grams, the ``hot`` ones last.  Sets that are similar enough share SHARED of these, or as many as they have in
-    common if that is less, whatever the order."""
-    shared = sets.sparkSession.sparkContext.broadcast(hot)
+def shingle_sketches(rows: DataFrame, words: int, shingle: int) -> DataFrame:
+    """(row, d0, d1, w0, w1 ...) of (row, text): 128-bit digest and fingerprint of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                ends, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
-                n = np.diff(ends)
-                least = np.ceil(n * similarity - 1e-9).astype(np.int32)
-                k = n - least + np.minimum(least, SHARED)
-                first = []
-                for a, b, m in zip(ends, ends[1:], k):
-                    g = values[a:b]
-                    if len(hot):
-                        late = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
-                        g = np.concatenate([g[~late], g[late]])
-                    first.append(g[:m])
-                at = np.arange(k.sum(), dtype=np.int32) - np.repeat(np.cumsum(k) - k, k).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(first)), pa.array(np.repeat(batch.column(0).to_numpy(), k)), pa.array(np.repeat(n, k)), pa.array(at)],
-                    names=["gram", "node", "n", "at"])
+        for batch in slices(batches):
+            out = []
+            for t in batch.column(1).to_pylist():
+                h = np.unique(shingle_hashes(lower_words(t), shingle))
+                digest = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+                out.append([*digest.tolist(), *(np.uint64(fingerprint(mix64(h + np.uint64(k)))).view(np.int64) for k in range(words))])
+            cols = np.array(out, np.int64).reshape(len(out), words + 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols)],
+                                             names=["row", "d0", "d1", *(f"w{k}" for k in range(words))])
 
-    return sets.where(F.size("grams") > 0).select("node", "grams").mapInArrow(run, "gram long, node long, n int, at int")
+    return rows.select("row", "text").mapInArrow(run, "row long, d0 long, d1 long" + "".join(f", w{k} long" for k in range(words)))
 
 
-def shared_postings(entries: DataFrame, partitions: int) -> DataFrame:
-    """The distinct rows of :func:`postings` whose gram another set has too; ``least`` marks the gram's least node."""
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams) of (node, text): the distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        gram, node, n, at = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
-        order = np.lexsort((node, gram))
-        order = order[first_of_runs(gram[order]) | first_of_runs(node[order])]
-        least = first_of_runs(gram[order])
-        several = ~(least & np.append(least[1:], True))
-        order, least = order[several], least[several]
-        for i in range(0, len(order), 1 << 16):
-            o = order[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[o]) for c in (gram, node, n, at)), pa.array(least[i : i + (1 << 16)])],
-                                             names=["gram", "node", "n", "at", "least"])
-
-    return entries.repartition(partitions, "gram").mapInArrow(run, "gram long, node long, n int, at int, least boolean")
-
-
-def candidates(x: DataFrame, y: DataFrame, similarity: float, also: Column) -> DataFrame:
-    """(a, b): nodes of postings that may be of similar sets, by the sets' sizes, the number of grams they share here and
-    the grams from the first shared one on."""
-    n, m, slack = F.col("x.n"), F.col("y.n"), 1e-6
-    sizes = (n >= m * similarity - slack) & (m >= n * similarity - slack)
-    pairs = x.alias("x").join(y.alias("y"), (F.col("x.gram") == F.col("y.gram")) & also & sizes).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least(n - F.col("x.at"), m - F.col("y.at")).alias("left"),
-        ((n + m) * (similarity / (1 + similarity)) - slack).alias("need"))
-    met = pairs.groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("shared"), F.max("left").alias("left"))
-    return met.where((F.col("shared") >= F.least(F.lit(float(SHARED)), "need")) & (F.col("left") >= F.col("need"))).select("a", "b")
-
-
-def similar_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the ``pairs`` of nodes (a, b) whose sets have a Jaccard similarity of ``similarity`` or more."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    sides = materialize(sides.join(classes, "node").select("a", "b", F.col("first.row").alias("row")), "candidates")
-    both = sides.join(sets.select("row", "grams"), "row").groupBy("a", "b").agg(F.collect_list("grams").alias("g"))
-    x, y = F.col("g")[0], F.col("g")[1]
-    common = F.size(F.array_intersect(x, y))
-    return materialize(both.where(common / (F.size(x) + F.size(y) - common) >= similarity).select("a", "b"), "similar")
-
-
-def link_sets(sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect the nodes of ``sets`` as the pairs of Jaccard similarity ``similarity`` or more do;
-    each edge is such a pair.  ``classes`` has one row (first.row) of each node.
-
-    Candidates come from a prefix filter and lose no pair.  First each set of a gram is compared with the gram's
-    least one; then the sets that these links leave apart meet, so a large group's pairs aren't formed.
-    """
-    entries = shared_postings(postings(sets, similarity, hot_grams(sets)), shard_count(sets, 16 << 20, 24))
-    entries = materialize(entries, "postings")
-    stars = candidates(entries.where("least"), entries.where("NOT least"), similarity, F.lit(True))
-    near = similar_pairs(stars, classes, sets, similarity)
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(lower_words(t), shingle)) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), grams], names=["node", "grams"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, grams array<long>")
+
+
+def similar_pairs(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of the ``pairs`` of nodes (a, b) whose texts in ``rows`` (row, text) have shingle sets of a Jaccard similarity
+    of ``similarity`` or more.  A set goes to its pairs in plain joins of stored tables, whose hot keys can be split."""
+    pairs = materialize(pairs.where("a <> b").distinct(), "candidates")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(shingle_sets(rows.join(nodes, rows.row == nodes.node).select("node", "text"), shingle), "shingles")
+    x, y = sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
+    common = F.size(F.array_intersect("x", "y"))
+    met = pairs.join(x, "b").join(y, "a").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9)
+    out = materialize(met.select("a", "b"), "similar")
+    discard(pairs)
+    discard(sets)
+    return out
+
+
+def link_texts(classes: DataFrame, rows: DataFrame, runs: list[Run], similarity: float, shingle: int, partitions: int) -> DataFrame:
+    """Edges (a, b) between the nodes of ``classes`` (node, w0, w1 ...) whose texts are similar; links followed, they
+    connect all similar pairs that met at an anchor.
+
+    Each node is first compared with a few partners of an anchor, those with the smallest names, which are the same
+    for all.  The nodes with more partners meet again, and pairs that the links so far leave in different groups are
+    compared too; so the pairs of a large group aren't formed."""
+    p = flips(similarity)
+    most = math.floor(64 * CARRIED * p + SLACK * math.sqrt(64 * CARRIED * p * (1 - p)))
+    met = materialize(link_fingerprints(classes, runs, most, partitions, PARTNERS), "met")
+    near = similar_pairs(met, rows, similarity, shingle)
+    crowded = met.where("a = b").select(F.col("a").alias("node")).distinct()
     roots = components(near, "stars")
-    labelled = materialize(entries.join(roots, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root")), "labelled")
-    several = labelled.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    others = labelled.join(several, "gram", "left_semi")
-    rest = candidates(others, others, similarity, (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
-    return near.union(similar_pairs(rest, classes, sets, similarity))
+    again = classes.join(crowded, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    again = materialize(again, "crowded")
+    rest = similar_pairs(link_fingerprints(again, runs, most, partitions, 1 << 62), rows, similarity, shingle)
+    return near.union(rest)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE,
@@ -308,19 +360,29 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingl
     (null ids come last, then the earlier row).
 
     Two documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
-    more, which is computed for each candidate (see :func:`link_sets`); links are followed.  Texts of fewer words
-    are one shingle.  Null and empty texts are one group.  Rows are numbered once and stored with their numbers, as
-    another read may deal them otherwise.
+    more and their SimHash fingerprints over these sets meet at an anchor; links are followed.  Every pair that meets
+    is confirmed by its exact similarity, so no other documents are linked.  Pairs meet with a probability of
+    ``RECALL`` just at ``similarity`` and more above it; equal sets always do.  Texts of fewer words are one shingle.
+    Null and empty texts are one group.  Rows are numbered once and stored with their numbers, as another read
+    may deal them otherwise.
     """
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    sets = materialize(shingle_sets(numbered, shingle, doc_col, text_col), "shingles")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
-    classes = materialize(sets.groupBy("node").agg(first), "classes")
-    roots = components(link_sets(sets, classes, similarity), "near")
-    alone = classes.join(roots, "node", "left_anti").select(F.col("first.row").alias("__row"))
-    groups = roots.join(classes, "node").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    kept = alone.union(groups)
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    numbered = materialize(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    doc, text = (names[docs.columns.index(c)] for c in (doc_col, text_col))
+    n = numbered.count()
+    runs, words = stage_runs(n, similarity)
+    rows = numbered.select("row", F.col(text).alias("text"))
+    sketches = materialize(shingle_sketches(rows, words, shingle), "sketches")
+    prints = [f"w{k}" for k in range(words)]
+    order = F.struct(F.col(doc).isNull().alias("n"), F.col(doc).alias("doc"), "row")
+    keyed = sketches.join(numbered.select("row", doc), "row")
+    classes = keyed.groupBy("d0", "d1").agg(F.min(order).alias("first"), *(F.min(w).alias(w) for w in prints))
+    classes = materialize(classes.select(F.col("first.row").alias("node"), F.col("first.n").alias("n"), F.col("first.doc").alias("doc"), *prints), "classes")
+    partitions = int(max(24, n * len(runs) * 8 // 2_000_000))
+    roots = components(link_texts(classes, rows, runs, similarity, shingle, partitions), "near")
+    placed = classes.join(roots, "node", "left").select("node", "n", "doc", F.coalesce("root", "node").alias("root"))
+    kept = placed.groupBy("root").agg(F.min(F.struct("n", "doc", "node")).alias("first")).select(F.col("first.node").alias("row"))
+    return numbered.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, blocks: int = BLOCKS,
@@ -332,14 +394,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     and are linked like any other; a null doc_id is never a component_id unless its component has no other.
     """
     fps = materialize(fingerprints(docs, shingle, doc_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    distinct = fps.select("fp").distinct().withColumn("node", F.col("fp"))
-    links = link_fingerprints(distinct, threshold, blocks, shard_count(fps, 1 << 16, 24))
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    runs = [Run(code, 0, (0,)) for code in covering(threshold, blocks)]
+    links = link_fingerprints(classes.select(F.col("fp").alias("node"), F.col("fp").alias("w0")), runs, threshold, shard_count(fps, 1 << 16, 24))
     roots = components(links, "simhash")
-    low = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = roots.join(low, "root").select("node", "component_id")
-    labels = classes.join(linked, classes.fp == linked.node, "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    labels = materialize(labels, "labels")  # a plain join of two tables, whose hot keys can be split
+    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = materialize(placed, "placed")
+    # plain joins of stored tables, whose hot keys can be split
+    low = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "low")
+    labels = materialize(placed.join(low, "root").select("fp", "component_id"), "labels")
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
