@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import table
+from engramlake.llm.common import materialize, table
+from engramlake.session import ship
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -19,39 +20,35 @@ RULES: list[Rule] = [
     ("allow", "org", "/fr/"),
 ]
 DEFAULT_VERDICT = "allow"
-#: Bytes of rule text that are broadcast as one trie; beyond it the rules are joined instead.
-MAX_TRIE_BYTES = 16 << 20
+#: Bytes of rule text that are broadcast as one trie (some 40 times that in memory); beyond it the rules are joined.
+MAX_TRIE_BYTES = 2 << 20
 
-_SCHEMA = "page_id long, host string, path string, rule string, verdict string"
+_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 class UrlTrie:
-    """Nodes are dictionaries.  A host walk goes label by label from the top-level domain; at each host node with
-    entries hangs a path trie over whole segments, whose last, possibly partial segment is a prefix."""
+    """Nodes are dictionaries.  A host walk goes label by label from the top-level domain, empty labels like any other; at
+    each host node with entries hangs a path trie over whole segments, whose last, possibly partial segment is found
+    among the node's prefixes, longest first."""
 
     def __init__(self, rules: list[Rule]):
         self.root: dict = {}
-        for verdict, host, path in rules:
-            if verdict not in ("allow", "block"):
-                raise ValueError(f"unknown verdict {verdict!r}")
+        for verdict, host, path in checked(rules):
             node = self.root
-            for label in reversed(host.lower().split(".")) if host else ():
+            for label in reversed(host.split(".")) if host else ():
                 node = node.setdefault(("h", label), {})
             *whole, last = path.split("/")
             node = node.setdefault("p", {})
             for segment in whole:
                 node = node.setdefault(("s", segment), {})
-            ends = node.setdefault("e", {})
-            was = ends.get(last)
-            if was is None or was[1] == "allow":  # the same entry in both lists blocks
-                ends[last] = (host + path, verdict)
+            node.setdefault("e", {})[last] = (host + path, verdict)
+            node["n"] = tuple(sorted({*node.get("n", ()), len(last)}, reverse=True))
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """The entry with the longest host, then the longest path."""
-        best, node = None, self.root
-        segments = None
-        for label in ["", *reversed(host.split("."))]:
-            if label or node is not self.root:
+        best, node, segments = None, self.root, None
+        for label in [None, *reversed(host.split("."))]:
+            if label is not None:
                 node = node.get(("h", label))
             if node is None:
                 break
@@ -59,9 +56,10 @@ class UrlTrie:
                 segments = path.split("/") if segments is None else segments
                 at, found = node["p"], None
                 for segment in segments:
-                    for last, entry in at.get("e", {}).items():
-                        if segment.startswith(last) and (found is None or len(entry[0]) > len(found[0])):
-                            found = entry
+                    for n in at.get("n", ()):
+                        if n <= len(segment) and segment[:n] in at["e"]:
+                            found = at["e"][segment[:n]]
+                            break
                     at = at.get(("s", segment))
                     if at is None:
                         break
@@ -69,7 +67,15 @@ class UrlTrie:
         return best
 
 
-_UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+def checked(rules: list[Rule]) -> list[Rule]:
+    """The rules with hosts in lower case (A-Z), each entry once: one listed both ways blocks."""
+    found: dict[tuple[str, str], str] = {}
+    for verdict, host, path in rules:
+        if verdict not in ("allow", "block"):
+            raise ValueError(f"unknown verdict {verdict!r}")
+        key = (host.translate(_UPPER), path)
+        found[key] = max(verdict, found.get(key, verdict))
+    return [(v, h, p) for (h, p), v in found.items()]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -88,14 +94,16 @@ def split_url(url: str | None) -> tuple[str, str]:
 def judge_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """One row for each row: ``key``, host, path, rule (null if none fits) and verdict.
 
-    An entry fits its host and all subdomains where the path starts with the entry's path.  The longest host
+    An entry fits its host and all subdomains where the path starts with the entry's path; an entry without a host
+    fits any.  Labels are compared as they stand, so a host that ends in a dot is another host.  The longest host
     wins, then the longest path; an entry listed both ways blocks.  Null urls and urls without ``://`` have an
-    empty host and path and get ``default``.  Other columns are ignored; very long urls cost their length.
+    empty host and path and meet only entries without a host.  Other columns are ignored; very long urls cost their length.
     Rules of up to ``MAX_TRIE_BYTES`` of text are broadcast as one trie; longer lists go through
-    :func:`judge_by_join`.
+    :func:`judge_by_join`, with the same results.
     """
     if sum(len(h) + len(p) for _, h, p in rules) > MAX_TRIE_BYTES:
         return judge_by_join(pages, rules, key, url, default)
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,32 +119,44 @@ def judge_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: s
                     pa.array([x and x[0] for x in found], pa.string()),
                     pa.array([x[1] if x else default for x in found], pa.string()),
                 ],
-                names=[key, "host", "path", "rule", "verdict"],
+                names=["key", "host", "path", "rule", "verdict"],
             )
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, url).mapInArrow(judge, _SCHEMA.replace("page_id long", f"`{key}` {kind}"))
+    found = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).mapInArrow(judge, f"key {kind}, host string, path string, rule string, verdict string")
+    return found.toDF(key, "host", "path", "rule", "verdict")
 
 
 def judge_by_join(pages: DataFrame, rules: list[Rule], key: str, url: str, default: str) -> DataFrame:
-    """The same result for lists too long to broadcast: every suffix of a host's labels meets the rules of that
-    host in an equi-join, and the longest that fits stays."""
+    """The same result for lists too long to broadcast: every suffix of a host's labels, up to the length of the longest
+    rule's host, meets the rules of that host in an equi-join, and the longest that fits stays."""
+    ship(pages.sparkSession)
     spark = pages.sparkSession
-    listed = spark.createDataFrame(rules, "r_verdict string, r_host string, r_path string")
-    listed = listed.groupBy(F.lower("r_host").alias("r_host"), "r_path").agg(F.max("r_verdict").alias("r_verdict"))
-    rest = F.coalesce(F.regexp_extract(F.col(url), r"(?s)^.*?://([^?#]*)", 1), F.lit(""))
-    raw = pages.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row"), rest.alias("rest"))
-    host = F.translate(F.regexp_extract("rest", r"(?s)^[^/]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    split = raw.select("k", "row", F.regexp_extract("rest", r"(?s)/.*$", 0).alias("path"), host.alias("host"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    walked = split.withColumn("r_host", F.explode(F.array_union(suffixes, F.array(F.lit("")))))
-    met = walked.join(listed, "r_host", "left").withColumn("fits", F.expr("r_path IS NOT NULL AND startswith(path, r_path)"))
+    listed = spark.createDataFrame(checked(rules), "r_verdict string, r_host string, r_path string")
+    longest = max((len(h) for _, h, _ in rules), default=0)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [split_url(u) for u in batch.column(1).to_pylist()]
+            suffixes = []
+            for host, _ in parts:
+                own, at = {"", host}, len(host)
+                while at > 0 and len(host) - at <= longest:
+                    at = host.rfind(".", 0, at)
+                    own.add(host[at + 1 :])
+                suffixes.append(sorted(x for x in own if len(x) <= longest))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(suffixes, pa.list_(pa.string()))],
+                names=["k", "host", "path", "suffixes"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    split = pages.select(F.col(key).alias("k"), F.col(url).alias("url")).mapInArrow(walk, f"k {kind}, host string, path string, suffixes array<string>")
+    split = materialize(split.withColumn("row", F.monotonically_increasing_id()), "urls")
+    walked = split.select("row", "path", F.explode("suffixes").alias("r_host"))
     order = F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"), F.concat("r_host", "r_path").alias("rule"), "r_verdict")
-    best = met.groupBy("row").agg(
-        F.first("k").alias(key), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(F.col("fits"), order)).alias("m")
-    )
-    return best.select(key, "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.r_verdict", F.lit(default)).alias("verdict"))
+    best = walked.join(listed, "r_host").where("startswith(path, r_path)").groupBy("row").agg(F.max(order).alias("m"))
+    return split.join(best, "row", "left").select(
+        F.col("k").alias(key), "host", "path", F.col("m.rule").alias("rule"), F.coalesce("m.r_verdict", F.lit(default)).alias("verdict"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,32 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_trie_join_and_rule_text_agree(spark):
+    rng = random.Random(21)
+
+    def some_host():
+        return ".".join(rng.choice(["a", "b", "net", "Org", "", "é"]) for _ in range(rng.randrange(1, 5)))
+
+    def some_path():
+        return "/" + "".join(rng.choice("/ab") for _ in range(rng.randrange(5)))
+
+    rules = [(rng.choice(["allow", "block"]), some_host(), some_path()) for _ in range(150)] + [("block", "", "/zz"), ("allow", "net", ""), ("block", "NET", "")]
+    urls = [f"http://{some_host()}{some_path()}" for _ in range(1200)] + ["http://example.net./x", "http://.net/", "http://net./", "http://", "://", None, "http://q/zzz"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = url_filter.checked(rules)
+
+    def judge(url):
+        host, path = url_filter.split_url(url)
+        fit = [(len(h), len(p), h + p, v) for v, h, p in listed if (not h or host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *max(fit)[2:]) if fit else (host, path, None, "allow")
+
+    want = {i: judge(u) for i, u in enumerate(urls)}
+    assert {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls(pages, rules).collect()} == want
+    assert {r.page_id: tuple(r)[1:] for r in url_filter.judge_by_join(pages, rules, "page_id", "url", "allow").collect()} == want
+    assert url_filter.UrlTrie(url_filter.RULES).match("example.net.", "/x") is None
+    assert sum(v[2] is not None for v in want.values()) > 200
+
+
 def test_simhash_matches_brute_force(docs, rows):
     from pyspark.sql import functions as F
 
