@@ -402,8 +402,43 @@ def test_tokenizers_agree(small):
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     enc = packing.encoder(packing.vocabulary_path())
     texts = pq.read_table(f"{small}/documents.parquet")["text"].to_pylist() + ["a\u00a0b  c\t\td", "日本語 emoji 😀 ñ", "1234 5'll x_y", "", " "]
+    texts += ["a<|endoftext|>b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext|", "un<|endoftext|>broken\n\n<|endoftext|>  z"]
+    texts += ["a" + c * 1_000_000 + "b" for c in " \n"] + ["ab" * 500_000, "\t " * 1500 + "<|endoftext|>" + "\u3000" * 3000 + "x"]
     for t in texts:
-        assert list(enc.encode_ordinary(t)) == tk.encode(t, add_special_tokens=False).ids
+        assert enc.ids(t) == tk.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_odd_texts(spark):
+    rows = [(0, "a<|endoftext|>b"), (1, "a" + "\n" * 1_000_000 + "b"), (2, "ab" * 200_000), (3, "<|endoftext|>" * 5000)]
+    check_packing(packing.pack_documents(spark.createDataFrame(rows, SCHEMA)).collect(), rows)
+
+
+def test_bin_completion_finds_the_optimum_of_small_cases():
+    rng = random.Random(14)
+
+    def least(items, capacity):
+        best = len(items)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for room in set(bins):
+                if room >= items[i]:
+                    go(i + 1, sorted([*bins[: bins.index(room)], room - items[i], *bins[bins.index(room) + 1 :]]))
+            go(i + 1, [*bins, capacity - items[i]])
+
+        go(0, [])
+        return best
+
+    for _ in range(60):
+        capacity = rng.choice([10, 23, 50])
+        items = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 11))), reverse=True)
+        plan = packing.complete_bins({x: items.count(x) for x in items}, capacity)
+        assert sum(times for _, times in plan) == least(items, capacity)
 
 
 ITEMS = [(1, "w1 w2 w3"), (2, None), (3, "..."), (4, " ".join(f"w{i}" for i in range(10, 30))), (5, "The Of"), (4, "w1 w2 w3 w4")]
