@@ -10,18 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import alnum_words, slices, table
+from engramlake.lineage import discard
+from engramlake.llm.common import alnum_words, materialize, slices, table
+from engramlake.session import ship
 
 WINDOW = 10
-#: Text of benchmark items in one broadcast set of tables; larger benchmarks are searched set by set.
-MAX_PATTERN_BYTES = 32 << 20
+#: Words of benchmark items in one broadcast set of tables (some 150 bytes of tables a word); larger benchmarks are
+#: searched set by set.
+MAX_PATTERN_WORDS = 400_000
 _SEGMENT = 512
 _HASH_BITS = 16
 
 
 def _block_hash(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     """Block of two word symbols."""
-    return ((a * 0x9E3779B1 + np.asarray(b) * 0x85EBCA6B) >> 7) & ((1 << _HASH_BITS) - 1)
+    return ((a.astype(np.int64) * 0x9E3779B1 + np.asarray(b, np.int64) * 0x85EBCA6B) >> 7) & ((1 << _HASH_BITS) - 1)
 
 
 class WuManber:
@@ -30,8 +33,9 @@ class WuManber:
     ``shift`` tells, for the block that ends at a position, how many positions no pattern can end at; where it is
     zero, the block's bucket holds the patterns to compare word by word."""
 
-    def __init__(self, patterns: np.ndarray, owners: list[frozenset]):
-        self.patterns, self.owners = patterns, owners
+    def __init__(self, patterns: np.ndarray, owner: np.ndarray, first_owner: np.ndarray):
+        """``owner[first_owner[p] : first_owner[p + 1]]`` are the items that hold pattern p."""
+        self.patterns, self.owner, self.first_owner = patterns, owner, first_owner
         self.m = m = patterns.shape[1]
         self.block = min(2, m)
         size = 1 << _HASH_BITS
@@ -80,15 +84,23 @@ class WuManber:
 class Matcher:
     """Wu-Manber tables for each window length over a shared vocabulary; symbol 0 is any other word."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in alnum_words(text)]
-            m = min(window, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                by_length.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set()).add("" if item is None else str(item))
-        self.tables = [WuManber(np.array(list(p), np.int64), [frozenset(x) for x in p.values()]) for _, p in sorted(by_length.items())]
+        self.names = sorted({name for name, _ in items})
+        index = {name: i for i, name in enumerate(self.names)}
+        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for name, words in items:
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int32)
+            if len(ids):
+                m = min(window, len(ids))
+                by_length.setdefault(m, []).append((np.lib.stride_tricks.sliding_window_view(ids, m), index[name]))
+        self.tables = []
+        for m, found in sorted(by_length.items()):
+            rows = np.concatenate([w for w, _ in found])
+            owner = np.repeat([i for _, i in found], [len(w) for w, _ in found])
+            patterns, pattern = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([pattern.reshape(-1), owner], 1), axis=0)
+            self.tables.append(WuManber(patterns, pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1))))
 
     def find(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
         """For each text: number of words, merged spans of words inside occurrences, items that occur."""
@@ -105,7 +117,7 @@ class Matcher:
             np.add.at(cover, starts + t.m, -1)
             pairs = np.unique(np.stack([doc[starts], patterns], 1), axis=0) if len(starts) else []
             for d, p in pairs:
-                items.setdefault(int(d), set()).update(t.owners[p])
+                items.setdefault(int(d), set()).update(self.names[i] for i in t.owner[t.first_owner[p] : t.first_owner[p + 1]])
         hit = np.concatenate([[False], np.cumsum(cover[:-1]) > 0, [False]])
         begin = np.concatenate([[0], np.cumsum(lengths)])
         out = [(int(n), [], items.get(i, set())) for i, n in enumerate(lengths)]
@@ -117,60 +129,93 @@ class Matcher:
         return out
 
 
-def pattern_sets(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
-    """The benchmark in sets of at most ``limit`` bytes of text (a longer item stands alone); one set is on the
-    driver at a time."""
+def pattern_sets(benchmark: DataFrame, item_col: str, text_col: str, limit: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The words of the benchmark's items in sets of at most ``limit`` words.  Items come to the driver one by one and one
+    set is held at a time; a longer item is cut into pieces that share ``window`` - 1 words."""
     held, size = [], 0
     for row in benchmark.select(item_col, text_col).toLocalIterator():
-        held.append((row[0], row[1]))
-        size += len(row[1] or "") * 4
-        if size >= limit:
-            yield held
-            held, size = [], 0
+        words, name = alnum_words(row[1]), "" if row[0] is None else str(row[0])
+        at = 0
+        while at == 0 or at < len(words) - window + 1:
+            part = words[at : at + max(limit, window)]
+            if held and size + len(part) > limit:
+                yield held
+                held, size = [], 0
+            held.append((name, part))
+            size += len(part)
+            at += max(limit, window) - window + 1
     if held:
         yield held
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
-         item_col: str = "item_id", item_text: str = "text", limit: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """The columns of ``keep`` with n_words, spans (word ranges inside occurrences of a window of ``window`` consecutive
-    item words; a shorter item is one window) and items (texts of the item ids that occur, sorted).
+def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
+           item_text: str = "text", limit: int = MAX_PATTERN_WORDS) -> DataFrame:
+    """The columns of ``docs``, named c0, c1 ... by their places, with n_words, spans and items as in :func:`scan`.
 
-    Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.  Null and empty texts have no
-    words and no spans; items without words match nothing; repeated rows are judged alike; other columns are
-    ignored.  The tables of a pattern set are bounded by ``limit`` and broadcast; a larger benchmark is searched in
-    further passes, each of which adds to what the passes before it found.
-    """
+    One set of patterns at a time is on the driver and in the executors: what a pass found is stored, and its tables are
+    given up, before the next set is built."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
-    names = list(keep)
-    out = docs.select(*names, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-
-    def search(items: list[tuple], first: bool):
-        shared = spark.sparkContext.broadcast(Matcher(items, window))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(names, docs.schema))
+    schema = own + ", n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+    at = docs.columns.index(text_col)
 
+    def step(shared, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "__text"):
-                held = batch.to_pydict() if not first else {}
+            for batch in slices(batches, names[at]):
+                before = None if first else (batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2).to_pylist())
                 spans, owners, counts = [], [], []
-                for i, (n, own, x) in enumerate(shared.value.find(batch.column(len(names)).to_pylist())):
-                    if not first:
-                        own = merge_spans(own + [(s["start"], s["end"]) for s in held["__spans"][i]])
-                        x = x | set(held["__items"][i])
+                for i, (n, own, x) in enumerate(shared.value.find(batch.column(at).to_pylist())):
+                    if before:
+                        own = merge_spans(own + [(s["start"], s["end"]) for s in before[0][i]])
+                        x = x | set(before[1][i])
                     counts.append(n)
                     spans.append([{"start": a, "end": b} for a, b in own])
                     owners.append(sorted(x))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(names) + 1], pa.array(counts, pa.int64()),
+                    [*batch.columns[: len(names)], pa.array(counts, pa.int64()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(owners, pa.list_(pa.string()))],
-                    names=[*names, "__text", "__words", "__spans", "__items"])
+                    names=[*names, "n_words", "spans", "items"])
 
         return run
 
-    sets = list(pattern_sets(benchmark, item_col, item_text, limit)) or [[]]
-    for k, items in enumerate(sets):
-        out = out.mapInArrow(search(items, k == 0), schema + ", __text string, __words long, __spans array<struct<start:int,end:int>>, __items array<string>")
-    return out.select(*names, F.col("__words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
+    out, stored = docs.toDF(*names), None
+    sets = pattern_sets(benchmark, item_col, item_text, limit, window)
+    items, first = next(sets, []), True
+    while True:
+        shared = spark.sparkContext.broadcast(Matcher(items, window))
+        found = out.mapInArrow(step(shared, first), schema)
+        items = next(sets, None)
+        if items is None:
+            return found
+        out = materialize(found, "searched")
+        shared.unpersist()
+        if stored is not None:
+            discard(stored)
+        stored, first = out, False
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
+         item_col: str = "item_id", item_text: str = "text", limit: int = MAX_PATTERN_WORDS) -> DataFrame:
+    """The columns of ``keep`` with n_words, spans (word ranges inside occurrences of a window of ``window`` consecutive
+    item words; a shorter item is one window) and items (texts of the item ids that occur, sorted).
+
+    Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.  Null and empty texts have no
+    words and no spans; items without words match nothing; repeated rows are judged alike; other columns are
+    ignored; a kept column may have the name of a result, which then stands behind it.  The tables of a pattern
+    set are bounded by ``limit`` words and broadcast; a larger benchmark is searched in further passes, each of
+    which adds to what the passes before it found.
+    """
+    found = search(docs.select(*keep, F.col(text_col).alias("__text")), benchmark, window, "__text", item_col, item_text, limit)
+    return found.drop(f"c{len(keep)}").toDF(*keep, "n_words", "spans", "items")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
+                    item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without an occurrence, columns unchanged."""
+    found = search(docs, benchmark, window, text_col, item_col, item_text)
+    return found.where(F.size("spans") == 0).select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.llm.common import in_fold, slices, table
+from engramlake.session import ship
 
 #: Rows that the model is fitted on: those with the smallest hash among the training rows.
 SAMPLE_ROWS = 1500
+#: Characters of these rows together, and of one row at most.
+SAMPLE_CHARS = 16 << 20
+SAMPLE_ROW_CHARS = 1 << 20
 N_BUCKETS = 1 << 17
 EPOCHS = 12
 UNDETERMINED = "und"
@@ -253,47 +257,73 @@ class Crf:
         return [(self.labels[j], x) if n else (UNDETERMINED, 0.0) for n, j, x in zip(size, total.argmax(1).tolist(), score.tolist())]
 
 
-def sample_rows(docs: DataFrame, doc_col: str, text_col: str, lang_col: str, limit: int) -> list[tuple[str, str]]:
-    """At most ``limit`` labelled rows, those with the smallest hash of id and text: a fixed sample that does not
-    depend on the order of the rows.  A cut on the hash leaves a few times ``limit`` rows to sort, so that tasks
-    send little, whatever their number; it is widened should too few pass."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = F.xxhash64(F.col(doc_col).cast("string"), F.col(text_col))
-    rows = labelled.select(lang_col, text_col, key.alias("h"))
-    total, share = labelled.count(), 2.0 * limit
+def sample_rows(docs: DataFrame, doc_col: str, text_col: str, lang_col: str, limit: int, chars: int) -> list[tuple[str, str]]:
+    """At most ``limit`` labelled rows of ``chars`` characters together, those with the smallest hash of id and text among
+    the rows of at most ``SAMPLE_ROW_CHARS`` characters: a fixed sample that does not depend on the order of the rows.
+    Lengths come first, texts for those chosen.  A cut on the hash leaves a few times ``limit`` rows to sort, so that
+    tasks send little, whatever their number; it is widened should too few pass."""
+    own = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(doc_col).cast("string"), F.col(text_col)).alias("h"))
+    rows = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_ROW_CHARS))
+    total, share = rows.count(), 2.0 * limit
     while True:
         part = rows if share >= total else rows.where(F.col("h") < int(-(2**63) + 2**64 * (share / total)))
-        found = part.orderBy("h", lang_col, text_col).limit(limit).collect()
+        found = part.select("h", F.length("text").alias("n")).orderBy("h", "n").limit(limit).collect()
         if share >= total or len(found) == limit:
-            return [(r[0], r[1]) for r in found]
+            break
         share *= 4
+    held, last = 0, None
+    for r in found:
+        held += r["n"]
+        if held > chars and last is not None:
+            break
+        last = r["h"]
+    if last is None:
+        return []
+    chosen = rows.where(F.col("h") <= F.lit(last)).orderBy("h", "lang", "text").limit(limit).collect()
+    return [(r["lang"], r["text"]) for r in chosen]
+
+
+def fit(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Crf:
+    """``sample`` and ``chars`` bound the labelled rows the model is fitted on; whole texts of those rows are used."""
+    return Crf.fit(sample_rows(docs, doc_col, text_col, lang_col, sample, chars))
+
+
+def judge(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs``, named c0, c1 ... by their places, with lang_pred and score as in :func:`predict`."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    schema = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip(names, docs.schema)) + ", lang_pred string, score double"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, names[at], 2 << 20):
+            said = shared.value.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*names, "lang_pred", "score"])
 
-def fit(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_ROWS) -> Crf:
-    """``sample`` bounds the labelled rows the model is fitted on; whole texts of those rows are used."""
-    return Crf.fit(sample_rows(docs, doc_col, text_col, lang_col, sample))
+    return docs.toDF(*names).mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: Crf, doc_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row: ``doc_col``, the columns of ``keep``, lang_pred and score (0 to 1).
 
     ``und`` with score 0 for a null text, one without letters, or a model without labels.  Every word of a text
-    counts; ties go to the label that sorts first; repeated rows are predicted alike; other columns are ignored.
-    The model is broadcast; its size is fixed by its number of buckets and labels.
+    counts; ties go to the label that sorts first; repeated rows are predicted alike; other columns are ignored;
+    a kept column may have the name of a result, which then stands behind it.  The model is broadcast; its size is
+    fixed by its number of buckets and labels.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [docs.schema[c] for c in dict.fromkeys((doc_col, *keep))]
-    names = [f.name for f in own]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", lang_pred string, score double"
+    names = list(dict.fromkeys((doc_col, *keep)))
+    found = judge(docs.select(*names, F.col(text_col).alias("__text")), model, "__text")
+    return found.drop(f"c{len(names)}").toDF(*names, "lang_pred", "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 2 << 20):
-            said = shared.value.predict(batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())],
-                names=[*names, "lang_pred", "score"])
 
-    return docs.select(*names, *([] if text_col in names else [text_col])).mapInArrow(run, schema)
+def known_documents(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is determined, columns unchanged; without labels to learn from, those with a
+    letter."""
+    found = judge(docs, model, text_col)
+    lettered = F.col("lang_pred") != UNDETERMINED if model.labels else F.coalesce(F.col(f"c{docs.columns.index(text_col)}"), F.lit("")).rlike(r"\p{L}")
+    return found.where(lettered).select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,40 +1,48 @@
 """Operator 6: removal of repeated line runs by a suffix array over line ids.
 
-Lines get ids, and runs of 1, 2, 4 ... lines get ranks by prefix doubling: a run's rank is the place of the pair of
-its halves' ranks in a range-sorted table of the distinct pairs.  Pairs that occur once leave at once, since no
-longer run from there can repeat, so each round works on the positions that are still shared.  Equal rank is a
-common prefix, so the positions of one key form an interval of longest common prefixes of at least the run's
-length; the interval's earliest position keeps its lines and the others lose them.
+1. Lines that occur once leave.  The others get ranks, and runs of 1, 2, 4 ... lines get ranks by prefix doubling: the rank
+   of a run is the number of positions whose run sorts before it, so ranks of a round refine those of the round before
+   and a position that stands alone has its place in the suffix array.  It retires then, and so do positions whose
+   text ends, or goes on with a line that occurs once.
+2. The suffix array is dealt by ranges into chunks.  The longest common prefix of neighbours follows from the ranks of
+   all rounds, the longest runs first.
+3. Within a chunk, and over what the chunks on both sides leave to it, the intervals of common prefixes give for each
+   position the longest run that also starts at an earlier position.  Such runs with enough characters are deleted.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm.common import NO_ID, materialize, shard_count, slices, table
+from engramlake.llm.common import NO_ID, materialize, slices, table
+from engramlake.operators.ordering import prefix_sums
 
 MIN_CHARS = 40
+#: Positions in a chunk of the suffix array.
+CHUNK_ROWS = 50_000
 
 _KEY = ["d", "h"]
+_PLACE = "d long, h long, pos long"
+_ENDS, _ALONE = -1, -2
 
+Place = tuple[int, int, int]
+Stairs = list[tuple[int, Place]]  # (length, earliest place), both rising
 
-def reaches(lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each line the number of lines, itself included, that reach ``least`` characters forwards and backwards;
-    zero where the text ends before."""
+
+def reaches(lengths: np.ndarray, least: int) -> np.ndarray:
+    """For each line the number of lines, itself included, that reach ``least`` characters; zero where the text ends before."""
     n = len(lengths)
     total = np.concatenate([[0], np.cumsum(lengths)])
-    at = np.arange(n)
     end = np.searchsorted(total, total[:-1] + least, "left")
-    forward = np.where(end <= n, end - at, 0)
-    begin = np.searchsorted(total, total[1:] - least, "right") - 1
-    backward = np.where(begin >= 0, at + 1 - begin, 0)
-    return forward, backward
+    return np.where(end <= n, end - np.arange(n), 0)
 
 
 def _shown(text: str) -> list[tuple[int, str]]:
@@ -43,111 +51,294 @@ def _shown(text: str) -> list[tuple[int, str]]:
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """A row for each line that isn't blank: document key, place among these lines, 128-bit digest, reaches."""
+    """A row for each line that isn't blank: document key, place among these lines, lines from there on, number of the
+    row, 128-bit digest, reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
-            d, h, pos, digest, fwd, bwd = [], [], [], [], [], []
+            cols: list[list] = [[] for _ in range(6)]
+            digest = []
             for doc, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                row += 1
                 shown = _shown(text or "")
-                if not shown:
+                n = len(shown)
+                if not n:
                     continue
-                a, b = reaches(np.array([len(line) for _, line in shown]), least)
-                d.append(np.full(len(shown), doc, np.int64))
-                h.append(np.full(len(shown), own, np.int64))
-                pos.append(np.arange(len(shown)))
+                reach = reaches(np.array([len(line) for _, line in shown]), least)
+                for c, x in zip(cols, (np.full(n, doc, np.int64), np.full(n, own, np.int64), np.arange(n), np.arange(n, 0, -1), np.full(n, row, np.int64), reach)):
+                    c.append(x)
                 digest += [xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for _, line in shown]
-                fwd.append(a)
-                bwd.append(b)
-            if not d:
+            if not digest:
                 continue
             halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            cols = [np.concatenate(d), np.concatenate(h), np.concatenate(pos), halves[:, 0], halves[:, 1], np.concatenate(fwd), np.concatenate(bwd)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in cols], names=["d", "h", "pos", "a", "b", "forward", "backward"])
+            found = [*(np.concatenate(c) for c in cols), halves[:, 0], halves[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in found], names=["d", "h", "pos", "rest", "row", "reach", "a", "b"])
+
+    return docs.mapInArrow(run, f"{_PLACE}, rest long, row long, reach long, a long, b long")
+
+
+def distinct_lines(keyed: DataFrame, least: int) -> DataFrame:
+    """The lines of each document (d, h) once, whatever the number of rows that repeat it."""
+    lines = materialize(_lines(keyed, least), "lines")
+    heads = lines.where("pos = 0").groupBy(*_KEY).agg(F.min("row").alias("kept"), F.count(F.lit(1)).alias("n"))
+    repeated = materialize(heads.where("n > 1").drop("n"), "repeated")
+    if not repeated.limit(1).count():
+        return lines
+    return materialize(lines.join(repeated, _KEY, "left").where("kept IS NULL OR row = kept").drop("kept"), "lines")
+
+
+def suffix_array(lines: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(retired positions, levels).  A retired position has its rank ``sa`` in the suffix array, the last round ``k`` in which
+    it took part, and in ``tie`` the length of what it shares with all others of its rank, which end like it.  ``levels[k]`` has the ranks of
+    the runs of 2^k lines that occur more than once."""
+    counts = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranks = materialize(prefix_sums(counts, [F.col("a"), F.col("b")], "n", "r").select("a", "b", "r"), "ranks")
+    active = materialize(lines.join(ranks, ["a", "b"]).select(*_KEY, "pos", "rest", "reach", "r"), "positions")
+    retired: DataFrame | None = None
+    levels = []
+    while active.limit(1).count():
+        k, h = len(levels), 1 << len(levels)
+        levels.append(active.select(*_KEY, "pos", "r"))
+        known = levels[-1] if retired is None else levels[-1].union(retired.select(*_KEY, "pos", F.col("sa").alias("r")))
+        ahead = known.select(*_KEY, (F.col("pos") - h).alias("pos"), F.col("r").alias("ahead"))
+        # a line that occurs once sorts by a number of its own
+        alone = F.lit(_ALONE) - F.xxhash64(*_KEY, F.col("pos") + h).bitwiseAND(F.lit((1 << 62) - 1))
+        after = F.coalesce("ahead", F.when(F.col("rest") <= h, F.lit(_ENDS).cast("long")).otherwise(alone))
+        pairs = materialize(active.join(ahead, [*_KEY, "pos"], "left").select(*_KEY, "pos", "rest", "reach", "r", after.alias("r2")), "pairs")
+        counts = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n"))
+        counts = materialize(prefix_sums(counts, [F.col("r"), F.col("r2")], "n", "before"), "ranks")
+        first = counts.groupBy("r").agg(F.min("before").alias("first"))
+        ranks = counts.join(first, "r").select("r", "r2", "n", (F.col("r") + F.col("before") - F.col("first")).alias("sa"))
+        placed = materialize(pairs.join(materialize(ranks, "ranks"), ["r", "r2"]), "placed")
+        done = (F.col("n") == 1) | (F.col("r2") < 0)
+        tie = F.when(F.col("r2") == _ENDS, F.col("rest")).otherwise(h).cast("long")
+        out = placed.where(done).select(*_KEY, "pos", "reach", "sa", tie.alias("tie"), F.lit(k).alias("k"))
+        retired = out if retired is None else retired.union(out)
+        active = placed.where(~done).select(*_KEY, "pos", "rest", "reach", F.col("sa").alias("r"))
+    return retired, levels
+
+
+_ROW = ["chunk", "at", "d", "h", "pos", "reach", "sa", "tie", "k"]
+_BEFORE = ["pd", "ph", "ppos", "psa", "pk"]
+
+
+def neighbours(retired: DataFrame) -> DataFrame:
+    """The suffix array in chunks: each position with the one before it.  Chunks are ranges of (rank, place), so that they
+    are of like size whatever the ranks; the driver sees the last row of each."""
+    n = retired.count()
+    order = ["sa", "d", "h", "pos"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, at, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy().astype(np.int64) for c in batch.columns]
+            before = [np.concatenate([[c[0] if last is None else last[i]], c[:-1]]) for i, c in enumerate(cols)]
+            last = [c[-1] for c in cols]
+            place = np.arange(at, at + len(cols[0]))
+            at += len(cols[0])
+            d, h, pos, _, sa, _, k = before
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(place), chunk), place, *cols, d, h, pos, sa, k)], names=[*_ROW, *_BEFORE])
+
+    schema = ", ".join(f"{c} long" for c in [*_ROW, *_BEFORE])
+    parts = max(1, -(-n // CHUNK_ROWS))
+    ordered = retired.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*_KEY, "pos", "reach", "sa", "tie", "k")
+    stored = materialize(ordered.mapInArrow(number, schema), "array")
+    ends = stored.groupBy("chunk").agg(F.max(F.struct("at", "d", "h", "pos", "sa", "k")).alias("end")).collect()
+    ends = sorted((r["chunk"], *r["end"]) for r in ends)
+    starts = [(b[0], *a[2:]) for a, b in zip(ends, ends[1:])]
+    if ends:
+        starts.append((ends[0][0], None, None, None, -1, -1))  # the first position of all follows none
+    heads = stored.sparkSession.createDataFrame(starts, "chunk long, qd long, qh long, qpos long, qsa long, qk long")
+    joined = stored.join(F.broadcast(heads), "chunk", "left")
+    own = [F.when(F.col("at") == 0, F.col("q" + c[1:])).otherwise(F.col(c)).alias(c) for c in _BEFORE]
+    return joined.select(*_ROW, *own)
+
+
+def common_prefixes(array: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """The array with ``l``, the number of lines that a position and the one before it have in common."""
+    slim = array.select("chunk", "at", "d", "h", "pos", "reach", "pd", "ph", "ppos", F.least("k", "pk").alias("k"),
+                        F.when(F.col("sa") == F.col("psa"), F.col("tie")).alias("tied"))
+    slim = materialize(slim.withColumn("l", F.coalesce("tied", F.lit(0)).cast("long")), "neighbours")
+    shown = ["chunk", "at", "d", "h", "pos", "reach", "pd", "ph", "ppos", "l"]
+    todo = None
+    for k in range(len(levels) - 1, -1, -1):
+        own = slim.where((F.col("k") == k) & F.col("tied").isNull()).select(*shown)
+        todo = own if todo is None else todo.union(own)
+        level = levels[k]
+        x = level.select(*_KEY, F.col("pos").alias("x"), F.col("r").alias("rx"))
+        y = level.select(F.col("d").alias("pd"), F.col("h").alias("ph"), F.col("pos").alias("y"), F.col("r").alias("ry"))
+        met = todo.withColumn("x", F.col("pos") + F.col("l")).withColumn("y", F.col("ppos") + F.col("l"))
+        met = met.join(x, [*_KEY, "x"], "left").join(y, ["pd", "ph", "y"], "left")
+        longer = F.coalesce((F.col("rx") == F.col("ry")).cast("long"), F.lit(0)) * (1 << k)
+        todo = materialize(met.withColumn("l", F.col("l") + longer).select(*shown), "prefixes")
+    settled = slim.where("tied IS NOT NULL OR k < 0").select(*shown)
+    out = settled if todo is None else todo.union(settled)
+    return materialize(out.select("chunk", "at", "d", "h", "pos", "reach", "l"), "prefixes")
+
+
+def stairs(pairs: list[tuple[int, Place]]) -> Stairs:
+    """Of (length, place) those that no other beats: as long or longer, and earlier."""
+    out: Stairs = []
+    for length, place in sorted(pairs, key=lambda x: (-x[0], x[1])):
+        if length > 0 and (not out or place < out[-1][1]):
+            out.append((length, place))
+    return out[::-1]
 
-    return docs.mapInArrow(run, "d long, h long, pos long, a long, b long, forward long, backward long")
 
+def reach_of(known: Stairs, place: Place) -> int:
+    """The largest length with an earlier place."""
+    at = bisect_left(known, place, key=lambda x: x[1])
+    return known[at - 1][0] if at else 0
 
-def _ranked(pairs: DataFrame, parts: int) -> DataFrame:
-    """(a, b, r) for the pairs that occur more than once; r grows with (a, b)."""
-    shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    return materialize(shared.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").withColumn("r", F.monotonically_increasing_id()), "ranks")
+
+def previous_runs(places: list[Place], common: list[int], left: Stairs, right: Stairs) -> list[int]:
+    """For each position of a chunk the longest run that also starts at an earlier position.
+
+    ``common[i]`` is what position i shares with the one before it, ``left`` and ``right`` what the chunks before and after
+    hold.  Positions leave a linked list from the latest on, so those left are earlier, and an entry that leaves hands
+    the smaller of two prefixes to the next."""
+    n = len(places)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    shared = [*common, 1 << 62]
+    out = [0] * n
+    for i in sorted(range(n), key=places.__getitem__, reverse=True):
+        p, q = before[i], after[i]
+        a = shared[i] if p >= 0 else min(shared[i], reach_of(left, places[i]))
+        b = shared[q] if q < n else min(shared[q], reach_of(right, places[i]))
+        out[i] = max(a, b)
+        if p >= 0:
+            after[p] = q
+        if q < n:
+            before[q] = p
+        shared[q] = min(shared[q], shared[i])
+    return out
+
+
+def _chunk(t: pa.Table) -> tuple[list[Place], list[int], np.ndarray]:
+    t = t.sort_by("at")
+    return list(zip(*(t.column(c).to_pylist() for c in ("d", "h", "pos")))), t.column("l").to_pylist(), t.column("reach").to_numpy()
 
 
 def repeated_runs(keyed: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """(d, h, start, n): runs of lines of a document (d, h) that also occur at an earlier position.
+    """(d, h, start, n): from each position of a document (d, h) the longest run of lines that also starts at an earlier
+    position, if it has ``least`` characters; positions are ordered by d, h and line."""
+    retired, levels = suffix_array(distinct_lines(keyed, least))
+    none = keyed.sparkSession.createDataFrame([], "d long, h long, start long, n long")
+    if retired is None:
+        return none
+    array = common_prefixes(neighbours(retired), levels)
 
-    A run is the shortest from a line on, or the shortest up to a line, with ``least`` characters; positions are
-    ordered by d, h and line.  Longer repeated runs are unions of these."""
-    lines = materialize(_lines(keyed, least), "lines")
-    parts = shard_count(lines, 8 << 20, 24)
-    place = F.struct("d", "h", "start")
-    level = lines.select(*_KEY, "pos", "a", "b")
-    runs = lines.where("forward > 0").select(*_KEY, F.col("pos").alias("start"), F.col("forward").alias("n")).union(
-        lines.where("backward > forward OR (backward > 0 AND forward = 0) OR backward > 1").select(
-            *_KEY, (F.col("pos") + 1 - F.col("backward")).alias("start"), F.col("backward").alias("n"))).distinct()
-    longest = lines.agg(F.max(F.greatest("forward", "backward"))).first()[0] or 0
-    later = None
-    h = 1
-    while h <= longest:
-        ranks = _ranked(level, parts)
-        at = materialize(level.join(ranks, ["a", "b"]).select(*_KEY, "pos", "r"), "positions")
-        # runs of h to 2h - 1 lines are two runs of h lines that may overlap
-        of_level = runs.where((F.col("n") >= h) & (F.col("n") < 2 * h))
-        head = of_level.join(at.withColumnRenamed("pos", "start").withColumnRenamed("r", "r1"), [*_KEY, "start"])
-        tail = at.withColumnRenamed("r", "r2")
-        whole = head if h == 1 else head.withColumn("pos", F.col("start") + F.col("n") - h).join(tail, [*_KEY, "pos"])
-        key = ["n", "r1"] if h == 1 else ["n", "r1", "r2"]
-        whole = materialize(whole.select(*_KEY, "start", *key), "runs")
-        first = whole.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        first = materialize(first, "first")  # a plain join of two tables, whose hot keys can be split
-        found = whole.join(first, key).where(F.col("first") < place).select(*_KEY, "start", "n")
-        later = found if later is None else later.union(found)
-        if 2 * h <= longest:
-            left, right = at.withColumnRenamed("r", "a"), at.select(*_KEY, (F.col("pos") - h).alias("pos"), F.col("r").alias("b"))
-            level = materialize(left.join(right, [*_KEY, "pos"]), "pairs")
-        h *= 2
-    if later is None:
-        later = lines.select(*_KEY, F.col("pos").alias("start"), F.col("pos").alias("n")).limit(0)
-    return later
+    def outer(t: pa.Table) -> pa.Table:
+        """What a chunk holds for the chunks after (side 0) and before it (side 1), and its least prefix (side 2)."""
+        places, common, _ = _chunk(t)
+        chunk = t.column("chunk")[0].as_py()
+        found: list[tuple[int, int, Place]] = [(2, min(common), (0, 0, 0))]
+        low, pairs = 1 << 62, []
+        for place, c in zip(reversed(places), reversed(common)):
+            pairs.append((low, place))
+            low = min(low, c)
+            if not low:
+                break
+        found += [(0, *x) for x in stairs(pairs)]
+        low, pairs = 1 << 62, []
+        for place, c in zip(places, common):
+            low = min(low, c)
+            if not low:
+                break
+            pairs.append((low, place))
+        found += [(1, *x) for x in stairs(pairs)]
+        return pa.table({"chunk": pa.array([chunk] * len(found), pa.int64()), "side": pa.array([x[0] for x in found], pa.int32()), "l": pa.array([x[1] for x in found], pa.int64()),
+                         **{c: pa.array([x[2][i] for x in found], pa.int64()) for i, c in enumerate(("d", "h", "pos"))}})
 
+    held: dict[int, list] = {}
+    for r in array.groupBy("chunk").applyInArrow(outer, f"chunk long, side int, l long, {_PLACE}").collect():
+        held.setdefault(r["chunk"], [[], [], 0])
+        if r["side"] == 2:
+            held[r["chunk"]][2] = r["l"]
+        else:
+            held[r["chunk"]][r["side"]].append((r["l"], (r["d"], r["h"], r["pos"])))
+    order = sorted(held)
+    left: dict[int, Stairs] = {}
+    right: dict[int, Stairs] = {}
+    for side, chunks, into in ((0, order, left), (1, order[::-1], right)):
+        now: Stairs = []
+        for c in chunks:
+            into[c] = now
+            now = stairs(held[c][side] + [(min(length, held[c][2]), place) for length, place in now])
+    shared = keyed.sparkSession.sparkContext.broadcast((left, right))
 
-def drop_repeated_lines(docs: DataFrame, least: int = MIN_CHARS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text left in ``text_col``, and n_lines and n_removed (lines that aren't blank).
+    def inner(t: pa.Table) -> pa.Table:
+        places, common, reach = _chunk(t)
+        chunk = t.column("chunk")[0].as_py()
+        run = np.array(previous_runs(places, common, shared.value[0][chunk], shared.value[1][chunk]), np.int64)
+        at = np.flatnonzero((reach > 0) & (run >= reach))
+        own = np.array(places, np.int64).reshape(-1, 3)[at]
+        return pa.table({"d": own[:, 0], "h": own[:, 1], "start": own[:, 2], "n": run[at]})
+
+    return array.groupBy("chunk").applyInArrow(inner, "d long, h long, start long, n long")
 
-    A line goes if it lies in a run of lines with at least ``least`` characters that also occurs at an earlier
-    position; positions are ordered by id, then by a hash of the text, then by line.  Single long lines are runs.
-    Blank lines belong to no run; a text whose other lines are all gone is empty.  Null texts stay null; a null id
-    comes last; rows that repeat an id and its text are one document and share its decisions.  Columns named
-    n_lines or n_removed are replaced.  No rows give no rows.
-    """
-    keyed = docs.select(F.coalesce(F.col(doc_col).cast("long"), F.lit(int(NO_ID))).alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    marks = repeated_runs(keyed, least).groupBy("d", "h").agg(F.collect_set(F.struct("start", "n")).alias("__runs"))
-    rest = [f for f in docs.schema if f.name not in ("n_lines", "n_removed")]
-    names = [f.name for f in rest]
-    wide = docs.select(*names, F.coalesce(F.col(doc_col).cast("long"), F.lit(int(NO_ID))).alias("d"), F.xxhash64(text_col).alias("h"))
-    joined = wide.join(marks, ["d", "h"], "left").select(*names, "__runs")
-    at = names.index(text_col)
+
+def cut_lines(docs: DataFrame, least: int = MIN_CHARS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``docs``, named c0, c1 ... by their places, with the text left, n_lines and n_removed as in
+    :func:`drop_repeated_lines`."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    doc, at = names[docs.columns.index(doc_col)], docs.columns.index(text_col)
+    d, h = F.coalesce(F.col(doc).cast("long"), F.lit(int(NO_ID))).alias("d"), F.xxhash64(names[at]).alias("h")
+    marks = repeated_runs(plain.select(d, h, F.col(names[at]).alias("text")), least).groupBy("d", "h").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    marks = materialize(marks, "marks")
+    joined = plain.select(*names, d, h).join(marks, ["d", "h"], "left").select(*names, "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, names[at]):
             texts, counts, gone = [], [], []
             for text, runs in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 shown = _shown(text or "")
-                drop = {i for r in runs or () for i in range(r["start"], r["start"] + r["n"])}
+                change = np.zeros(len(shown) + 1, np.int64)
+                for r in runs or ():
+                    change[r["start"]] += 1
+                    change[r["start"] + r["n"]] -= 1
+                drop = np.flatnonzero(np.cumsum(change[:-1]) > 0)
                 counts.append(len(shown))
                 gone.append(len(drop))
-                if drop:
+                if len(drop):
                     away = {shown[i][0] for i in drop}
                     text = "" if len(drop) == len(shown) else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in away)
                 texts.append(text)
             cols = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_lines", "n_removed"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", n_lines long, n_removed long"
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(names, docs.schema)) + ", n_lines long, n_removed long"
     return joined.mapInArrow(cut, schema)
 
 
+def drop_repeated_lines(docs: DataFrame, least: int = MIN_CHARS, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the text left in ``text_col``, and n_lines and n_removed (lines that aren't blank).
+
+    A line goes if it lies in a run of lines with at least ``least`` characters that also occurs at an earlier
+    position; positions are ordered by id, then by a hash of the text, then by line.  Single long lines are runs.
+    Blank lines belong to no run; a text whose other lines are all gone is empty.  Null texts stay null; a null id
+    comes last; rows that repeat an id and its text are one document and share its decisions.  Columns named
+    n_lines or n_removed are replaced.  No rows give no rows.
+    """
+    found = cut_lines(docs, least, doc_col, text_col)
+    rest = [i for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")]
+    return found.select(*(f"c{i}" for i in rest), "n_lines", "n_removed").toDF(*(docs.columns[i] for i in rest), "n_lines", "n_removed")
+
+
+def lined_documents(docs: DataFrame, least: int = MIN_CHARS, doc_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` of which a line is left, or that had none, columns unchanged but for the text and, where there is
+    such a column, its length."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    left = cut_lines(docs, least, doc_col, text_col).where("n_removed < n_lines OR n_lines = 0")
+    text = names[docs.columns.index(text_col)]
+    sized = [F.length(text).cast("long").alias(c) if own == length_col else F.col(c) for c, own in zip(names, docs.columns)]
+    return left.select(*sized).toDF(*docs.columns)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -306,6 +306,59 @@ def test_line_dedup_runs(spark):
     assert got[1][0] == 0 and got[2][1] == "intro\noutro" and got[3] == (1, "") and got[5][0] == 0
 
 
+def test_line_dedup_repeated_rows(spark):
+    """A document given several times is one document, and takes no longer."""
+    doc = "\n".join(f"l{i % 7}" for i in range(60))
+    other = "\n".join(["x", *(f"l{i % 7}" for i in range(3, 40)), "y"])
+    want = {d: (n, t) for d, _, n, t in line_dedup.brute_force([(1, doc), (2, other)])}
+    for times in (1, 2, 5):
+        got = line_dedup.drop_repeated_lines(spark.createDataFrame([(1, doc)] * times + [(2, other)], SCHEMA)).collect()
+        assert len(got) == times + 1
+        assert all((r.n_removed, r.text) == want[r.doc_id] for r in got)
+
+
+def test_line_dedup_chunks_agree(spark, monkeypatch):
+    """Small chunks of the suffix array, ties and long repeated runs."""
+    rng = random.Random(31)
+    monkeypatch.setattr(line_dedup, "CHUNK_ROWS", 7)
+    block = [f"line {rng.randrange(6)}" for _ in range(90)]
+    rows = []
+    for i in range(30):
+        a, b = sorted((rng.randrange(90), rng.randrange(90)))
+        own = [*(f"u{rng.randrange(4)}" for _ in range(rng.randrange(3))), *block[a:b], f"own {i}", *(["same"] * rng.randrange(30))]
+        rows.append((i, "\n".join(own)))
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).select("doc_id", "n_lines", "n_removed", "text")
+    want = line_dedup.brute_force(rows)
+    assert sorted(map(tuple, got.collect())) == want
+    assert sum(w[2] for w in want) > 300
+
+
+def test_previous_runs_match_all_pairs():
+    rng = random.Random(32)
+    for _ in range(60):
+        texts = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(rng.randrange(1, 6))]
+        suffixes = sorted((t[i:], (d, 0, i)) for d, t in enumerate(texts) for i in range(len(t)))
+
+        def lcp(a, b):
+            return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+        common = [0] + [lcp(a[0], b[0]) for a, b in zip(suffixes, suffixes[1:])]
+        places = [p for _, p in suffixes]
+        want = [max((lcp(s, t) for t, q in suffixes if q < p), default=0) for s, p in suffixes]
+        assert line_dedup.previous_runs(places, common, [], []) == want
+        cut = rng.randrange(len(places) + 1)
+        back, low = [], 1 << 62
+        for p, c in zip(reversed(places[:cut]), reversed(common[:cut])):
+            back.append((low, p))
+            low = min(low, c)
+        ahead, low = [], 1 << 62
+        for p, c in zip(places[cut:], common[cut:]):
+            low = min(low, c)
+            ahead.append((low, p))
+        assert line_dedup.previous_runs(places[:cut], common[:cut], [], line_dedup.stairs(ahead)) + line_dedup.previous_runs(
+            places[cut:], common[cut:], line_dedup.stairs(back), []) == want
+
+
 def test_line_dedup_odd_input(odd, empty):
     extra = odd.withColumnRenamed("score", "n_lines")
     got = line_dedup.drop_repeated_lines(extra).collect()
@@ -451,8 +504,9 @@ def test_decontamination_matches_brute_force(spark, docs, rows):
     got = decontaminate.digest(decontaminate.scan(docs, bench))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert any(w[5] for w in want)
-    sets = decontaminate.digest(decontaminate.scan(docs, bench, limit=40))
-    assert sorted(map(tuple, sets.collect())) == sorted(want)
+    for limit in (10, 25, 60):
+        sets = decontaminate.digest(decontaminate.scan(docs, bench, limit=limit))
+        assert sorted(map(tuple, sets.collect())) == sorted(want)
 
 
 def test_decontamination_odd_input(spark, odd, empty):
@@ -470,6 +524,41 @@ def test_language_id(spark, small):
     assert all(0 <= r.score <= 1 for r in held)
 
 
+def test_language_id_query_matches_a_plain_version(spark, small):
+    """The query's labels and scores from the fitted potentials by sums over all label paths in logarithms."""
+    import zlib
+
+    import numpy as np
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = lang_id.fit(docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 3 <> 1"))
+    got = {r.doc_id: r for r in lang_id.op9_language_id(spark, small).collect()}
+    assert set(got) == set(rows)
+    for d in sorted(rows)[::9]:
+        assert got[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+        words = lang_id._lettered(rows[d].text)
+        if not words:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        e = np.array([lang_id.emissions(model.weights, [w])[0] for w in words])
+        forward, backward = [model.init + e[0]], [np.zeros(len(model.labels))]
+        for x in e[1:]:
+            forward.append(np.logaddexp.reduce(forward[-1][:, None] + model.trans, 0) + x)
+        for x in e[:0:-1]:
+            backward.append(np.logaddexp.reduce(model.trans + (x + backward[-1])[None, :], 1))
+        joint = np.array(forward) + np.array(backward[::-1])
+        mean = np.exp(joint - np.logaddexp.reduce(joint, 1)[:, None]).mean(0)
+        assert got[d].lang_pred == model.labels[int(mean.argmax())] and abs(got[d].score - mean.max()) < 1e-6
+
+
+def test_language_id_sample_is_bounded_in_characters(spark):
+    docs = spark.createDataFrame([(i, "ab " * 100, "x" if i % 2 else "y") for i in range(50)] + [(99, "z" * (lang_id.SAMPLE_ROW_CHARS + 1), "z")], "doc_id long, text string, lang string")
+    rows = lang_id.sample_rows(docs, "doc_id", "text", "lang", 40, 3000)
+    assert len(rows) == 10 and all(lang != "z" for lang, _ in rows)
+    assert len(lang_id.sample_rows(docs, "doc_id", "text", "lang", 40, 1 << 20)) == 40
+
+
 def test_language_id_odd_input(spark, small, odd, empty):
     model = lang_id.fit(spark.read.parquet(f"{small}/documents.parquet"), sample=60)
     got = lang_id.predict(odd, model, keep=("kept",)).collect()
