@@ -26,6 +26,7 @@ BLOCK_TEXT_BYTES = 12 << 20
 BLOCK_MAX_WORDS = 1_000_000
 SHARD_INPUT_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
+NULL_ID = 128
 
 PACKET_SCHEMA = "kind int, block long, shard int, data binary"
 _PACKET = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
@@ -170,6 +171,9 @@ class Block:
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.lengths)])
 
+    def ids_array(self) -> pa.Array:
+        return pa.array(self.doc_ids, mask=self.flags & NULL_ID > 0)
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.lengths)), self.lengths)
 
@@ -183,7 +187,7 @@ class Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], split=words) -> Iterator[tuple[int, Block, list[bytes]]]:
-    """(block id, block, vocabulary) over batches of (doc_id, text[, flag]); null ids become ``NO_ID``.
+    """(block id, block, vocabulary) over batches of (doc_id, text[, flag]); null ids become ``NO_ID`` with the flag ``NULL_ID``.
     Block ids follow from the task's partition, so a repeated task gives the same ones."""
     base = TaskContext.get().partitionId() << 24
     count = 0
@@ -207,7 +211,7 @@ def blocks(batches: Iterator[pa.RecordBatch], split=words) -> Iterator[tuple[int
             parts.append(np.fromiter((put(w, len(vocab)) for w in found), np.int64, len(found)))
             lengths.append(len(found))
             ids.append(NO_ID if doc is None else doc)
-            flags.append(f or 0)
+            flags.append((f or 0) | (NULL_ID if doc is None else 0))
             size += len(text or "")
             if size >= BLOCK_TEXT_BYTES or len(vocab) >= BLOCK_MAX_WORDS:
                 yield base + count, *done()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.llm.common import (
-    DOCS, NO_ID, PACKET_SCHEMA, QUERY, REPLY, Block, blocks, deltas, first_of_runs, in_fold, lower_words, materialize, mix64, pack,
+    DOCS, PACKET_SCHEMA, QUERY, REPLY, Block, blocks, deltas, first_of_runs, in_fold, lower_words, materialize, mix64, pack,
     packets, shard_count, slices, table, trimmed, undeltas, unpack,
 )
 
@@ -231,7 +231,7 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
             new[order] = np.arange(len(vocab))
             end = new[vocab.index(END)]
             block.ids = new[block.ids]
-            count = np.bincount(block.ids[np.repeat(block.flags > 0, block.lengths)], minlength=len(vocab))
+            count = np.bincount(block.ids[np.repeat(block.flags & 1 > 0, block.lengths)], minlength=len(vocab))
             rows = [(DOCS, name, -1, pack(block.pack(), np.array([end])))]
             for s, a, b in _runs(shard[order], n_shards):
                 rows.append((QUERY, name, s, pack(b" ".join([vocab[i] for i in order[a:b]]), count[a:b])))
@@ -264,7 +264,7 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
 
     def ask(t: pa.Table) -> pa.Table:
         k = Known(t, stride, n_shards)
-        trained = np.repeat(k.block.flags > 0, k.block.lengths)
+        trained = np.repeat(k.block.flags & 1 > 0, k.block.lengths)
         count = np.bincount(k.pair_of[trained], minlength=len(k.pairs))
         rows = []
         for s, a, b in _runs(k.shard, n_shards):
@@ -322,7 +322,7 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
         plain = np.add.reduceat(np.log10((k.count + 1) / floor)[b.ids], starts)
         model = np.add.reduceat(code[k.pair_of], starts) / -CODES_PER_DECADE
         return pa.table({
-            "doc_id": pa.array(b.doc_ids, mask=b.doc_ids == NO_ID), "train": pa.array(b.flags > 0), "n_tokens": pa.array(b.lengths, pa.int64()),
+            "doc_id": b.ids_array(), "train": pa.array(b.flags & 1 > 0), "n_tokens": pa.array(b.lengths, pa.int64()),
             "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(known), n_train, np.int64)),
             "base_score": pa.array(plain, pa.float64()), "score": pa.array(model, pa.float64()),
         })

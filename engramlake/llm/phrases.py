@@ -248,7 +248,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, doc_
         ]
         removed = np.concatenate([[0], np.cumsum(gone)])[starts]
         return pa.table({
-            "doc_id": pa.array(block.doc_ids, mask=block.doc_ids == NO_ID),
+            "doc_id": block.ids_array(),
             "n_words": pa.array(block.lengths, pa.int64()),
             "n_removed": pa.array(np.diff(removed).astype(np.int64)),
             "kept": pa.array(kept, pa.string()),

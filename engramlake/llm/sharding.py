@@ -54,14 +54,15 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: list[str] | None =
 
     The table is a small relation of ``size`` rows, bounded by ``MAX_TABLE_SIZE``, and is broadcast: a row costs
     one hash and one array probe, and nothing is shuffled.  Equal keys share a shard; null and empty keys go
-    where the empty text goes; other columns of ``df`` are ignored.  An empty input gives no rows.
+    where the empty text goes; other columns of ``df`` are ignored; a key named slot or shard stands before the
+    result of that name.  An empty input gives no rows.
     """
     owner = lookup_table(shards or shard_names(N_SHARDS), size)
     entries = F.from_json(F.lit("[" + ",".join(map(str, owner)) + "]"), "array<int>")
     slots = df.sparkSession.range(1).select(F.posexplode(entries).alias("slot", "shard"))
     slots = slots.select(F.col("slot").cast("long").alias("slot"), "shard")
-    keyed = df.select(F.col(key), slot_of(F.col(key), size).alias("slot"))
-    return keyed.join(F.broadcast(slots), "slot").select(key, "slot", "shard")
+    keyed = df.select(F.col(key).alias("key"), slot_of(F.col(key), size).alias("slot"))
+    return keyed.join(F.broadcast(slots), "slot").select("key", "slot", "shard").toDF(key, "slot", "shard")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +70,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 def oracle() -> str:
-    """The table is filled here by the driver's own loop; the SQL recomputes every row's slot and placement."""
-    owner = ",".join(map(str, lookup_table(shard_names(N_SHARDS), TABLE_SIZE)))
+    """SQL recomputes every row's slot and placement; the table is filled here anew, from whole preference lists."""
+    names = [f"shard-{k:05d}" for k in range(N_SHARDS)]
+    prefer = []
+    for s in names:
+        first, step = zlib.crc32(b"offset:" + s.encode()), zlib.crc32(b"skip:" + s.encode()) % (TABLE_SIZE - 1) + 1
+        prefer.append([(first + j * step) % TABLE_SIZE for j in range(TABLE_SIZE)][::-1])
+    taken: dict[int, int] = {}
+    while len(taken) < TABLE_SIZE:
+        for k, wish in enumerate(prefer):
+            if len(taken) < TABLE_SIZE:
+                while wish[-1] in taken:
+                    wish.pop()
+                taken[wish.pop()] = k
+    owner = ",".join(str(taken[i]) for i in range(TABLE_SIZE))
     slot = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {TABLE_SIZE})"
     return f"SELECT doc_id, {slot} AS slot, ([{owner}])[{slot} + 1]::INTEGER AS shard FROM documents"

@@ -644,3 +644,30 @@ def test_pipeline_stages(spark, small):
     nothing = materialize(spark.read.parquet(f"{small}/documents.parquet").limit(0), "test")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, small).count() == 0
+
+
+def test_pipeline_stages_keep_columns_with_clashing_names(spark, small):
+    import corpus_pipeline
+    from engramlake.llm.common import materialize
+
+    extra = ["score", "lang_pred", "n_words", "spans", "items", "d", "h", "slot", "row", "node", "n_removed", "n_lines", "c0", "key", "pos", "root", "text_", "runs"]
+    docs = materialize(spark.read.parquet(f"{small}/documents.parquet").selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in extra)), "test")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, small), f"test-{name}")
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert len(rows) > 50 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() >= len(rows)
+    sharded = sharding.assign_shards(docs.select("slot", "row"), "slot")
+    assert sharded.columns == ["slot", "slot", "shard"] and sharded.count() == len(rows)
+
+
+def test_the_largest_id_is_no_null(spark):
+    from pyspark.sql import functions as F
+
+    t = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(2**63 - 1, t), (None, t), (1, t)], SCHEMA)
+    got = {r.doc_id: r.n_removed for r in phrases.remove_repeats(docs).collect()}
+    assert got == {2**63 - 1: 30, None: 30, 1: 0}
+    assert {r.doc_id for r in lm.score_texts(docs.withColumn("train", F.lit(True))).collect()} == {2**63 - 1, None, 1}
