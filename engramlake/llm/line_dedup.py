@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramlake.lineage import discard
 from engramlake.llm.common import NO_ID, materialize, slices, table
-from engramlake.operators.ordering import prefix_sums
 
 MIN_CHARS = 40
 #: Positions in a chunk of the suffix array.
@@ -88,13 +88,47 @@ def distinct_lines(keyed: DataFrame, least: int) -> DataFrame:
     return materialize(lines.join(repeated, _KEY, "left").where("kept IS NULL OR row = kept").drop("kept"), "lines")
 
 
+def running_sums(df: DataFrame, order: list[str], amounts: list[str]) -> DataFrame:
+    """``df`` with the sums of ``amounts`` over the rows that stand before in ``order``, named before_ and the amount.  Rows
+    are dealt by ranges; the driver sees one row of totals for each range."""
+    spark = df.sparkSession
+    into = [f"before_{c}" for c in amounts]
+    names = [c for c in df.columns]
+    at = [names.index(c) for c in amounts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, so_far = TaskContext.get().partitionId(), [0] * len(at)
+        for batch in batches:
+            own = []
+            for k, i in enumerate(at):
+                x = batch.column(i).to_numpy()
+                total = np.cumsum(x) + so_far[k]
+                own.append(total - x)
+                so_far[k] = int(total[-1]) if len(x) else so_far[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), *map(pa.array, own)], names=[*names, "part", *into])
+
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", part int" + "".join(f", {c} long" for c in into)
+    stored = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "sums")
+    totals = sorted(map(tuple, stored.groupBy("part").agg(*(F.sum(c).alias(c) for c in amounts)).collect()))
+    starts, so_far = [], [0] * len(amounts)
+    for part, *own in totals:
+        starts.append((part, *so_far))
+        so_far = [x + y for x, y in zip(so_far, own)]
+    starts = spark.createDataFrame(starts, "part int" + "".join(f", start_{c} long" for c in amounts))
+    return stored.join(F.broadcast(starts), "part").select(*names, *((F.col(i) + F.col(f"start_{c}")).alias(i) for i, c in zip(into, amounts)))
+
+
 def suffix_array(lines: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
     """(retired positions, levels).  A retired position has its rank ``sa`` in the suffix array, the last round ``k`` in which
-    it took part, and in ``tie`` the length of what it shares with all others of its rank, which end like it.  ``levels[k]`` has the ranks of
-    the runs of 2^k lines that occur more than once."""
+    it took part, and in ``tie`` the length of what it shares with all others of its rank, which end like it.  ``levels[k]``
+    has the ranks of the runs of 2^k lines that occur more than once.
+
+    ``ahead_of`` counts the positions still active before a rank's own; within a round it turns a sum over the active
+    positions into the place within the rank."""
     counts = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranks = materialize(prefix_sums(counts, [F.col("a"), F.col("b")], "n", "r").select("a", "b", "r"), "ranks")
-    active = materialize(lines.join(ranks, ["a", "b"]).select(*_KEY, "pos", "rest", "reach", "r"), "positions")
+    ranks = materialize(running_sums(counts, ["a", "b"], ["n"]).select("a", "b", F.col("before_n").alias("r")), "ranks")
+    active = materialize(lines.join(ranks, ["a", "b"]).select(*_KEY, "pos", "rest", "reach", "r", F.col("r").alias("ahead_of")), "positions")
     retired: DataFrame | None = None
     levels = []
     while active.limit(1).count():
@@ -105,17 +139,18 @@ def suffix_array(lines: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
         # a line that occurs once sorts by a number of its own
         alone = F.lit(_ALONE) - F.xxhash64(*_KEY, F.col("pos") + h).bitwiseAND(F.lit((1 << 62) - 1))
         after = F.coalesce("ahead", F.when(F.col("rest") <= h, F.lit(_ENDS).cast("long")).otherwise(alone))
-        pairs = materialize(active.join(ahead, [*_KEY, "pos"], "left").select(*_KEY, "pos", "rest", "reach", "r", after.alias("r2")), "pairs")
-        counts = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n"))
-        counts = materialize(prefix_sums(counts, [F.col("r"), F.col("r2")], "n", "before"), "ranks")
-        first = counts.groupBy("r").agg(F.min("before").alias("first"))
-        ranks = counts.join(first, "r").select("r", "r2", "n", (F.col("r") + F.col("before") - F.col("first")).alias("sa"))
-        placed = materialize(pairs.join(materialize(ranks, "ranks"), ["r", "r2"]), "placed")
+        pairs = materialize(active.join(ahead, [*_KEY, "pos"], "left").select(*_KEY, "pos", "rest", "reach", "r", "ahead_of", after.alias("r2")), "pairs")
+        counts = pairs.groupBy("r", "ahead_of", "r2").agg(F.count(F.lit(1)).alias("n"))
         done = (F.col("n") == 1) | (F.col("r2") < 0)
+        counts = running_sums(counts.withColumn("still", F.when(done, 0).otherwise(F.col("n")).cast("long")), ["r", "r2"], ["n", "still"])
+        ranks = materialize(counts.select("r", "r2", "n", (F.col("r") + F.col("before_n") - F.col("ahead_of")).alias("sa"), "before_still"), "ranks")
+        placed = materialize(pairs.drop("ahead_of").join(ranks, ["r", "r2"]), "placed")
+        discard(pairs)
+        discard(ranks)
         tie = F.when(F.col("r2") == _ENDS, F.col("rest")).otherwise(h).cast("long")
         out = placed.where(done).select(*_KEY, "pos", "reach", "sa", tie.alias("tie"), F.lit(k).alias("k"))
         retired = out if retired is None else retired.union(out)
-        active = placed.where(~done).select(*_KEY, "pos", "rest", "reach", F.col("sa").alias("r"))
+        active = placed.where(~done).select(*_KEY, "pos", "rest", "reach", F.col("sa").alias("r"), F.col("before_still").alias("ahead_of"))
     return retired, levels
 
 
@@ -163,7 +198,7 @@ def common_prefixes(array: DataFrame, levels: list[DataFrame]) -> DataFrame:
                         F.when(F.col("sa") == F.col("psa"), F.col("tie")).alias("tied"))
     slim = materialize(slim.withColumn("l", F.coalesce("tied", F.lit(0)).cast("long")), "neighbours")
     shown = ["chunk", "at", "d", "h", "pos", "reach", "pd", "ph", "ppos", "l"]
-    todo = None
+    todo = stored = None
     for k in range(len(levels) - 1, -1, -1):
         own = slim.where((F.col("k") == k) & F.col("tied").isNull()).select(*shown)
         todo = own if todo is None else todo.union(own)
@@ -174,6 +209,9 @@ def common_prefixes(array: DataFrame, levels: list[DataFrame]) -> DataFrame:
         met = met.join(x, [*_KEY, "x"], "left").join(y, ["pd", "ph", "y"], "left")
         longer = F.coalesce((F.col("rx") == F.col("ry")).cast("long"), F.lit(0)) * (1 << k)
         todo = materialize(met.withColumn("l", F.col("l") + longer).select(*shown), "prefixes")
+        if stored is not None:
+            discard(stored)
+        stored = todo
     settled = slim.where("tied IS NOT NULL OR k < 0").select(*shown)
     out = settled if todo is None else todo.union(settled)
     return materialize(out.select("chunk", "at", "d", "h", "pos", "reach", "l"), "prefixes")

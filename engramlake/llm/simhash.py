@@ -116,26 +116,6 @@ def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-class FewPartners:
-    """Of the pairs of one anchor, those with the first ``most`` partners of each member; the nodes of all others come
-    out as loops (n, n)."""
-
-    def __init__(self, rows: int, most: int):
-        self.met, self.most = np.zeros(rows, np.int64), most
-
-    def __call__(self, left: np.ndarray, right: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((left, right))
-        left, right = left[order], right[order]
-        first = np.flatnonzero(first_of_runs(right))
-        count = np.diff(first, append=len(right))
-        place = np.arange(len(right)) - np.repeat(first, count) + self.met[right]
-        self.met[right[first]] += count
-        few = place < self.most
-        loops = np.unique(np.concatenate([node[left[~few]], node[right[~few]]]))
-        a, b = node[left[few]], node[right[few]]
-        return np.concatenate([np.maximum(a, b), loops]), np.concatenate([np.minimum(a, b), loops])
-
-
 def near_pairs(key: np.ndarray, home: np.ndarray, member: np.ndarray, node: np.ndarray, words: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(left, right): positions of the pairs (home, member) of one key whose ``words`` differ in at most ``most`` bits.
     Pairs are formed in bounded runs; the rows must be sorted by key, members first, then by node."""
@@ -176,36 +156,31 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_col: str = "doc_id
     return docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def link_fingerprints(distinct: DataFrame, runs: list[Run], most: int, partitions: int = 64, few: int | None = None) -> DataFrame:
-    """Edges (a, b) between the rows of ``distinct``: ``node`` names a row, w0, w1 ... are the words of its fingerprint.
+def link_fingerprints(distinct: DataFrame, runs: list[Run], most: int, partitions: int = 64) -> DataFrame:
+    """Edges (a, b) that connect the rows of ``distinct`` as the pairs found do: ``node`` names a row, w0, w1 ... are the
+    words of its fingerprint.
 
     Each row is replicated to its anchors in every run, and the rows of an anchor are compared by the words that
-    they carry, which may differ in at most ``most`` bits.  Without ``few`` the edges connect the rows as
-    the pairs found do.  With ``few`` they are pairs found, those with the first ``few`` partners of a row, and a loop
-    (n, n) for each row of another pair; rows that share a ``root``, where there is such a column, are no pair.
-
-    Anchors of more than ``ANCHOR_ROWS`` copies are dealt to several keys: a member to one, a home to all of them.
+    they carry, which may differ in at most ``most`` bits.  Anchors of more than ``ANCHOR_ROWS`` copies are dealt to
+    several keys: a member to one, a home to all of them.
     """
-    rooted = "root" in distinct.columns
-    width = len(runs[0].carried)
-    carry = [f"f{i}" for i in range(width)]
-    names = ["key", "home", "member", "node", *(["root"] if rooted else []), *carry]
+    carry = [f"f{i}" for i in range(len(runs[0].carried))]
+    names = ["key", "home", "member", "node", *carry]
     words = sorted({r.word for r in runs} | {w for r in runs for w in r.carried})
     spark = distinct.sparkSession
-    source = distinct.select("node", *(["root"] if rooted else []), *(f"w{i}" for i in words))
-    skip = 1 + rooted
+    source = distinct.select("node", *(f"w{i}" for i in words))
 
     def anchored(batch: pa.RecordBatch) -> Iterator[tuple]:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = {w: cols[skip + i].view(np.uint64) for i, w in enumerate(words)}
+        node, *cols = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        held = {w: c.view(np.uint64) for w, c in zip(words, cols)}
         for k, run in enumerate(runs):
-            for i in range(0, len(cols[0]), 1 << 14):
+            for i in range(0, len(node), 1 << 14):
                 who, anchor, home = run.code.anchors(held[run.word][i : i + (1 << 14)])
-                yield run, cols, held, i + who, (np.int64(k) << np.int64(48)) | (anchor.astype(np.int64) << np.int64(16)), home
+                yield run, node, held, i + who, (np.int64(k) << np.int64(48)) | (anchor.astype(np.int64) << np.int64(16)), home
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, _, key, _ in anchored(batch):
+            for *_, key, _ in anchored(batch):
                 k, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "n"])
 
@@ -217,43 +192,35 @@ def link_fingerprints(distinct: DataFrame, runs: list[Run], most: int, partition
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, parts = dealt.value
         for batch in batches:
-            for run, cols, held, who, key, home in anchored(batch):
+            for run, node, held, who, key, home in anchored(batch):
                 member = np.ones(len(key), bool)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                     n = np.where(hot[at] == key, parts[at], 1)
-                    own = (mix64(cols[0][who]) % n.astype(np.uint64)).astype(np.int64)
+                    own = (mix64(node[who]) % n.astype(np.uint64)).astype(np.int64)
                     more = np.flatnonzero(home & (n > 1))
                     copy = np.repeat(more, n[more])
                     part = np.arange(len(copy)) - np.repeat(np.cumsum(n[more]) - n[more], n[more])
                     other = part != own[copy]
                     copy, part = copy[other], part[other]
+                    key = np.concatenate([key | own, key[copy] | part])
                     who, home = np.concatenate([who, who[copy]]), np.concatenate([home, home[copy]])
                     member = np.concatenate([member, np.zeros(len(copy), bool)])
-                    key = np.concatenate([key | own, key[copy] | part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(home), pa.array(member), *(pa.array(c[who]) for c in cols[:skip]), *(pa.array(held[w][who].view(np.int64)) for w in run.carried)],
-                    names=names)
+                    [pa.array(key), pa.array(home), pa.array(member), pa.array(node[who]), *(pa.array(held[w][who].view(np.int64)) for w in run.carried)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        key, home, member, node, *rest = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        key, home, member, node, *carried = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
         order = np.lexsort((node, ~member, key))
         key, home, member, node = key[order], home[order], member[order], node[order]
-        root = rest[0][order] if rooted else None
-        carried = [c[order].view(np.uint64) for c in rest[int(rooted):]]
-        partners = FewPartners(len(key), few) if few is not None else None
-        for left, right in near_pairs(key, home, member, node, carried, most):
-            if rooted:
-                apart = root[left] != root[right]
-                left, right = left[apart], right[apart]
-            a, b = partners(left, right, node) if partners else star_edges(node[left], node[right])
+        for left, right in near_pairs(key, home, member, node, [c[order].view(np.uint64) for c in carried], most):
+            a, b = star_edges(node[left], node[right])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    schema = "key long, home boolean, member boolean, node long" + (", root long" if rooted else "") + "".join(f", {c} long" for c in carry)
-    copies = source.mapInArrow(replicate, schema)
+    copies = source.mapInArrow(replicate, "key long, home boolean, member boolean, node long" + "".join(f", {c} long" for c in carry))
     return copies.repartition(partitions, "key").mapInArrow(compare, "a long, b long")
 
 
@@ -265,8 +232,8 @@ RECALL = 0.997
 CHANCE = 8192
 #: Words of a fingerprint that a copy carries, and the standard deviations of slack in their comparison.
 CARRIED, SLACK = 2, 4.5
-#: Partners of a fingerprint at an anchor that are compared at once; others only if they are in another group by then.
-PARTNERS = 8
+#: Shingles of a cluster that are compared in one block; the blocks of a larger cluster meet two by two.
+BLOCK_SHINGLES = 2_000_000
 
 
 def flips(similarity: float) -> float:
@@ -291,7 +258,7 @@ def stage_runs(n: int, similarity: float = SIMILARITY) -> tuple[list[Run], int]:
 
 
 def shingle_sketches(rows: DataFrame, words: int, shingle: int) -> DataFrame:
-    """(row, d0, d1, w0, w1 ...) of (row, text): 128-bit digest and fingerprint of the set of shingles."""
+    """(row, d0, d1, n, w0, w1 ...) of (row, text): 128-bit digest, size and fingerprint of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -299,12 +266,12 @@ def shingle_sketches(rows: DataFrame, words: int, shingle: int) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 h = np.unique(shingle_hashes(lower_words(t), shingle))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-                out.append([*digest.tolist(), *(np.uint64(fingerprint(mix64(h + np.uint64(k)))).view(np.int64) for k in range(words))])
-            cols = np.array(out, np.int64).reshape(len(out), words + 2).T
+                out.append([*digest.tolist(), len(h), *(np.uint64(fingerprint(mix64(h + np.uint64(k)))).view(np.int64) for k in range(words))])
+            cols = np.array(out, np.int64).reshape(len(out), words + 3).T
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols)],
-                                             names=["row", "d0", "d1", *(f"w{k}" for k in range(words))])
+                                             names=["row", "d0", "d1", "n", *(f"w{k}" for k in range(words))])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, d0 long, d1 long" + "".join(f", w{k} long" for k in range(words)))
+    return rows.select("row", "text").mapInArrow(run, "row long, d0 long, d1 long, n long" + "".join(f", w{k} long" for k in range(words)))
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -320,38 +287,96 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, grams array<long>")
 
 
-def similar_pairs(pairs: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of the ``pairs`` of nodes (a, b) whose texts in ``rows`` (row, text) have shingle sets of a Jaccard similarity
-    of ``similarity`` or more.  A set goes to its pairs in plain joins of stored tables, whose hot keys can be split."""
-    pairs = materialize(pairs.where("a <> b").distinct(), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(shingle_sets(rows.join(nodes, rows.row == nodes.node).select("node", "text"), shingle), "shingles")
-    x, y = sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
-    common = F.size(F.array_intersect("x", "y"))
-    met = pairs.join(x, "b").join(y, "a").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9)
-    out = materialize(met.select("a", "b"), "similar")
-    discard(pairs)
-    discard(sets)
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted arrays of distinct values share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def similar_links(words: np.ndarray, sets: list[np.ndarray], side: np.ndarray, most: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j), at most one less than rows, that connect the rows as all pairs do that are similar, of different
+    ``side`` where there are two, and whose fingerprints differ in at most ``most`` bits.  The nearest pairs are
+    measured first, and pairs that the links so far connect aren't measured."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() and not side.all() else (np.arange(n), np.arange(n))
+    out = []
+    step = max(1, _PAIRS_AT_ONCE // max(1, len(second)))
+    for at in range(0, len(first), step):
+        rows = first[at : at + step]
+        far = np.zeros((len(rows), len(second)), np.int64)
+        for k in range(words.shape[1]):
+            far += np.bitwise_count(words[rows, k][:, None] ^ words[second, k][None, :])
+        small, large = np.minimum(size[rows][:, None], size[second][None, :]), np.maximum(size[rows][:, None], size[second][None, :])
+        i, j = np.nonzero((far <= most) & (rows[:, None] != second[None, :]) & (small >= similarity * large - 1e-9))
+        order = np.argsort(far[i, j], kind="stable")
+        for a, b in zip(rows[i[order]].tolist(), second[j[order]].tolist()):
+            x, y = find(a), find(b)
+            if x == y:
+                continue
+            common = overlap(sets[a], sets[b])
+            if common >= similarity * (size[a] + size[b] - common) - 1e-9:
+                root[max(x, y)] = min(x, y)
+                out.append((a, b))
     return out
 
 
-def link_texts(classes: DataFrame, rows: DataFrame, runs: list[Run], similarity: float, shingle: int, partitions: int) -> DataFrame:
-    """Edges (a, b) between the nodes of ``classes`` (node, w0, w1 ...) whose texts are similar; links followed, they
-    connect all similar pairs that met at an anchor.
+def confirmed_links(clusters: DataFrame, rows: DataFrame, words: int, most: int, similarity: float, shingle: int) -> DataFrame:
+    """Edges (a, b) between similar nodes of one cluster; ``clusters`` has node, root, n, w0, w1 ...
 
-    Each node is first compared with a few partners of an anchor, those with the smallest names, which are the same
-    for all.  The nodes with more partners meet again, and pairs that the links so far leave in different groups are
-    compared too; so the pairs of a large group aren't formed."""
+    A cluster's sets are dealt to blocks of a bounded number of shingles, and the blocks meet two by two."""
+    prints = [f"w{k}" for k in range(words)]
+    total = clusters.groupBy("root").agg(F.sum("n").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    dealt = materialize(clusters.join(total, "root").withColumn("blocks", blocks), "clusters")
+    texts = rows.join(dealt.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "text")
+    sets = materialize(shingle_sets(texts, shingle), "shingles")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    met = dealt.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", *prints)
+    met = met.join(sets, "node")
+
+    def confirm(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+        grams = t.column("grams").combine_chunks()
+        offsets, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+        held = [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+        own = np.stack([t.column(w).to_numpy().view(np.uint64) for w in prints], 1)
+        links = np.array(similar_links(own, held, side, most, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": node[links[:, 0]], "b": node[links[:, 1]]})
+
+    found = materialize(met.groupBy("root", "x", "y").applyInArrow(confirm, "a long, b long"), "similar")
+    discard(sets)
+    discard(dealt)
+    return found
+
+
+def link_texts(classes: DataFrame, rows: DataFrame, runs: list[Run], words: int, similarity: float, shingle: int, partitions: int) -> DataFrame:
+    """Edges (a, b) between nodes of ``classes`` (node, n, w0, w1 ...) whose texts in ``rows`` (row, text) are similar, enough
+    to connect all similar pairs that met at an anchor.
+
+    Fingerprints that meet at an anchor and are near by the words they carry make clusters; within a cluster the whole
+    fingerprints and then the sets themselves are compared."""
     p = flips(similarity)
-    most = math.floor(64 * CARRIED * p + SLACK * math.sqrt(64 * CARRIED * p * (1 - p)))
-    met = materialize(link_fingerprints(classes, runs, most, partitions, PARTNERS), "met")
-    near = similar_pairs(met, rows, similarity, shingle)
-    crowded = met.where("a = b").select(F.col("a").alias("node")).distinct()
-    roots = components(near, "stars")
-    again = classes.join(crowded, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    again = materialize(again, "crowded")
-    rest = similar_pairs(link_fingerprints(again, runs, most, partitions, 1 << 62), rows, similarity, shingle)
-    return near.union(rest)
+
+    def bound(bits: int) -> int:
+        return math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
+
+    roots = materialize(components(link_fingerprints(classes, runs, bound(64 * CARRIED), partitions), "clusters"), "clusters")
+    clusters = classes.join(roots, "node").select("node", "root", "n", *(f"w{k}" for k in range(words)))
+    return confirmed_links(clusters, rows, words, bound(64 * words), similarity, shingle)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE,
@@ -369,19 +394,19 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingl
     names = [f"c{i}" for i in range(len(docs.columns))]
     numbered = materialize(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
     doc, text = (names[docs.columns.index(c)] for c in (doc_col, text_col))
-    n = numbered.count()
+    n = max(1, numbered.count())
     runs, words = stage_runs(n, similarity)
     rows = numbered.select("row", F.col(text).alias("text"))
     sketches = materialize(shingle_sketches(rows, words, shingle), "sketches")
     prints = [f"w{k}" for k in range(words)]
-    order = F.struct(F.col(doc).isNull().alias("n"), F.col(doc).alias("doc"), "row")
+    order = F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), "row")
     keyed = sketches.join(numbered.select("row", doc), "row")
-    classes = keyed.groupBy("d0", "d1").agg(F.min(order).alias("first"), *(F.min(w).alias(w) for w in prints))
-    classes = materialize(classes.select(F.col("first.row").alias("node"), F.col("first.n").alias("n"), F.col("first.doc").alias("doc"), *prints), "classes")
+    classes = keyed.groupBy("d0", "d1").agg(F.min(order).alias("first"), *(F.min(c).alias(c) for c in ("n", *prints)))
+    classes = materialize(classes.select(F.col("first.row").alias("node"), F.col("first.none").alias("none"), F.col("first.doc").alias("doc"), "n", *prints), "classes")
     partitions = int(max(24, n * len(runs) * 8 // 2_000_000))
-    roots = components(link_texts(classes, rows, runs, similarity, shingle, partitions), "near")
-    placed = classes.join(roots, "node", "left").select("node", "n", "doc", F.coalesce("root", "node").alias("root"))
-    kept = placed.groupBy("root").agg(F.min(F.struct("n", "doc", "node")).alias("first")).select(F.col("first.node").alias("row"))
+    roots = components(link_texts(classes, rows, runs, words, similarity, shingle, partitions), "near")
+    placed = classes.join(roots, "node", "left").select("node", "none", "doc", F.coalesce("root", "node").alias("root"))
+    kept = placed.groupBy("root").agg(F.min(F.struct("none", "doc", "node")).alias("first")).select(F.col("first.node").alias("row"))
     return numbered.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
 
 
