@@ -19,18 +19,21 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 60
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     e = materialize(e, label)
     for _ in range(max_rounds):
-        least = e.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("c"))
+        # stored, so that the joins below are plain and a hot node can be split
+        least = materialize(e.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("c")), label)
         unsettled = least.where("c > 1").select("n").union(e.join(least, e.lo == least.n, "left_semi").select("lo"))
         if not unsettled.limit(1).count():
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
                 e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
         # large star: every node above u hangs on the least neighbour of u
-        large = e.join(least, e.lo == least.n, "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
-        least = large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m"))
+        large = materialize(e.join(least, e.lo == least.n, "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct(), label)
+        discard(e)
+        discard(least)
+        least = materialize(large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m")), label)
         # small star: a node and its lower neighbours hang on the least of them
         near = large.join(least, large.hi == least.n)
         new = near.select("hi", F.col("m").alias("lo")).union(near.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
-        new = materialize(new, label)
-        discard(e)
-        e = new
+        e = materialize(new, label)
+        discard(large)
+        discard(least)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

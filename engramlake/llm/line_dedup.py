@@ -28,6 +28,8 @@ from engramlake.llm.common import NO_ID, materialize, slices, table
 MIN_CHARS = 40
 #: Positions in a chunk of the suffix array.
 CHUNK_ROWS = 50_000
+#: Rows in a range of a running sum.
+RANGE_ROWS = 200_000
 
 _KEY = ["d", "h"]
 _PLACE = "d long, h long, pos long"
@@ -88,9 +90,9 @@ def distinct_lines(keyed: DataFrame, least: int) -> DataFrame:
     return materialize(lines.join(repeated, _KEY, "left").where("kept IS NULL OR row = kept").drop("kept"), "lines")
 
 
-def running_sums(df: DataFrame, order: list[str], amounts: list[str]) -> DataFrame:
-    """``df`` with the sums of ``amounts`` over the rows that stand before in ``order``, named before_ and the amount.  Rows
-    are dealt by ranges; the driver sees one row of totals for each range."""
+def running_sums(df: DataFrame, order: list[str], amounts: list[str], rows: int) -> DataFrame:
+    """``df`` with the sums of ``amounts`` over the rows that stand before in ``order``, named before_ and the amount.  Rows,
+    ``rows`` at most, are dealt by ranges; the driver sees one row of totals for each range."""
     spark = df.sparkSession
     into = [f"before_{c}" for c in amounts]
     names = [c for c in df.columns]
@@ -107,7 +109,7 @@ def running_sums(df: DataFrame, order: list[str], amounts: list[str]) -> DataFra
                 so_far[k] = int(total[-1]) if len(x) else so_far[k]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), *map(pa.array, own)], names=[*names, "part", *into])
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = -(-rows // RANGE_ROWS) + 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", part int" + "".join(f", {c} long" for c in into)
     stored = materialize(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "sums")
     totals = sorted(map(tuple, stored.groupBy("part").agg(*(F.sum(c).alias(c) for c in amounts)).collect()))
@@ -127,11 +129,11 @@ def suffix_array(lines: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
     ``ahead_of`` counts the positions still active before a rank's own; within a round it turns a sum over the active
     positions into the place within the rank."""
     counts = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranks = materialize(running_sums(counts, ["a", "b"], ["n"]).select("a", "b", F.col("before_n").alias("r")), "ranks")
+    ranks = materialize(running_sums(counts, ["a", "b"], ["n"], lines.count() // 2).select("a", "b", F.col("before_n").alias("r")), "ranks")
     active = materialize(lines.join(ranks, ["a", "b"]).select(*_KEY, "pos", "rest", "reach", "r", F.col("r").alias("ahead_of")), "positions")
     retired: DataFrame | None = None
     levels = []
-    while active.limit(1).count():
+    while n := active.count():
         k, h = len(levels), 1 << len(levels)
         levels.append(active.select(*_KEY, "pos", "r"))
         known = levels[-1] if retired is None else levels[-1].union(retired.select(*_KEY, "pos", F.col("sa").alias("r")))
@@ -142,7 +144,7 @@ def suffix_array(lines: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
         pairs = materialize(active.join(ahead, [*_KEY, "pos"], "left").select(*_KEY, "pos", "rest", "reach", "r", "ahead_of", after.alias("r2")), "pairs")
         counts = pairs.groupBy("r", "ahead_of", "r2").agg(F.count(F.lit(1)).alias("n"))
         done = (F.col("n") == 1) | (F.col("r2") < 0)
-        counts = running_sums(counts.withColumn("still", F.when(done, 0).otherwise(F.col("n")).cast("long")), ["r", "r2"], ["n", "still"])
+        counts = running_sums(counts.withColumn("still", F.when(done, 0).otherwise(F.col("n")).cast("long")), ["r", "r2"], ["n", "still"], n)
         ranks = materialize(counts.select("r", "r2", "n", (F.col("r") + F.col("before_n") - F.col("ahead_of")).alias("sa"), "before_still"), "ranks")
         placed = materialize(pairs.drop("ahead_of").join(ranks, ["r", "r2"]), "placed")
         discard(pairs)

@@ -282,13 +282,36 @@ def test_topk_prunes_without_loss():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    c = np.floor(256 * rng.normal(size=(64, 3000)) * 0.9 ** np.arange(64)[:, None]).astype(np.int64)
-    q = np.ascontiguousarray(c[:, :4].T) + 1
-    alive, scores = topk.branch_and_bound(q, c, 5, np.full(4, -1))
-    whole = q @ c
-    assert len(alive) < 3000
-    for i in range(4):
-        assert sorted(whole[i])[-5:] == sorted(int(x) for x in scores[i])[-5:]
+    for decay, most in ((0.9, 0.5), (1.0, 0.99)):
+        c = np.floor(256 * rng.normal(size=(64, 3000)) * decay ** np.arange(64)[::-1, None]).astype(np.int64)
+        q = np.ascontiguousarray(c[:, :40].T) + 1
+        search = topk.Search(q, 5)
+        found = [[], []]
+        for part, at in enumerate((0, 1500)):  # k-th scores are carried from block to block
+            own = np.where((np.arange(40) >= at) & (np.arange(40) < at + 1500), np.arange(40) - at, -1)
+            found[part] = search.block(np.ascontiguousarray(c[:, at : at + 1500]), own)
+        assert search.work["done"] < most * search.work["all"]
+        whole = q @ c
+        for i in range(40):
+            want = sorted(np.delete(whole[i], i))[-5:]
+            got = sorted(int(x) for part in found for x in part[i][1])[-5:]
+            assert [int(x) for x in want] == got
+
+
+def test_topk_prunes_the_fixture(small):
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{small}/embeddings.parquet")
+    m = np.floor(256 * np.array(t["embedding"].to_pylist(), np.float64)).astype(np.int64)
+    at = np.flatnonzero(np.array(t["vec_id"]) % 50 == 0)
+    search = topk.Search(m[at], 5)
+    found = search.block(np.ascontiguousarray(m.T), at)
+    print("products done:", search.work["done"] / search.work["all"])
+    assert search.work["done"] < search.work["all"]
+    for i, row in enumerate(at):
+        whole = m @ m[row]
+        assert sorted(int(x) for x in found[i][1])[-5:] == sorted(int(x) for x in np.delete(whole, row))[-5:]
 
 
 def test_line_dedup_matches_brute_force(docs, rows):
