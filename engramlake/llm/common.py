@@ -75,12 +75,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return cut(df, label, "zstd")
 
 
+def _estimate(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, stored first if the planner doesn't know its size."""
+    return df if _estimate(df) < 1 << 60 else materialize(df, "input")
+
+
 def shard_count(df: DataFrame, per_shard: int = SHARD_INPUT_BYTES, least: int = 24) -> int:
     """Shards in proportion to the planner's size estimate of ``df``, so that one shard stays the same size."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = _estimate(df)
     return int(max(least, min(-(-size // per_shard), 1 << 22)))
 
 
+def grouped(df: DataFrame, key: str, parts: int):
+    """``df`` by ``key`` over a number of tasks that grows with the input, so that a task has few groups at any size."""
+    return df.repartition(parts, key).groupBy(key)
+
+
 def in_fold(key: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.llm.common import (
-    DOCS, PACKET_SCHEMA, QUERY, REPLY, Block, blocks, deltas, first_of_runs, in_fold, lower_words, materialize, mix64, pack,
-    packets, shard_count, slices, table, trimmed, undeltas, unpack,
+    DOCS, PACKET_SCHEMA, QUERY, REPLY, Block, blocks, deltas, first_of_runs, grouped, in_fold, lower_words, materialize, mix64, pack,
+    packets, shard_count, sized, slices, table, trimmed, undeltas, unpack,
 )
 
 #: Weight of the lower order in a context, in pseudo-counts.
@@ -218,6 +218,7 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
     trie's byte codes.  Repeated rows are scored each; other columns are ignored; no rows give no rows.
     """
     source = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(train).cast("int").alias("flag"))
+    source = sized(source)
     n_shards = shard_count(source)
 
     def split(text):
@@ -255,7 +256,7 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
 
     sent = materialize(source.mapInArrow(encode, PACKET_SCHEMA), "lm")
     held = sent.where(F.col("kind") == DOCS)
-    numbered = materialize(sent.where(F.col("kind") == QUERY).groupBy("shard").applyInArrow(trimmed(number), PACKET_SCHEMA), "vocabulary")
+    numbered = materialize(grouped(sent.where(F.col("kind") == QUERY), "shard", n_shards).applyInArrow(trimmed(number), PACKET_SCHEMA), "vocabulary")
     stats = numbered.where(F.col("kind").isin(TOKENS, TYPES)).groupBy("kind").agg(F.sum("block").alias("n"), F.max("shard").alias("words"))
     seen = {r.kind: (r.n, r.words) for r in stats.collect()}
     n_train, n_types = (seen.get(k, (0, 0))[0] for k in (TOKENS, TYPES))
@@ -328,9 +329,9 @@ def score_texts(docs: DataFrame, train: str = "train", prior: float = PRIOR, doc
         })
 
     vocabulary = numbered.where(F.col("kind") == REPLY)
-    asked = held.union(vocabulary).groupBy("block").applyInArrow(trimmed(ask), PACKET_SCHEMA)
-    answers = asked.groupBy("shard").applyInArrow(trimmed(answer), PACKET_SCHEMA)
-    return held.union(vocabulary).union(answers).groupBy("block").applyInArrow(trimmed(score), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = grouped(held.union(vocabulary), "block", n_shards).applyInArrow(trimmed(ask), PACKET_SCHEMA)
+    answers = grouped(asked, "shard", n_shards).applyInArrow(trimmed(answer), PACKET_SCHEMA)
+    return grouped(held.union(vocabulary).union(answers), "block", n_shards).applyInArrow(trimmed(score), "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

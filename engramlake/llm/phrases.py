@@ -1,11 +1,12 @@
-"""Operator 2: removal of repeated passages, located by Aho-Corasick automata over confirmed windows.
+"""Operator 2: removal of repeated passages, located by sharded Aho-Corasick automata over confirmed windows.
 
 1. Every window of 13 words has a *seed*, the least hash of its runs of 5 words; windows with equal words have
    equal seeds.  Each block sends its distinct seeds to shards and learns which recur in the corpus.
-2. Only windows with a recurring seed are candidates.  Each block sends its distinct candidates (128-bit keys)
-   with the least document id it knows, and learns for which another block has a smaller one: these recur.
-3. Each block compiles its confirmed windows into automata of bounded size, one symbol a word, and streams its
-   documents through them; the hits tell which words go.
+2. Runs of windows with one recurring seed are passages.  Every document's passages go, as words, to the shard of their
+   seed; a passage that a block holds several times goes once, with the least and the largest document id.
+3. A shard compares windows word by word.  Those that recur in several documents are the patterns; it compiles them into
+   automata by ranges of seeds, one symbol a word, and streams all passages of the corpus with these seeds through
+   them.  No other passage can hold a pattern.  The hits go back to the blocks and tell which words go.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.llm.common import (
-    DOCS, NO_ID, PACKET_SCHEMA, QUERY, REPLY, Block, blocks, by_shard, deltas, first_of_runs, materialize, mix64, pack, packets,
-    shard_count, slices, table, trimmed, undeltas, unpack, words,
+    DOCS, PACKET_SCHEMA, QUERY, REPLY, Block, blocks, by_shard, deltas, first_of_runs, grouped, materialize, mix64, pack, packets,
+    shard_count, sized, slices, table, trimmed, undeltas, unpack, words,
 )
 
 WINDOW = 13
 SEED = 5
 PATTERNS_PER_AUTOMATON = 1_000
-_ALWAYS = np.iinfo(np.int64).min
+#: What a hit says: the pattern's first document comes before all that hold the passage in its block, or is one of them.
+BEFORE, FIRST = 1, 2
 
 
 def rolling(h: np.ndarray, n: int, factor: int) -> np.ndarray:
@@ -72,20 +74,58 @@ class Windows:
         first = np.flatnonzero(first_of_runs(s))
         return s[first], np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
 
-    def candidates(self, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(positions by group, first of each group, key, second key) of windows with one of the recurring seeds."""
+    def passages(self, recurring: np.ndarray, n_shards: int) -> Passages:
         at = np.flatnonzero(self.inside)
         if len(at) and len(recurring):
             i = np.minimum(np.searchsorted(recurring, self.seeds[at]), len(recurring) - 1)
             at = at[recurring[i] == self.seeds[at]]
         else:
             at = at[:0]
-        k1 = rolling(self.word_hash, self.window, 0xD6E8FEB86659FD93)[at]
-        k2 = rolling(mix64(self.word_hash), self.window, 0xA0761D6478BD642F)[at]
-        order = np.lexsort((at, k2, k1))
-        at, k1, k2 = at[order], k1[order], k2[order]
-        first = np.flatnonzero(first_of_runs(k1) | first_of_runs(k2)) if len(at) else np.empty(0, np.int64)
-        return at, first, k1[first], k2[first]
+        return Passages(self, at, n_shards)
+
+
+class Passages:
+    """Runs of windows of one seed, cut to ``most`` windows (longer ones repeat the seed's words), as rows of word ids that
+    end in -1.  Equal rows are one *kind*; kinds are sorted by shard and by the bucket of the seed."""
+
+    def __init__(self, w: Windows, at: np.ndarray, n_shards: int):
+        self.most = w.window - SEED + 1 if w.window > SEED else 1
+        seeds = w.seeds[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (seeds[1:] != seeds[:-1])
+        run = np.flatnonzero(new)
+        place = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
+        first = np.flatnonzero(place % self.most == 0)
+        start, count = at[first], np.diff(first, append=len(at))
+        width = w.window + self.most - 1
+        rows = w.block.ids[np.minimum(start[:, None] + np.arange(width), max(0, len(w.block.ids) - 1))] if len(first) else np.empty((0, width), np.int64)
+        rows = np.where(np.arange(width) < (count + w.window - 1)[:, None], rows, -1)
+        seed = mix64(seeds[first])
+        shard = (seed % np.uint64(n_shards)).astype(np.int64)
+        bucket = (mix64(seed) >> np.uint64(48)).astype(np.int64)
+        doc = w.block.doc_ids[w.doc[start]]
+        order = np.lexsort((fold(rows), bucket, shard))
+        rows, self.start, self.doc = rows[order], start[order], doc[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1)
+        lead = np.flatnonzero(new)
+        self.kind = np.cumsum(new) - 1
+        self.rows, self.shard, self.bucket, self.count = rows[lead], shard[order][lead], bucket[order][lead], count[order][lead]
+        self.low = np.minimum.reduceat(self.doc, lead) if len(lead) else self.doc
+        self.high = np.maximum.reduceat(self.doc, lead) if len(lead) else self.doc
+
+    def by_shard(self, n_shards: int) -> Iterator[tuple[int, int, int]]:
+        cuts = np.searchsorted(self.shard, np.arange(n_shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)):
+            yield int(s), int(cuts[s]), int(cuts[s + 1])
+
+
+def fold(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row."""
+    out = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + (rows[:, j] + 2).astype(np.uint64))
+    return out
 
 
 def _read_block(t: pa.Table) -> tuple[int, Block, list[bytes], dict[int, dict[int, bytes]]]:
@@ -121,54 +161,60 @@ def spelled(ids: np.ndarray, digits: int) -> str:
     return out.tobytes().decode("utf-32-le")
 
 
-def locate(block: Block, at: np.ndarray, owner: np.ndarray, key: np.ndarray, candidates: np.ndarray, seeds: np.ndarray, window: int,
+def confirmed_windows(rows: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, bucket: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, first document, bucket) of each distinct window that several documents hold, sorted by bucket.  Windows are
+    brought together by a hash and then compared word by word."""
+    passage = np.repeat(np.arange(len(rows)), count)
+    place = np.arange(len(passage)) - np.repeat(np.cumsum(count) - count, count)
+    windows = rows[passage[:, None], place[:, None] + np.arange(window)]
+    order = np.lexsort((fold(windows), bucket[passage]))
+    windows, passage = windows[order], passage[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (windows[1:] != windows[:-1]).any(1)
+    lead = np.flatnonzero(new)
+    if not len(lead):
+        return windows, low[:0], bucket[:0]
+    least, most = np.minimum.reduceat(low[passage], lead), np.maximum.reduceat(high[passage], lead)
+    several = least < most
+    return windows[lead[several]], least[several], bucket[passage[lead[several]]]
+
+
+def locate(rows: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, bucket: np.ndarray, window: int,
            limit: int = PATTERNS_PER_AUTOMATON) -> np.ndarray:
-    """Which words of the block lie in an occurrence of a pattern in a document with an id above the pattern's owner.
-
-    Patterns are the windows at positions ``at``, with the seeds ``key``.  They are compiled into automata of about
-    ``limit`` patterns, by ranges of seeds; through each automaton go the passages of all documents that have a
-    seed in its range (``candidates`` and their ``seeds``), for a pattern occurs nowhere else."""
-    n = len(block.ids)
-    change = np.zeros(n + 1, np.int32)
-    if not len(at):
-        return change[:-1] > 0
-    doc = block.doc_of_word()
-    order = np.argsort(key, kind="stable")
-    at, owner, key = at[order], owner[order], key[order]
-    order = np.lexsort((candidates, seeds))
-    candidates, seeds = candidates[order], seeds[order]
+    """For each window of each passage, passage after passage: 0, or ``BEFORE`` or ``FIRST`` where a pattern occurs.
+
+    ``rows`` are passages as word ids that end in -1, sorted by ``bucket``; patterns are their windows that several
+    documents hold.  Automata of about ``limit`` patterns are compiled by ranges of buckets, and all passages of a
+    range are streamed through its automaton."""
+    begin = np.cumsum(count) - count
+    state = np.zeros(int(count.sum()), np.uint8)
+    patterns, owner, range_of = confirmed_windows(rows, count, low, high, bucket, window)
     i = 0
-    while i < len(at):
-        j = min(i + limit, len(at))
-        j = int(np.searchsorted(key, key[j - 1], "right"))  # a seed's patterns stay together
-        lo, hi = np.searchsorted(seeds, key[i], "left"), np.searchsorted(seeds, key[j - 1], "right")
-        begin = np.sort(candidates[lo:hi])
-        new = np.ones(len(begin), bool)
-        new[1:] = (begin[1:] > begin[:-1] + window) | (doc[begin[1:]] != doc[begin[:-1]])
-        first = begin[new]
-        last = begin[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(begin) - 1]])] + window
-        size = last - first + 1  # a separator ends each passage
-        where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-        stop = np.zeros(len(where), bool)
-        stop[np.cumsum(size) - 1] = True
-        known, stream = np.unique(block.ids[np.minimum(where, n - 1)], return_inverse=True)
-        stream[stop] = len(known)
+    while i < len(patterns):
+        j = min(i + limit, len(patterns))
+        j = int(np.searchsorted(range_of, range_of[j - 1], "right"))  # a seed's patterns stay together
+        a, b = np.searchsorted(bucket, range_of[i], "left"), np.searchsorted(bucket, range_of[j - 1], "right")
+        size = count[a:b] + window  # a separator ends each passage
+        passage = np.repeat(np.arange(a, b), size)
+        place = np.arange(len(passage)) - np.repeat(np.cumsum(size) - size, size)
+        stream = rows[passage, np.minimum(place, rows.shape[1] - 1)]
+        stream[np.cumsum(size) - 1] = -1
+        known, stream = np.unique(stream, return_inverse=True)  # the separator is the least
         digits = max(1, -(-int(len(known)).bit_length() // 6))
-        text = spelled(stream, digits)
-        patterns = spelled(np.searchsorted(known, block.ids[at[i:j, None] + np.arange(window)]).reshape(-1), digits)
+        text = spelled(stream.reshape(-1).astype(np.int64), digits)
+        words = spelled(np.searchsorted(known, patterns[i:j]).reshape(-1).astype(np.int64), digits)
         width = digits * window
         automaton = ahocorasick.Automaton()
         add = automaton.add_word
         for k, own in enumerate(owner[i:j].tolist()):
-            add(patterns[k * width : (k + 1) * width], own)
+            add(words[k * width : (k + 1) * width], own)
         automaton.make_automaton()
         end, own = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2).T
-        start = where[(end + 1) // digits - window]
-        start = start[block.doc_ids[doc[start]] > own]
-        np.add.at(change, start, 1)
-        np.add.at(change, start + window, -1)
+        start = (end + 1) // digits - window
+        hit = passage[start]
+        state[begin[hit] + place[start]] = np.where(own < low[hit], BEFORE, FIRST)
         i = j
-    return np.cumsum(change[:-1]) > 0
+    return state
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,6 +226,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, doc_
     are no reason to remove; a null id counts as the largest.  Other columns are ignored.  No rows give no rows.
     """
     source = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = sized(source)
     n_shards = shard_count(source)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,44 +250,59 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, doc_
         cut = np.concatenate([[0], np.cumsum(size)])
         return pa.Table.from_batches([packets([(REPLY, b, shard, np.packbits(answer[i:j]).tobytes()) for b, i, j in zip(names, cut, cut[1:])])])
 
-    def ask(t: pa.Table) -> pa.Table:
+    def passages_of(t: pa.Table) -> tuple[int, Block, list[bytes], dict[int, dict[int, bytes]], Passages]:
         name, block, vocab, replies = _read_block(t)
         w = Windows(block, vocab, window, seed)
         seeds, _ = w.distinct_seeds()
-        at, first, k1, k2 = w.candidates(seeds[_bits(replies.get(REPLY, {}), seeds, n_shards)])
+        return name, block, vocab, replies, w.passages(seeds[_bits(replies.get(REPLY, {}), seeds, n_shards)], n_shards)
+
+    def ask(t: pa.Table) -> pa.Table:
+        name, _, vocab, _, p = passages_of(t)
         rows = []
-        if len(first):
-            low = np.minimum.reduceat(block.doc_ids[w.doc[at]], first)
-            for s, i in by_shard(k1, n_shards):
-                rows.append((QUERY, name, s, pack(deltas(k1[i]), k2[i].astype(np.uint32), low[i])))
+        for s, i, j in p.by_shard(n_shards):
+            inside = p.rows[i:j] >= 0
+            used, ids = np.unique(p.rows[i:j][inside], return_inverse=True)
+            rows.append((QUERY, name, s, pack(
+                b" ".join([vocab[k] for k in used.tolist()]), ids.reshape(-1).astype(np.uint32), p.count[i:j].astype(np.uint8),
+                deltas(p.bucket[i:j]).astype(np.uint16), p.low[i:j], p.high[i:j] - p.low[i:j])))
         return pa.Table.from_batches([packets(rows)])
 
-    def owned(t: pa.Table) -> pa.Table:
+    def confirm(t: pa.Table) -> pa.Table:
         names, shard = t.column("block").to_pylist(), t.column("shard")[0].as_py()
-        sent = [unpack(x) for x in t.column("data").to_pylist()]
-        k1 = np.concatenate([undeltas(x[0]) for x in sent])
-        k2, low = np.concatenate([x[1] for x in sent]), np.concatenate([x[2] for x in sent])
-        order = np.lexsort((k2, k1))
-        first = np.flatnonzero(first_of_runs(k1[order]) | first_of_runs(k2[order]))
-        least = np.minimum.reduceat(low[order], first)
-        answer = np.empty(len(k1), bool)
-        answer[order] = np.repeat(least, np.diff(first, append=len(k1))) < low[order]
-        cut = np.concatenate([[0], np.cumsum([len(x[1]) for x in sent])])
-        return pa.Table.from_batches([packets([(REPLY + 1, b, shard, np.packbits(answer[i:j]).tobytes()) for b, i, j in zip(names, cut, cut[1:])])])
+        index: dict[bytes, int] = {}
+        parts = []
+        for data in t.column("data").to_pylist():
+            words, ids, count, bucket, low, more = unpack(data)
+            found = [index.setdefault(x, len(index)) for x in words.split(b" ")]
+            count = count.astype(np.int64)
+            rows = np.full((len(count), window + int(count.max()) - 1), -1, np.int32)
+            rows[np.arange(rows.shape[1]) < (count + window - 1)[:, None]] = np.array(found, np.int32)[ids]
+            parts.append((rows, count, undeltas(bucket.astype(np.int64)), low, low + more))
+        width = max(p[0].shape[1] for p in parts)
+        rows = np.concatenate([np.pad(p[0], ((0, 0), (0, width - p[0].shape[1])), constant_values=-1) for p in parts])
+        count, bucket, low, high = (np.concatenate([p[k] for p in parts]) for k in range(1, 5))
+        order = np.argsort(bucket, kind="stable")
+        state = locate(rows[order], count[order], low[order], high[order], bucket[order], window)
+        back = np.empty(len(order), np.int64)  # where a passage's answers begin
+        back[order] = np.cumsum(count[order]) - count[order]
+        flat = state[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - back, count)]
+        cut = np.concatenate([[0], np.cumsum([p[1].sum() for p in parts])])
+        return pa.Table.from_batches([packets([(REPLY + 1, b, shard, pack(flat[i:j])) for b, i, j in zip(names, cut, cut[1:])])])
 
     def remove(t: pa.Table) -> pa.Table:
-        _, block, vocab, replies = _read_block(t)
-        w = Windows(block, vocab, window, seed)
-        seeds, _ = w.distinct_seeds()
-        at, first, k1, _ = w.candidates(seeds[_bits(replies.get(REPLY, {}), seeds, n_shards)])
-        gone = np.zeros(len(block.ids), bool)
-        if len(first):
-            ids = block.doc_ids[w.doc[at]]
-            low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-            elsewhere = _bits(replies.get(REPLY + 1, {}), k1, n_shards)
-            confirmed = elsewhere | (low < high)
-            pattern = at[first][confirmed]
-            gone = locate(block, pattern, np.where(elsewhere, _ALWAYS, low)[confirmed], w.seeds[pattern], at, w.seeds[at], window)
+        _, block, vocab, replies, p = passages_of(t)
+        change = np.zeros(len(block.ids) + 1, np.int32)
+        if len(p.count):
+            state = np.concatenate([unpack(replies[REPLY + 1][s])[0] for s, _, _ in p.by_shard(n_shards)])
+            begin, count = np.cumsum(p.count) - p.count, p.count[p.kind]
+            passage = np.repeat(np.arange(len(p.kind)), count)
+            place = np.arange(len(passage)) - np.repeat(np.cumsum(count) - count, count)
+            said = state[begin[p.kind[passage]] + place]
+            goes = (said == BEFORE) | ((said == FIRST) & (p.doc > p.low[p.kind])[passage])
+            start = (p.start[passage] + place)[goes]
+            np.add.at(change, start, 1)
+            np.add.at(change, start + window, -1)
+        gone = np.cumsum(change[:-1]) > 0
         starts = block.starts()
         kept = [
             b" ".join([vocab[i] for i in block.ids[a:b][~gone[a:b]].tolist()]).decode("utf-8", "surrogatepass")
@@ -256,10 +318,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, doc_
 
     sent = materialize(source.mapInArrow(encode, PACKET_SCHEMA), "phrases")
     held = sent.where(F.col("kind") == DOCS)
-    known = materialize(sent.where(F.col("kind") == QUERY).groupBy("shard").applyInArrow(trimmed(recur), PACKET_SCHEMA), "seeds")
-    asked = held.union(known).groupBy("block").applyInArrow(trimmed(ask), PACKET_SCHEMA)
-    answers = asked.groupBy("shard").applyInArrow(trimmed(owned), PACKET_SCHEMA)
-    return held.union(known).union(answers).groupBy("block").applyInArrow(trimmed(remove), "doc_id long, n_words long, n_removed long, kept string")
+    known = materialize(grouped(sent.where(F.col("kind") == QUERY), "shard", n_shards).applyInArrow(trimmed(recur), PACKET_SCHEMA), "seeds")
+    asked = grouped(held.union(known), "block", n_shards).applyInArrow(trimmed(ask), PACKET_SCHEMA)
+    answers = grouped(asked, "shard", n_shards).applyInArrow(trimmed(confirm), PACKET_SCHEMA)
+    return grouped(held.union(known).union(answers), "block", n_shards).applyInArrow(trimmed(remove), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
