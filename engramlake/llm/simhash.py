@@ -230,8 +230,8 @@ STAGE_SHINGLE = 5
 RECALL = 0.997
 #: Fingerprints that a fingerprint may meet by chance at the anchors of one run.
 CHANCE = 8192
-#: Words of a fingerprint that a copy carries, and the standard deviations of slack in their comparison.
-CARRIED, SLACK = 2, 4.5
+#: Words of a fingerprint that a copy carries, and the standard deviations of slack in comparing these and all words.
+CARRIED, SLACK, WHOLE_SLACK = 2, 3.5, 4.5
 #: Shingles of a cluster that are compared in one block; the blocks of a larger cluster meet two by two.
 BLOCK_SHINGLES = 2_000_000
 
@@ -371,12 +371,12 @@ def link_texts(classes: DataFrame, rows: DataFrame, runs: list[Run], words: int,
     fingerprints and then the sets themselves are compared."""
     p = flips(similarity)
 
-    def bound(bits: int) -> int:
-        return math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
+    def bound(bits: int, slack: float) -> int:
+        return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
-    roots = materialize(components(link_fingerprints(classes, runs, bound(64 * CARRIED), partitions), "clusters"), "clusters")
+    roots = materialize(components(link_fingerprints(classes, runs, bound(64 * CARRIED, SLACK), partitions), "clusters"), "clusters")
     clusters = classes.join(roots, "node").select("node", "root", "n", *(f"w{k}" for k in range(words)))
-    return confirmed_links(clusters, rows, words, bound(64 * words), similarity, shingle)
+    return confirmed_links(clusters, rows, words, bound(64 * words, WHOLE_SLACK), similarity, shingle)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE,
@@ -407,7 +407,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingl
     roots = components(link_texts(classes, rows, runs, words, similarity, shingle, partitions), "near")
     placed = classes.join(roots, "node", "left").select("node", "none", "doc", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min(F.struct("none", "doc", "node")).alias("first")).select(F.col("first.node").alias("row"))
-    return numbered.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
+    # narrow rows tell which go; these are few as a rule, and then texts needn't be dealt anew to be left out
+    gone = materialize(sketches.select("row").join(kept, "row", "left_anti"), "gone")
+    return numbered.join(gone, "row", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, blocks: int = BLOCKS,
