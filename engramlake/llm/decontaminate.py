@@ -15,7 +15,7 @@ from engramlake.llm.common import alnum_words, materialize, slices, table
 from engramlake.session import ship
 
 WINDOW = 10
-#: Words of benchmark items in one broadcast set of tables (some 150 bytes of tables a word); larger benchmarks are
+#: Words of benchmark items in one broadcast set of tables (by estimate 150 bytes of tables a word); larger benchmarks are
 #: searched set by set.
 MAX_PATTERN_WORDS = 400_000
 _SEGMENT = 512

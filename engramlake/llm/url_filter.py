@@ -20,7 +20,7 @@ RULES: list[Rule] = [
     ("allow", "org", "/fr/"),
 ]
 DEFAULT_VERDICT = "allow"
-#: Bytes of rule text that are broadcast as one trie (some 40 times that in memory); beyond it the rules are joined.
+#: Bytes of rule text that are broadcast as one trie (many times that in memory); beyond it the rules are joined.
 MAX_TRIE_BYTES = 2 << 20
 
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
