@@ -90,7 +90,16 @@ def jaccard(x: Column, y: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct 3-grams of each word with two blanks before and one behind; a repeated word is taken apart once."""
+    """Distinct 3-grams of each word with two blanks before and one behind; a repeated word is taken apart once.
+
+    The distinct words stand in lines of one text, and one expression finds the windows that stay within a line.  It
+    steps by UTF-16 units, so texts with characters of two units are taken apart by position."""
+    lines = F.concat(F.lit("  "), F.concat_ws(" \n  ", F.array_distinct(F.split(F.lower(c), _NOT_ALNUM))), F.lit(" "))
+    found = F.array_remove(F.array_distinct(F.regexp_extract_all(lines, F.lit("(?=(...))"), F.lit(1))), "   ")
+    return F.when(F.isnull(c), F.lit(None)).when(F.rlike(c, F.lit("[\\x{10000}-\\x{10FFFF}]")), _trigrams_by_position(c)).otherwise(found)
+
+
+def _trigrams_by_position(c: Column) -> Column:
     padded = F.transform(F.array_distinct(tokens(c)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     grams = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
@@ -116,6 +125,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def explode_if(value: Column, keep) -> Column:
+    """A generator of ``value`` in the rows where ``keep(value)`` holds.  Unlike a filter over a computed column, which is
+    pushed below the projection and computes it again, it computes the value once."""
+    return F.explode(F.filter(F.array(value), keep))
+
+
 def _counts(c: Column, terms: list[str], body) -> Column:
     """``body`` of the frequencies of the terms; the text is split once."""
     def of(hits: Column) -> Column:
@@ -124,7 +139,7 @@ def _counts(c: Column, terms: list[str], body) -> Column:
 
         return body([count(t) for t in terms])
 
-    return let(F.filter(tokens(c), lambda w: w.isin(terms)), of)
+    return let(F.filter(F.split(F.lower(c), _NOT_ALNUM), lambda w: w.isin(terms)), of)
 
 
 def rank_any(c: Column, terms: list[str]) -> Column:
@@ -142,7 +157,7 @@ def cover_density(c: Column, terms: list[str]) -> Column:
 
 
 def matches_any(c: Column, terms: list[str]) -> Column:
-    return F.arrays_overlap(tokens(c), text_array(terms))
+    return F.arrays_overlap(F.split(F.lower(c), _NOT_ALNUM), text_array(terms))
 
 
 def normalize_mention(c: Column) -> Column:

@@ -18,8 +18,9 @@ from engramlake.functions import text as X
 
 
 def leg(df: DataFrame, score: Column, k: int, name: str, key: str = "id", digits: int = 6) -> DataFrame:
-    """(leg, id, rank, score): the k best rows by score, then id.  The bounded top is found without a full sort."""
-    best = df.select(F.col(key).alias("id"), F.round(score, digits).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    """(leg, id, rank, score): the k best rows by score, then id; rows without a score are out.  The bounded top is found
+    without a full sort, and the score is computed once a row: nulls come last and are left out after the cut."""
+    best = df.select(F.col(key).alias("id"), F.round(score, digits).alias("score")).orderBy(F.desc_nulls_last("score"), "id").limit(k).where("score IS NOT NULL")
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
     return best.select(F.lit(name).alias("leg"), "id", rank.alias("rank"), "score")
 
@@ -27,13 +28,17 @@ def leg(df: DataFrame, score: Column, k: int, name: str, key: str = "id", digits
 def text_leg(df: DataFrame, query: str, terms: list[str], k: int, threshold: float = 0.3, name: str = "text", content: str = "content") -> DataFrame:
     """Rows that match a term or resemble the query; 0.7 of lexical rank and similarity, 0.3 of importance."""
     c = F.col(content)
-    scored = df.select("id", "importance", X.matches_any(c, terms).alias("hit"), X.trigram_similarity(c, query).alias("sim"), X.rank_any(c, terms).alias("lex"))
-    return leg(scored.where(F.col("hit") | (F.col("sim") > threshold)), (F.col("lex") + F.col("sim")) * 0.7 + F.col("importance") * 0.3, k, name)
+
+    def score(sim: Column) -> Column:
+        return F.when(X.matches_any(c, terms) | (sim > threshold), (X.rank_any(c, terms) + sim) * 0.7 + F.col("importance") * 0.3)
+
+    return leg(df, X.let(X.trigram_similarity(c, query), score), k, name)
 
 
 def cover_leg(df: DataFrame, terms: list[str], k: int, name: str = "lexical", content: str = "content") -> DataFrame:
     c = F.col(content)
-    return leg(df.where(X.matches_any(c, terms)), X.cover_density(c, terms), k, name)
+    density = X.let(X.cover_density(c, terms), lambda found: F.when(found > 0, found))
+    return leg(df, density, k, name)
 
 
 def vector_leg(df: DataFrame, cosine: Column, k: int, name: str = "vector") -> DataFrame:

@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table for expressions that cost much more than reading: one of at most a single split, which may be one row
+    group and so one task, is dealt to all cores; larger ones are read as they are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    stored = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    df = table(spark, sf_dir, name)
+    return df.repartition(spark.sparkContext.defaultParallelism) if stored <= most else df
+
+
 def now():
     return F.lit(NOW).cast("timestamp")
 
@@ -26,8 +36,9 @@ def pick(options: list[str], index):
     return F.element_at(F.array(*(F.lit(o) for o in options)), (index + 1).cast("int"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def observations(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """``heavy``: the contents go through costly expressions, see :func:`dealt`."""
+    d = (dealt if heavy else table)(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic", "quality")
     i = F.col("doc_id")
     created = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(doc_id % 30 as int), cast(doc_id % 24 as int))")

@@ -119,7 +119,8 @@ TERMS = ["thereaing", "theonand", "of", "the", "ouble"]
 
 @query("s2_2_8_trigram_threshold", f"{OBS} SELECT id, similarity FROM (SELECT id, round({sim(gram('content'), arr(X.trigrams_of(QUERY)))}, 6) AS similarity FROM observations) WHERE similarity > 0.03")
 def trigram_threshold(spark, d):
-    return M.observations(spark, d).select("id", rd(X.trigram_similarity(F.col("content"), QUERY)).alias("similarity")).where("similarity > 0.03")
+    similarity = rd(X.trigram_similarity(F.col("content"), QUERY))
+    return M.observations(spark, d, heavy=True).select("id", X.explode_if(similarity, lambda s: s > 0.03).alias("similarity"))
 
 
 EMB = M.cte("embedded")

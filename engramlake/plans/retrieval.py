@@ -23,8 +23,8 @@ HIT = f"list_has_any({tok('content')}, {arr(TERMS)})"
 LIVE = "kind <> 'superseded' AND trust = 'trusted'"
 
 
-def live(spark, d):
-    return R.trusted(R.active(M.observations(spark, d)))
+def live(spark, d, heavy=False):
+    return R.trusted(R.active(M.observations(spark, d, heavy)))
 
 
 def leg_sql(name: str, rel: str, score: str, where: str = "true", k: int = K) -> str:
@@ -42,7 +42,7 @@ def text_leg(spark, d):
 
 
 def text(spark, d):
-    return Q.text_leg(live(spark, d), QUERY, TERMS, K)
+    return Q.text_leg(live(spark, d, heavy=True), QUERY, TERMS, K)
 
 
 def vector(spark, d):
@@ -51,7 +51,7 @@ def vector(spark, d):
 
 
 def lexical(spark, d):
-    return Q.cover_leg(live(spark, d), TERMS, K)
+    return Q.cover_leg(live(spark, d, heavy=True), TERMS, K)
 
 
 @query("s2_9_2_vector_leg", f"{EMB}, {VEC} SELECT id, rank, score FROM vector_leg")
@@ -219,7 +219,7 @@ CLAIM = f"""{EMB}, ev AS (SELECT id, max(s) AS s FROM (SELECT id, round({SIM}, 6
 
 @query("s2_9_20_claim_verification", f"{CLAIM} SELECT round(k, 6) AS confidence, CASE WHEN sup + con <= 2.220446049250313e-16 THEN 'unknown' WHEN con > sup THEN 'contradicted' ELSE {LEVEL.format(c='k')} END AS level FROM x")
 def verification(spark, d):
-    o = live(spark, d)
+    o = live(spark, d, heavy=True)
     near = o.select("id", rd(X.trigram_similarity(F.col("content"), QUERY)).alias("s"))
     vec = with_cosine(spark, d, R.trusted(R.active(M.embedded(spark, d)))).select("id", rd(F.col("cosine")).alias("s"))
     ev = near.union(vec).groupBy("id").agg(F.max("s").alias("s")).where("s >= 0.15")

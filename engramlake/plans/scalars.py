@@ -35,7 +35,7 @@ def query_entropy(spark, d):
 
 @query("s2_8_2_information_density", f"WITH {WORDS} SELECT doc_id, round(CASE WHEN total <= 1 OR vocabulary <= 1 THEN 0.0 ELSE least(1.0, entropy / log2(vocabulary)) END, 6) AS density FROM e")
 def density(spark, d):
-    e = word_counts(M.table(spark, d, "documents"), "doc_id", "text")
+    e = word_counts(M.dealt(spark, d, "documents"), "doc_id", "text")
     return e.select("doc_id", rd(X.density_from_counts(F.col("entropy"), F.col("total"), F.col("vocabulary"))).alias("density"))
 
 
@@ -116,7 +116,7 @@ TAGW = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_-]+'), lam
 @query("s2_8_12_tags", f"""WITH w AS (SELECT doc_id, unnest({TAGW}) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w NOT IN {tuple(X.STOPWORDS)} GROUP BY ALL)
  SELECT doc_id, w AS tag, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS rank FROM c QUALIFY rank <= 5""")
 def tags(spark, d):
-    return top_tags(M.table(spark, d, "documents"), "doc_id", "text")
+    return top_tags(M.dealt(spark, d, "documents"), "doc_id", "text")
 
 
 def top_tags(df, key: str, text: str, most: int = 5):

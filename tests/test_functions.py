@@ -153,3 +153,13 @@ def test_registered_functions(spark):
     registered.register(spark)
     r = spark.sql("SELECT round(wilson_lower(1, 1), 2) AS w, gate(0.8) AS g, was_valid_at(timestamp'2024-01-01', NULL, timestamp'2024-02-01') AS v, normalize_mention('A-b  C') AS m").first()
     assert (r.w, r.g, r.v, r.m) == (0.21, "update", True, "a b c")
+
+
+def test_trigrams_of_any_text(spark):
+    """The expression over whole lines gives the grams that taking words apart by position gives."""
+    texts = ["", "  ", None, "a", "Ab ab", "...x--yz Ünï straße", "𝒳𝒴 ab 𠀀𠀁", "x\ny\tz", "a b\u0085c", "ı İ", "éa", "٣٤٥", "!!!", "naïve\r\nthe  the"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = d.select("t", F.array_sort(X.trigrams(F.col("t"))).alias("a"), F.array_sort(X._trigrams_by_position(F.col("t"))).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    assert {r.t: r.a for r in rows}["Ab ab"] == ["  a", " ab", "ab "]
+    assert [r.a for r in rows if r.t is None] == [None]
