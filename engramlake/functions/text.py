@@ -217,6 +217,18 @@ def cut(c: Column, characters: int) -> Column:
     return F.substring(c, 1, characters)
 
 
+def cut_bytes(c: Column, most: int) -> Column:
+    """The longest beginning of whole characters in at most ``most`` bytes of UTF-8."""
+    b = F.encode(c, "UTF-8")
+
+    def inside(at: int) -> Column:
+        """Byte ``at`` (from 0) goes on with a character."""
+        return F.hex(F.substring(b, at + 1, 1)).between("80", "BF")
+
+    end = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.substring(b, F.lit(1), end), "UTF-8"))
+
+
 def clean_offsets(c: Column, needle: str) -> Column:
     return F.size(F.split(c, re.escape(needle))) - 1
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +17,13 @@ from pyspark.sql import functions as F
 from engramlake.functions import scores as S
 from engramlake.lineage import cut, discard
 
+#: Edges of the largest graph whose ranks are iterated in one task; some 40 bytes each there.
+ONE_TASK_EDGES = 1_000_000
 #: Edges of the largest graph whose adjacency is broadcast.
 MAX_BROADCAST_EDGES = 2_000_000
 CUT_EVERY = 5
+#: Levels of a breadth-first search that are read as tables of their own.
+LEVELS = 20
 
 
 def undirected(edges: DataFrame, weight: str = "strength") -> DataFrame:
@@ -95,7 +100,8 @@ def transitions(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def page_rank(edges: DataFrame, seeds: list | None = None, damping: float = 0.85, iterations: int = 20) -> DataFrame:
     """(node, rank) after fixed iterations.  Without seeds teleport and dangling mass go to all nodes, with seeds to
-    the seeds.  Scores start uniform."""
+    the seeds.  Scores start uniform.  A stored graph of up to ``ONE_TASK_EDGES`` edges needs no exchange and is iterated
+    in one task, by the same sums."""
     p, nodes = transitions(edges)
     p, nodes = cut(p, "transition"), cut(nodes, "nodes")
     n = nodes.count()
@@ -103,6 +109,8 @@ def page_rank(edges: DataFrame, seeds: list | None = None, damping: float = 0.85
         return nodes.select("node", F.lit(0.0).alias("rank"))
     share = F.lit(1.0 / n) if not seeds else F.when(F.col("node").isin(seeds), 1.0 / len(seeds)).otherwise(0.0)
     ranks = nodes.select("node", "dangling", share.alias("share"), F.lit(1.0 / n).alias("rank"))
+    if n <= ONE_TASK_EDGES and p.count() <= ONE_TASK_EDGES:
+        return _rank_in_one_task(ranks, p, damping, iterations)
     stored = None
     for k in range(1, iterations + 1):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
@@ -118,6 +126,26 @@ def page_rank(edges: DataFrame, seeds: list | None = None, damping: float = 0.85
     return ranks.select("node", "rank")
 
 
+def _rank_in_one_task(ranks: DataFrame, p: DataFrame, damping: float, iterations: int) -> DataFrame:
+    kind = ranks.schema["node"].dataType
+    nodes = ranks.select("node", F.lit(None).cast(kind).alias("dst"), F.col("share").alias("p"), "rank", "dangling")
+    both = nodes.union(p.select("src", "dst", "p", F.lit(0.0), F.lit(False)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t = pd.concat(parts)
+        own = t["dst"].isna().to_numpy()
+        n, e = t[own], t[~own]
+        place = pd.Index(n["node"])
+        src, dst, p = place.get_indexer(e["node"]), place.get_indexer(e["dst"]), e["p"].to_numpy()
+        share, rank, dangling = n["p"].to_numpy(), n["rank"].to_numpy(), n["dangling"].to_numpy(dtype=bool)
+        for _ in range(iterations):
+            got = np.bincount(dst, rank[src] * p, len(rank)) if len(e) else 0.0
+            rank = (1 - damping) * share + damping * (got + rank[dangling].sum() * share)
+        yield pd.DataFrame({"node": n["node"].to_numpy(), "rank": rank})
+
+    return both.coalesce(1).mapInPandas(run, f"node {kind.simpleString()}, rank double")
+
+
 def normalised(ranks: DataFrame) -> DataFrame:
     """Scores scaled to 0..1; none where they are all alike."""
     ends = ranks.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
@@ -125,18 +153,17 @@ def normalised(ranks: DataFrame) -> DataFrame:
     return wide.select("node", ((F.col("rank") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("rank"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 50) -> DataFrame:
-    """(source, node, d): breadth-first distances, first seen wins, level by level until nothing is new."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, d): breadth-first distances, first seen wins, level by level until nothing is new, or to ``most``."""
     e = cut(edges.select("src", "dst").distinct(), "edges")
     frontier = sources.select(F.col("node").alias("source"), "node")
     seen = cut(frontier.withColumn("d", F.lit(0)), "bfs")
-    for k in range(1, most + 1):
-        last = seen.where(F.col("d") == k - 1)
+    last, k = seen, 0
+    while k != most and last.limit(1).count():
+        k += 1
         step = last.join(e, last.node == e.src).select("source", F.col("dst").alias("node")).distinct()
-        new = cut(step.join(seen, ["source", "node"], "left_anti").withColumn("d", F.lit(k)), "bfs")
-        if not new.limit(1).count():
-            break
-        seen = seen.union(new)
+        last = cut(step.join(seen, ["source", "node"], "left_anti").withColumn("d", F.lit(k)), "bfs")
+        seen = seen.union(last) if k % LEVELS else cut(seen.union(last), "bfs")
     return seen
 
 
@@ -150,10 +177,17 @@ def closeness(edges: DataFrame) -> DataFrame:
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:
-    """(node, core): for k = 1, 2, ... nodes with fewer than k neighbours leave until none does."""
+    """(node, core): nodes with fewer than k neighbours leave until none does; what stays has a core number of its least
+    degree at least, so that k goes on from there."""
     e = cut(undirected(edges).select("src", "dst"), "core")
-    out, k = None, 1
-    while e.limit(1).count():
+    out = None
+    while True:
+        least = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+        if least is None:
+            break
+        inside = e.select(F.col("src").alias("node"), F.lit(least).cast("int").alias("core")).distinct()
+        out = inside if out is None else out.union(inside)
+        k = least + 1
         while True:
             stay = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("src").alias("node"))
             rest = cut(e.join(stay, e.src == stay.node, "left_semi").join(stay, e.dst == stay.node, "left_semi"), "core")
@@ -161,9 +195,6 @@ def core_numbers(edges: DataFrame) -> DataFrame:
                 discard(rest)
                 break
             e = rest
-        inside = e.select(F.col("src").alias("node"), F.lit(k).alias("core")).distinct()
-        out = inside if out is None else out.union(inside)
-        k += 1
     if out is None:
         return e.select(F.col("src").alias("node"), F.lit(0).alias("core"))
     return out.groupBy("node").agg(F.max("core").alias("core"))

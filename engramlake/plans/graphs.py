@@ -97,9 +97,18 @@ def blend(spark, d):
     return e.select("id", rd(0.3 * F.col("rank") + 0.7 * F.col("importance")).alias("importance"), rd(F.least(F.lit(1.0), 0.75 * F.col("rank"))).alias("energy"))
 
 
+def places(spark, d):
+    """Suppliers to their nations, nations to their regions, and the trade between nations."""
+    s, n = M.table(spark, d, "supplier"), M.table(spark, d, "nation")
+    key = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    within = s.select(key("s:", "s_suppkey").alias("src"), key("n:", "s_nationkey").alias("dst"))
+    within = within.union(n.select(key("n:", "n_nationkey"), key("r:", "n_regionkey")))
+    return within.union(M.trade(spark, d).select("src", "dst"))
+
+
 @query("s2_10_9_betweenness")
 def betweenness(spark, d):
-    return R.top(G.betweenness(M.trade(spark, d)).where("score > 0"), [F.desc("score"), F.asc("node")], 10).select("node", rd(F.col("score")).alias("score"))
+    return R.top(G.betweenness(places(spark, d)).where("score > 0"), [F.desc("score"), F.asc("node")], 10).select("node", rd(F.col("score")).alias("score"))
 
 
 def bfs_sql(depth: int = 25) -> str:
@@ -128,12 +137,17 @@ def components(spark, d):
     return G.connected(M.trade(spark, d).where("strength > 0.68"))
 
 
-@query("s2_10_14_autolink", """WITH s AS (SELECT DISTINCT CAST(ts AS DATE) AS session, user_id AS entity FROM events WHERE user_id < 40), c AS (SELECT entity, count(*) AS c FROM s GROUP BY 1), t AS (SELECT count(DISTINCT session) AS t FROM s),
+@query("s2_10_14_autolink", """WITH s AS (SELECT DISTINCT l_orderkey AS session, l_partkey AS entity FROM lineitem), c AS (SELECT entity, count(*) AS c FROM s GROUP BY 1), t AS (SELECT count(DISTINCT session) AS t FROM s),
+ known AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey = y.l_suppkey AND x.l_partkey < y.l_partkey),
  p AS (SELECT x.entity AS a, y.entity AS b, count(*) AS n FROM s x JOIN s y ON x.session = y.session AND x.entity < y.entity GROUP BY ALL HAVING count(*) >= 2),
- z AS (SELECT a, b, n, CASE WHEN n < t THEN ln((n / t) / ((ca.c / t) * (cb.c / t))) / -ln(n / t) END AS v FROM p JOIN c ca ON ca.entity = a JOIN c cb ON cb.entity = b, t) SELECT a, b, n, round(v, 6) AS npmi FROM z WHERE v >= 0.02""")
+ z AS (SELECT a, b, n, CASE WHEN n < t THEN ln((n / t) / ((ca.c / t) * (cb.c / t))) / -ln(n / t) END AS v FROM (SELECT * FROM p ANTI JOIN known USING (a, b)) p JOIN c ca ON ca.entity = a JOIN c cb ON cb.entity = b, t) SELECT a, b, n, round(v, 6) AS npmi FROM z WHERE v >= 0.3""")
 def autolink(spark, d):
-    s = M.table(spark, d, "events").where("user_id < 40").select(F.to_date("ts").alias("session"), F.col("user_id").alias("entity")).distinct()
-    return G.autolink(s, least=0.02).select("a", "b", "n", rd(F.col("npmi")).alias("npmi"))
+    """Parts that orders mention together; parts that one supplier sold in one order are linked already."""
+    l = M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session"), F.col("l_partkey").alias("entity"), F.col("l_suppkey").alias("supplier"))
+    x, y = l.alias("x"), l.alias("y")
+    one = (F.col("x.session") == F.col("y.session")) & (F.col("x.supplier") == F.col("y.supplier")) & (F.col("x.entity") < F.col("y.entity"))
+    known = x.join(y, one).select(F.col("x.entity").alias("src"), F.col("y.entity").alias("dst"))
+    return G.autolink(l.select("session", "entity").distinct(), known).select("a", "b", "n", rd(F.col("npmi")).alias("npmi"))
 
 
 @query("s2_10_15_path_pruning")

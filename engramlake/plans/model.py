@@ -87,7 +87,7 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     a, b = F.col("s_nationkey"), F.col("c_nationkey")
     sold = l.join(o, l.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, F.col("l_suppkey") == s.s_suppkey)
-    sold = sold.where((a != b) & ((a + 2 * b) % 4 == 0)).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    sold = sold.where(a != b).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
     return sold.select(
         F.concat(F.lit("n:"), a.cast("string")).alias("src"), F.concat(F.lit("n:"), b.cast("string")).alias("dst"), pick(RELATIONS, (a + b) % 5).alias("rtype"),
         F.round(F.col("n") / (F.col("n") + 50), 6).alias("strength"), ((a + b) % 7 == 0).alias("bidirectional"))
@@ -156,7 +156,7 @@ SQL = {
  SELECT 'n:' || a AS src, 'n:' || b AS dst, ({_list(RELATIONS)})[(a + b) % 5 + 1] AS rtype, round(n / (n + 50), 6) AS strength, (a + b) % 7 = 0 AS bidirectional
  FROM (SELECT s_nationkey AS a, c_nationkey AS b, count(*)::DOUBLE AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
        JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-       WHERE s_nationkey <> c_nationkey AND (s_nationkey + 2 * c_nationkey) % 4 = 0 GROUP BY ALL)""",
+       WHERE s_nationkey <> c_nationkey GROUP BY ALL)""",
     "supplies": """
  SELECT l_suppkey AS src, l_partkey AS dst, least(1.0::DOUBLE, count(*) / 10.0::DOUBLE) AS strength, count(*) AS n FROM lineitem GROUP BY ALL""",
     "facts": """

@@ -172,9 +172,9 @@ def other_endpoint(spark, d):
     return M.trade(spark, d).where("src = 'n:1' OR dst = 'n:1'").select("src", "dst", F.when(F.col("src") == "n:1", F.col("dst")).otherwise(F.col("src")).alias("other"))
 
 
-@query("s2_2_16_compact_projection", f"{OBS} SELECT id AS i, entity AS e, left(content, 1200) AS c FROM observations")
+@query("s2_2_16_compact_projection", f"{OBS} SELECT id AS i, entity AS e, left(content, len(list_filter(range(1, 1201), lambda i: octet_length(encode(left(content, i))) <= 1200))) AS c FROM observations")
 def compact(spark, d):
-    return M.observations(spark, d).select(F.col("id").alias("i"), F.col("entity").alias("e"), X.cut(F.col("content"), 1200).alias("c"))
+    return M.observations(spark, d).select(F.col("id").alias("i"), F.col("entity").alias("e"), X.cut_bytes(F.col("content"), 1200).alias("c"))
 
 
 NEG = " OR ".join("(contains(lower(a.content), '{0}') <> contains(lower(b.content), '{0}'))".format(m.replace("'", "''")) for m in X.NEGATION_MARKERS)
@@ -246,11 +246,11 @@ def left_join(spark, d):
     return M.observations(spark, d).join(M.verify_log(spark, d).select("id", "level"), "id", "left").select("id", "entity", "level")
 
 
-@query("s2_3_3_self_join_similar", f"""{OBS}, g AS (SELECT id, entity, session, {gram('left(content, 200)')} AS t FROM observations WHERE kind <> 'superseded')
+@query("s2_3_3_self_join_similar", f"""{OBS}, g AS (SELECT id, entity, session, {gram('content')} AS t FROM observations WHERE kind <> 'superseded')
  SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.entity = b.entity AND a.id < b.id AND {sim('a.t', 'b.t')} > 0.8""")
 def self_join(spark, d):
-    o = R.active(M.observations(spark, d)).select("id", "entity", X.cut(F.col("content"), 200).alias("head"))
-    return R.similar_names(o, "id", "head", 0.8, within="entity").select("a", "b")
+    o = R.active(M.observations(spark, d, heavy=True)).select("id", "entity", "content")
+    return R.similar_names(o, "id", "content", 0.8, within="entity").select("a", "b")
 
 
 @query("s2_3_4_similarity_join", f"""WITH g AS (SELECT p_partkey AS id, {gram('p_name')} AS t FROM part WHERE p_partkey IS NOT NULL)
@@ -414,11 +414,11 @@ def global_sort(spark, d):
     return ranked_legs(spark, d).select("id", F.row_number().over(Window.orderBy(F.desc("score"), "leg", "id")).cast("long").alias("rank"))
 
 
-@query("s2_7_5_first_wins", f"""{OBS}, u AS (SELECT 0 AS p, id, lower(entity) || left(content, 40) AS k, importance FROM observations WHERE session = 3
- UNION ALL SELECT 1, id, lower(entity) || left(content, 40), importance FROM observations WHERE kind = 'decision' UNION ALL SELECT 2, id, lower(entity) || left(content, 40), importance FROM observations WHERE importance > 0.9),
+@query("s2_7_5_first_wins", f"""{OBS}, u AS (SELECT 0 AS p, id, lower(entity) || left(content, 240) AS k, importance FROM observations WHERE session = 3
+ UNION ALL SELECT 1, id, lower(entity) || left(content, 240), importance FROM observations WHERE kind = 'decision' UNION ALL SELECT 2, id, lower(entity) || left(content, 240), importance FROM observations WHERE importance > 0.9),
  f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY p, importance DESC, id) = 1) SELECT id, p FROM f ORDER BY p, importance DESC, id LIMIT 15""")
 def first_wins(spark, d):
-    o = M.observations(spark, d).select("id", "importance", "kind", "session", F.concat(F.lower("entity"), X.cut(F.col("content"), 40)).alias("k"))
+    o = M.observations(spark, d).select("id", "importance", "kind", "session", F.concat(F.lower("entity"), X.cut(F.col("content"), 240)).alias("k"))
     u = o.where("session = 3").withColumn("p", F.lit(0)).union(o.where("kind = 'decision'").withColumn("p", F.lit(1))).union(o.where("importance > 0.9").withColumn("p", F.lit(2)))
     first = R.newest_per(u, ["k"], [F.asc("p"), F.desc("importance"), F.asc("id")], 1)
     return R.top(first, [F.asc("p"), F.desc("importance"), F.asc("id")], 15).select("id", "p")

@@ -53,7 +53,7 @@ def prune(spark, d):
     return W.prune(state(spark, d), 0.3).select("id")
 
 
-PAIRS = f"g AS (SELECT id, entity, {gram('left(content, 200)')} AS t FROM observations WHERE kind <> 'superseded'), p AS (SELECT a.id AS keep, b.id AS lose FROM g a JOIN g b ON a.entity = b.entity AND a.id < b.id AND {sim('a.t', 'b.t')} > 0.8 ORDER BY 1, 2 LIMIT 100)"
+PAIRS = f"g AS (SELECT id, entity, {gram('content')} AS t FROM observations WHERE kind <> 'superseded'), p AS (SELECT a.id AS keep, b.id AS lose FROM g a JOIN g b ON a.entity = b.entity AND a.id < b.id AND {sim('a.t', 'b.t')} > 0.8 ORDER BY 1, 2 LIMIT 100)"
 
 
 @query("s2_11_5_merge_duplicates", f"{OBS}, {PAIRS} SELECT id, CASE WHEN id IN (SELECT lose FROM p) THEN 'superseded' ELSE kind END AS kind, round(CASE WHEN id IN (SELECT lose FROM p) THEN importance ELSE least(1.0, importance + 0.05 * (SELECT count(*) FROM p WHERE keep = id)) END, 6) AS importance FROM observations")
@@ -81,9 +81,9 @@ def access_boost(spark, d):
     return W.access_boost(M.entities(spark, d), F.lit(3600.0), F.lit(10.0)).select("id", F.round("boosted", 8).alias("boosted"), rd(F.col("theta")).alias("theta"), "accesses")
 
 
-@query("s2_11_9_neighbour_boost", f"{M.cte('entities', 'trade')}, n AS (SELECT CASE WHEN src = 'n:1' THEN dst ELSE src END AS id, max(strength) AS s FROM trade WHERE src = 'n:1' OR dst = 'n:1' GROUP BY 1) SELECT e.id, round(least(1.0, importance + 0.005 * coalesce(s, 0)), 8) AS importance FROM entities e LEFT JOIN n ON e.id = n.id")
+@query("s2_11_9_neighbour_boost", f"{M.cte('entities', 'trade')}, n AS (SELECT CASE WHEN src = 'n:1' THEN dst ELSE src END AS id, max(strength) AS s FROM trade WHERE src = 'n:1' OR dst = 'n:1' GROUP BY 1) SELECT e.id, round(least(1.0, importance + 0.005 * coalesce(s, 0)), 10) AS importance FROM entities e LEFT JOIN n ON e.id = n.id")
 def neighbour_boost(spark, d):
-    return W.neighbour_boost(M.entities(spark, d), M.trade(spark, d), "n:1").select("id", F.round("importance", 8).alias("importance"))
+    return W.neighbour_boost(M.entities(spark, d), M.trade(spark, d), "n:1").select("id", F.round("importance", 10).alias("importance"))
 
 
 STEP = "(0.05::DOUBLE / sqrt(1 + access_count / 100.0::DOUBLE))"
