@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,77 @@ def diversify(ranked: DataFrame, group: str, k: int, weight: float = 0.7, conten
     return ranked.groupBy(group).applyInPandas(choose, f"{group} {g}, id {i}, place int")
 
 
+#: Rows of one side that one task compares.
+BLOCK_ROWS = 1024
+
+
+def cosine_band(rows: DataFrame, group: str, low: float, high: float, others: DataFrame | None = None, best: int | None = None,
+                each: bool = False, block: int = BLOCK_ROWS) -> DataFrame:
+    """(group, a, b, cosine): pairs of one group whose cosine, to six digits, lies in the closed band: rows a < b of ``rows``,
+    or a of ``rows`` and b of ``others``.  With ``best``, the first of each group, or of ``each`` a, by cosine, then a and b.
+
+    Both have id, the group and v.  A group is dealt to blocks of about ``block`` rows, and blocks meet two by two as
+    matrices, so no group is held whole and pairs outside the band, or beyond the best of two blocks, leave no task.
+    Vectors that are null or hold a null, null groups, and pairs of different length take no part; ``low`` must be
+    positive, as a vector of norm 0 has cosine 0."""
+    if low <= 0:
+        raise ValueError("low must be positive")
+
+    def held(df: DataFrame) -> DataFrame:
+        v = F.col("v").cast("array<double>")
+        own = df.select(F.col(group).alias("grp"), F.size("v").alias("width"), "id", v.alias("v"))
+        return own.where(F.col("grp").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+
+    def counted(df: DataFrame, into: str) -> DataFrame:
+        return df.groupBy("grp", "width").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(into))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        return df.withColumn("own", F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    left, keys = held(rows), ["grp", "width"]
+    if others is None:
+        own = dealt(left.join(counted(left, "n"), keys), "n", "n")
+        met = own.select(*keys, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "v")
+    else:
+        right = held(others)
+        sizes = counted(left, "n").join(counted(right, "m"), keys)
+        first = dealt(left.join(sizes, keys), "n", "m").select(*keys, F.col("own").alias("x"), F.col("other").alias("y"), F.lit(0).alias("side"), "id", "v")
+        second = dealt(right.join(sizes, keys), "m", "n").select(*keys, F.col("other").alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"), "id", "v")
+        met = first.union(second)
+    alone = others is None
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("id")
+        ids, side, width = t.column("id").to_numpy(), t.column("side").to_numpy(), t.column("width")[0].as_py()
+        v = np.array(t.column("v").combine_chunks().flatten()).reshape(len(ids), width)
+        same = alone and t.column("x")[0].as_py() == t.column("y")[0].as_py()
+        i, j = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        with np.errstate(all="ignore"):
+            norm = np.sqrt((v * v).sum(1))
+            c = (v[i] @ v[j].T) / (norm[i][:, None] * norm[j][None, :])
+            c = np.floor(c * 1e6 + 0.5) / 1e6
+            in_band = (c >= low) & (c <= high)
+        if same:
+            in_band &= i[:, None] < j[None, :]
+        p, q = np.nonzero(in_band)
+        a, b, c = ids[i[p]], ids[j[q]], c[p, q]
+        if alone:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        if best is not None:
+            order = np.lexsort((b, -c, a) if each else (b, a, -c))
+            a, b, c = a[order], b[order], c[order]
+            place = np.arange(len(a)) - (np.searchsorted(a, a) if each else 0)
+            a, b, c = a[place < best], b[place < best], c[place < best]
+        return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(a), t.schema.field("grp").type), "a": a, "b": b, "cosine": c})
+
+    g, k = rows.schema[group].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    found = met.groupBy(*keys, "x", "y").applyInArrow(compare, f"grp {g}, a {k}, b {k}, cosine double")
+    if best is not None:
+        rank = F.row_number().over(Window.partitionBy("grp", *(["a"] if each else [])).orderBy(F.desc("cosine"), "a", "b"))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= best).drop("rank")
+    return found.withColumnRenamed("grp", group)
+
+
 def rerank(ranked: DataFrame, scorer=None, top: int = 50) -> DataFrame:
     """Reorders the first ``top`` rows by a scorer of (content) batches; without one the order stays, and a column says so."""
     if scorer is None:

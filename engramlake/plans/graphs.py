@@ -8,7 +8,7 @@ from engramlake.operators import graph as G
 from engramlake.operators import relational as R
 from engramlake.plans import model as M
 from engramlake.plans.registry import query
-from engramlake.plans.relational import rd
+from engramlake.plans.relational import gram, rd, sim
 
 TRADE = M.cte("trade")
 ENT = M.cte("entities", "trade")
@@ -150,7 +150,13 @@ def autolink(spark, d):
     return G.autolink(l.select("session", "entity").distinct(), known).select("a", "b", "n", rd(F.col("npmi")).alias("npmi"))
 
 
-@query("s2_10_15_path_pruning")
+@query("s2_10_15_path_pruning", f"""{TRADE}, p AS (SELECT dst AS node, 1 AS depth, strength AS s, [src, dst] AS path FROM trade
+  UNION ALL SELECT t.dst, p.depth + 1, p.s * t.strength, list_append(p.path, t.dst) FROM p JOIN trade t ON t.src = p.node WHERE p.depth < 3 AND NOT list_contains(p.path, t.dst)),
+ o AS (SELECT path[1] AS start, array_to_string(path, '>') AS id, len(path)::INT AS n_nodes, round(s / (1 + depth), 8) AS score FROM p),
+ r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY start ORDER BY score DESC, id) AS n FROM o),
+ w AS (SELECT start, id, n_nodes, score, n, n_nodes AS used, 1 AS kept FROM r WHERE n = 1
+  UNION ALL SELECT r.start, r.id, r.n_nodes, r.score, r.n, w.used + r.n_nodes, w.kept + 1 FROM w JOIN r ON r.start = w.start AND r.n > w.n AND w.used + r.n_nodes <= 20 WHERE w.kept < 5 QUALIFY row_number() OVER (PARTITION BY w.start ORDER BY r.n) = 1)
+ SELECT start, id, n_nodes, score FROM w""")
 def path_pruning(spark, d):
     p = G.paths(M.trade(spark, d), F.lit(True), 3)
     scored = p.select(F.element_at("path", 1).alias("start"), F.array_join("path", ">").alias("id"), F.size("path").alias("n_nodes"), rd(F.col("strength") / (1 + F.col("depth")), 8).alias("score"))
@@ -177,10 +183,11 @@ def bridges(spark, d):
     return R.top(g, [F.desc("degree"), F.asc("node")], 10)
 
 
-@query("s2_10_19_merge_groups")
+@query("s2_10_19_merge_groups", f"""WITH RECURSIVE g AS (SELECT s_suppkey AS id, {gram('s_name')} AS t FROM supplier), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id <> b.id AND {sim('a.t', 'b.t')} > 0.75),
+ w AS (SELECT a AS node, a AS c FROM e UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.node) SELECT node, min(c) AS component FROM w GROUP BY node""")
 def merge_groups(spark, d):
     names = M.table(spark, d, "supplier").select("s_suppkey", "s_name")
-    pairs = R.similar_names(names, "s_suppkey", "s_name", 0.75)
+    pairs = R.similar_links(names, "s_suppkey", "s_name", 0.75)
     return G.merge_groups(pairs)
 
 

@@ -246,17 +246,17 @@ def left_join(spark, d):
     return M.observations(spark, d).join(M.verify_log(spark, d).select("id", "level"), "id", "left").select("id", "entity", "level")
 
 
-@query("s2_3_3_self_join_similar", f"""{OBS}, g AS (SELECT id, entity, session, {gram('content')} AS t FROM observations WHERE kind <> 'superseded')
- SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.entity = b.entity AND a.id < b.id AND {sim('a.t', 'b.t')} > 0.8""")
+@query("s2_3_3_self_join_similar", f"""{OBS}, g AS (SELECT id, entity, {gram('content')} AS t FROM observations WHERE kind <> 'superseded'), c AS (SELECT *, min(id) OVER (PARTITION BY entity, list_sort(t)) AS c FROM g WHERE len(t) > 0)
+ SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.entity = b.entity AND a.id < b.id AND a.id = a.c AND b.id = b.c AND {sim('a.t', 'b.t')} > 0.8 UNION ALL SELECT c, id FROM c WHERE id <> c""")
 def self_join(spark, d):
     o = R.active(M.observations(spark, d, heavy=True)).select("id", "entity", "content")
-    return R.similar_names(o, "id", "content", 0.8, within="entity").select("a", "b")
+    return R.similar_links(o, "id", "content", 0.8, within="entity").select("a", "b")
 
 
-@query("s2_3_4_similarity_join", f"""WITH g AS (SELECT p_partkey AS id, {gram('p_name')} AS t FROM part WHERE p_partkey IS NOT NULL)
- SELECT a.id AS a, b.id AS b, round({sim('a.t', 'b.t')}, 6) AS similarity FROM g a JOIN g b ON a.id < b.id AND {sim('a.t', 'b.t')} > 0.9""")
+@query("s2_3_4_similarity_join", f"""WITH g AS (SELECT p_partkey AS id, {gram('p_name')} AS t FROM part WHERE p_partkey IS NOT NULL), c AS (SELECT *, min(id) OVER (PARTITION BY list_sort(t)) AS c FROM g WHERE len(t) > 0)
+ SELECT a.id AS a, b.id AS b, round({sim('a.t', 'b.t')}, 6) AS similarity FROM c a JOIN c b ON a.id < b.id AND a.id = a.c AND b.id = b.c AND {sim('a.t', 'b.t')} > 0.9 UNION ALL SELECT c, id, 1.0 FROM c WHERE id <> c""")
 def similarity_join(spark, d):
-    return R.similar_names(M.table(spark, d, "part"), "p_partkey", "p_name", 0.9).select("a", "b", rd(F.col("similarity")).alias("similarity"))
+    return R.similar_links(M.table(spark, d, "part"), "p_partkey", "p_name", 0.9).select("a", "b", rd(F.col("similarity")).alias("similarity"))
 
 
 ERR_SIM = sim(gram("message"), arr(X.trigrams_of('error {"k": 7} user 20')))
@@ -368,6 +368,12 @@ def listings(spark, d):
     return R.top(M.observations(spark, d).where("kind = 'decision'"), [F.desc("created_at"), F.asc("id")], 20).select("id", "created_at")
 
 
+@query("s2_6_6_keyset_page", f"{M.cte('entities')} SELECT id, name FROM entities WHERE name > 'KENYA' ORDER BY name, id LIMIT 250")
+def keyset_page(spark, d):
+    """The page of 250 names after a given one."""
+    return R.keyset_page(M.entities(spark, d).select("id", "name"), "name", "KENYA", 250, tie="id")
+
+
 @query("s2_6_7_offset", f"{M.cte('entities')} SELECT id FROM entities ORDER BY importance DESC, id LIMIT 10 OFFSET 20")
 def offset(spark, d):
     return M.entities(spark, d).orderBy(F.desc("importance"), "id").offset(20).limit(10).select("id")

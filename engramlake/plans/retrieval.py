@@ -137,7 +137,13 @@ def listed(spark, d):
     return R.newest_per(o, ["entity"], [F.desc("score"), F.asc("id")], 10)
 
 
-@query("s2_9_9_greedy_dedup")
+LISTED = f"""{OBS}, l AS MATERIALIZED (SELECT *, list_distinct({tok('content')}) AS t, row_number() OVER (PARTITION BY entity ORDER BY importance DESC, id) AS rank FROM observations WHERE {LIVE} QUALIFY rank <= 10)"""
+
+
+@query("s2_9_9_greedy_dedup", f"""{LISTED}, w AS (SELECT entity, id, rank, t, []::VARCHAR[][] AS kept, false AS dup FROM l WHERE rank = 1
+ UNION ALL SELECT entity, id, rank, t, kept, len(list_filter(kept, lambda k: len(list_intersect(k, t)) / greatest(least(len(k), len(t)), 1)::DOUBLE > 0.85::DOUBLE)) > 0
+  FROM (SELECT l.entity, l.id, l.rank, l.t, CASE WHEN w.dup THEN w.kept ELSE list_append(w.kept, w.t) END AS kept FROM w JOIN l ON l.entity = w.entity AND l.rank = w.rank + 1))
+ SELECT entity, id, rank::INT AS rank FROM w WHERE NOT dup""")
 def greedy_dedup(spark, d):
     return Q.greedy_dedup(listed(spark, d), "entity").select("entity", "id", "rank")
 
@@ -160,7 +166,13 @@ def boost(spark, d):
     return Q.session_boost(r, goals).select("id", F.round("boosted", 8).alias("boosted"))
 
 
-@query("s2_9_12_mmr")
+@query("s2_9_12_mmr", f"""{LISTED}, f AS (SELECT entity, id, rank, importance, list_filter(t, lambda x: octet_length(encode(x)) > 2) AS t FROM l),
+ j AS MATERIALIZED (SELECT a.entity, a.id, a.rank, any_value(a.importance) AS score, list(CASE WHEN len(a.t) + len(b.t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE END ORDER BY b.rank) AS near FROM f a JOIN f b ON a.entity = b.entity GROUP BY a.entity, a.id, a.rank),
+ w AS (SELECT entity, NULL::BIGINT AS id, 0 AS place, list(rank ORDER BY rank) AS rest, []::BIGINT[] AS picked FROM f GROUP BY entity
+  UNION ALL SELECT entity, id, place + 1, CASE WHEN i = len(rest) THEN rest[:-2] ELSE list_transform(rest[:-2], lambda r: CASE WHEN r = rank THEN rest[-1] ELSE r END) END, list_append(picked, rank)
+  FROM (SELECT w.entity, j.id, w.place, w.rest, w.picked, j.rank, list_position(w.rest, j.rank) AS i, 0.7::DOUBLE * j.score - (1 - 0.7::DOUBLE) * coalesce(list_max(list_transform(w.picked, lambda p: j.near[p])), 0.0::DOUBLE) AS gain
+   FROM w JOIN j ON j.entity = w.entity AND list_contains(w.rest, j.rank) WHERE w.place < 5 QUALIFY row_number() OVER (PARTITION BY w.entity ORDER BY gain DESC, i) = 1))
+ SELECT entity, id, place FROM w WHERE place > 0""")
 def mmr(spark, d):
     return Q.diversify(listed(spark, d), "entity", 5)
 
@@ -271,12 +283,13 @@ def procedure_search(spark, d):
 @query("s2_9_25_contradiction_scan", f"""{EMB}, p AS (SELECT a.entity, a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS c, ({NEG}) AS neg FROM embedded a JOIN embedded b ON a.entity = b.entity AND a.id < b.id WHERE a.kind NOT IN ('superseded', 'tool_usage') AND b.kind NOT IN ('superseded', 'tool_usage'))
  SELECT entity, a, b, round(least(1.0, greatest(0.0, c * CASE WHEN neg THEN 1.5 ELSE 0.7 END)), 6) AS score FROM p WHERE c BETWEEN 0.3 AND 0.85 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY c DESC, a, b) <= 5""")
 def contradiction_scan(spark, d):
-    e = M.embedded(spark, d).where(~F.col("kind").isin("superseded", "tool_usage")).select("id", "entity", "content", "v")
-    a, b = e.alias("a"), e.alias("b")
-    j = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.id") < F.col("b.id")))
-    p = j.select(F.col("a.entity").alias("entity"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), rd(V.cosine(F.col("a.v"), F.col("b.v"))).alias("c"), X.negation_differs(F.col("a.content"), F.col("b.content")).alias("neg"))
-    best = R.newest_per(p.where("c BETWEEN 0.3 AND 0.85"), ["entity"], [F.desc("c"), F.asc("a"), F.asc("b")], 5)
-    return best.select("entity", "a", "b", rd(S.contradiction(F.col("c"), F.col("neg"))).alias("score"))
+    e = M.embedded(spark, d).where(~F.col("kind").isin("superseded", "tool_usage"))
+    best = Q.cosine_band(e.select("id", "entity", "v"), "entity", 0.3, 0.85, best=5)
+    said = M.observations(spark, d).select("id", "content")
+    for k in ("a", "b"):
+        best = best.join(said.select(F.col("id").alias(k), F.col("content").alias(f"said_{k}")), k)
+    neg = X.negation_differs(F.col("said_a"), F.col("said_b"))
+    return best.select("entity", "a", "b", rd(S.contradiction(F.col("cosine"), neg)).alias("score"))
 
 
 @query("s2_9_26_layered_context", f"""{OBS}, l AS (SELECT 0 AS layer, id, content, created_at FROM observations WHERE session = 7 UNION ALL SELECT 1, id, content, created_at FROM observations WHERE kind = 'decision' AND importance > 0.8),

@@ -62,7 +62,10 @@ def bundle_validate(spark, d):
     return B.validate(M.observations(spark, d), M.KINDS)
 
 
-@query("s2_1_10_paged_pull")
+@query("s2_1_10_paged_pull", """WITH RECURSIVE f AS MATERIALIZED (SELECT source, lpad(doc_id::VARCHAR, 12, '0') AS name, octet_length(encode(text))::BIGINT AS size, row_number() OVER (PARTITION BY source ORDER BY lpad(doc_id::VARCHAR, 12, '0')) AS n FROM documents),
+ w AS (SELECT source, name, size, n, 0 AS page, size AS used FROM f WHERE n = 1
+  UNION ALL SELECT source, name, size, n, CASE WHEN turn THEN page + 1 ELSE page END, CASE WHEN turn THEN size ELSE used + size END FROM (SELECT f.*, w.page, w.used, w.used > 0 AND w.used + f.size > 100000 AS turn FROM w JOIN f ON f.source = w.source AND f.n = w.n + 1))
+ SELECT source, name, size, page FROM w""")
 def paged_pull(spark, d):
     f = M.table(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), F.octet_length("text").cast("long").alias("size"))
     return B.pages(f, 100_000, "source")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import scores as S
 from engramlake.functions import text as X
-from engramlake.functions import vectors as V
 from engramlake.operators import relational as R
+from engramlake.operators import retrieval as Q
 from engramlake.operators import state as W
 from engramlake.plans import model as M
 from engramlake.plans.registry import query
@@ -58,9 +58,8 @@ PAIRS = f"g AS (SELECT id, entity, {gram('content')} AS t FROM observations WHER
 
 @query("s2_11_5_merge_duplicates", f"{OBS}, {PAIRS} SELECT id, CASE WHEN id IN (SELECT lose FROM p) THEN 'superseded' ELSE kind END AS kind, round(CASE WHEN id IN (SELECT lose FROM p) THEN importance ELSE least(1.0, importance + 0.05 * (SELECT count(*) FROM p WHERE keep = id)) END, 6) AS importance FROM observations")
 def merge_duplicates(spark, d):
-    from engramlake.plans.relational import self_join
-
-    pairs = R.top(self_join(spark, d).select(F.col("a").alias("keep"), F.col("b").alias("drop")), [F.asc("keep"), F.asc("drop")], 100)
+    o = R.active(M.observations(spark, d, heavy=True)).select("id", "entity", "content")
+    pairs = R.first_pairs(o, "id", "content", 0.8, 100, within="entity").select(F.col("a").alias("keep"), F.col("b").alias("drop"))
     return W.merge_duplicates(state(spark, d), pairs).select("id", "kind", rd(F.col("importance")).alias("importance"))
 
 
@@ -111,8 +110,8 @@ def promote(spark, d):
  SELECT n.id, CASE WHEN coalesce(s, 0) >= 0.92 THEN 'reinforce' WHEN coalesce(s, 0) >= 0.75 THEN 'update' ELSE 'insert' END AS verdict FROM n LEFT JOIN b ON n.id = b.id""")
 def novelty(spark, d):
     e = M.embedded(spark, d).select("id", "entity", "v")
-    n, o = e.where("id % 10 = 0").alias("n"), e.where("id % 10 <> 0").alias("o")
-    best = n.join(o, F.col("n.entity") == F.col("o.entity")).groupBy(F.col("n.id").alias("id")).agg(rd(F.max(V.cosine(F.col("n.v"), F.col("o.v")))).alias("semantic"))
+    # below the gate's lower bound the verdict is the same as without a note
+    best = Q.cosine_band(e.where("id % 10 = 0"), "entity", 0.75, float("inf"), others=e.where("id % 10 <> 0"), best=1, each=True).select(F.col("a").alias("id"), F.col("cosine").alias("semantic"))
     return W.novelty_gate(e.where("id % 10 = 0").select("id"), best.withColumn("lexical", F.lit(0.0))).select("id", "verdict")
 
 
@@ -126,9 +125,7 @@ def parse(spark, d):
 def extraction_candidates(spark, d):
     """The pairs a judge would be asked about; without a language model no verdict follows."""
     e = M.embedded(spark, d).select("id", "entity", "v")
-    n, o = e.where("id % 10 = 0").alias("n"), e.where("id % 10 <> 0").alias("o")
-    s = rd(V.cosine(F.col("n.v"), F.col("o.v")))
-    return n.join(o, F.col("n.entity") == F.col("o.entity")).select(F.col("n.id").alias("a"), F.col("o.id").alias("b"), s.alias("similarity")).where("similarity BETWEEN 0.30 AND 0.85")
+    return Q.cosine_band(e.where("id % 10 = 0"), "entity", 0.30, 0.85, others=e.where("id % 10 <> 0")).select("a", "b", F.col("cosine").alias("similarity"))
 
 
 INC = "i AS (SELECT src, dst, 'uses' AS rtype, strength FROM trade WHERE src < 'n:15' UNION ALL SELECT src, dst, rtype, strength FROM trade WHERE dst > 'n:2')"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from engramlake.functions import text as X
 from engramlake.operators import graph as G
 from engramlake.operators import relational as R
+from engramlake.operators import retrieval as Q
 
 
 def test_cut_bytes(spark):
@@ -41,6 +42,67 @@ def test_similar_long_texts(spark):
     assert want and got == want
 
 
+def test_links_of_copies(spark):
+    """Copies hang on their class's least id, different texts are linked by these, and the first pairs are those of all."""
+    rng = random.Random(11)
+    base = ["alpha beta gamma delta", "alpha beta gamma delto", "one two three four five", "one two three four fiv", "quite another", "", None]
+    rows = [(i, f"g{i % 2}" if i % 5 else None, rng.choice(base)) for i in rng.sample(range(1000), 70)]
+    d = spark.createDataFrame(rows, "id long, grp string, t string")
+    grams = {i: frozenset(X.trigrams_of(t or "")) for i, _, t in rows}
+    least = {}
+    for i, g, _ in sorted(rows):
+        least.setdefault((g, grams[i]), i)
+    every = sorted((a, b) for a, x, _ in rows for b, y, _ in rows if a < b and x == y and grams[a] and grams[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) > 0.7)
+    reps = set(least.values())
+    want = {(a, b) for a, b in every if a in reps and b in reps} | {(least[g, grams[i]], i) for i, g, _ in rows if grams[i] and i not in reps}
+    found = [(r.a, r.b) for r in R.similar_links(d, "id", "t", 0.7, within="grp").collect()]
+    assert len(found) == len(set(found)) < len(every) and set(found) == want
+    for k in (1, 7, 40, 10_000):
+        assert sorted((r.a, r.b) for r in R.first_pairs(d, "id", "t", 0.7, k, within="grp").collect()) == every[:k]
+
+
+def test_cosine_band_in_blocks(spark):
+    """A hot group in many blocks, ties, nulls and vectors of other lengths against all pairs."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(160):
+        v = [float(rng.randint(-2, 2)) for _ in range(4)]
+        rows.append((i, rng.choice(["hot", "hot", "cold", None]), rng.choice([v, v, v, v, None, v[:3], [1.0, None, 0.0, 1.0], [0.0] * 4])))
+    d = spark.createDataFrame(rows, "id long, grp string, v array<double>")
+
+    def cosine(x, y):
+        if x is None or y is None or None in x or None in y or len(x) != len(y):
+            return 0.0
+        size = (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+        return round(sum(a * b for a, b in zip(x, y)) / size, 6) if size else 0.0
+
+    every = {(g, a, b): cosine(x, y) for a, g, x in rows for b, h, y in rows if a != b and g == h and g is not None and 0.3 <= cosine(x, y) <= 0.85}
+    for block in (7, 1000):
+        got = {(r.grp, r.a, r.b): round(r.cosine, 6) for r in Q.cosine_band(d, "grp", 0.3, 0.85, block=block).collect()}
+        assert got == {k: c for k, c in every.items() if k[1] < k[2]}
+        got = [(r.grp, r.a, r.b) for r in Q.cosine_band(d, "grp", 0.3, 0.85, best=5, block=block).collect()]
+        want = [k for g in ("hot", "cold") for k in sorted((k for k in every if k[0] == g and k[1] < k[2]), key=lambda k: (-every[k], k))[:5]]
+        assert sorted(got) == sorted(want)
+        got = {(r.grp, r.a, r.b): round(r.cosine, 6) for r in Q.cosine_band(d.where("id % 10 = 0"), "grp", 0.3, 0.85, others=d.where("id % 10 <> 0"), block=block).collect()}
+        assert got == {k: c for k, c in every.items() if k[1] % 10 == 0 and k[2] % 10}
+        got = [(r.grp, r.a, r.b) for r in Q.cosine_band(d.where("id % 10 = 0"), "grp", 0.3, 0.85, others=d.where("id % 10 <> 0"), best=2, each=True, block=block).collect()]
+        some = [k for k in every if k[1] % 10 == 0 and k[2] % 10]
+        want = [k for a in {k[1] for k in some} for k in sorted((k for k in some if k[1] == a), key=lambda k: (-every[k], k))[:2]]
+        assert sorted(got) == sorted(want)
+    none = d.where("id < 0")
+    assert not Q.cosine_band(none, "grp", 0.3, 0.85, best=5).count() and not Q.cosine_band(d, "grp", 0.3, 0.85, others=none).count()
+
+
+def test_keyset_pages_cover_all(spark):
+    names = [f"n{i % 17:02d}" for i in range(40)] + [None]
+    d = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name string").groupBy("name").agg(F.min("id").alias("id"))
+    seen, last = [], None
+    while page := R.keyset_page(d, "name", last, 5).collect():
+        seen += [r.name for r in page]
+        last = seen[-1]
+    assert seen == sorted(set(names[:-1]))
+
+
 def graph(spark, pairs):
     return spark.createDataFrame([(a, b, 0.1 + (i % 7) / 10) for i, (a, b) in enumerate(pairs)], "src string, dst string, strength double")
 
