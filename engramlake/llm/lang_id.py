@@ -26,6 +26,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CHUNK = 64
 _FIT_WORDS = 60_000
 _KNOWN_WORDS = 300_000
+#: Words whose features are worked on at once in fitting.
+_VOCAB_WORDS = 16_384
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,25 +173,36 @@ class Crf:
         labels = sorted({lang for lang, _ in rows})
         index = {x: i for i, x in enumerate(labels)}
         k = len(labels)
-        lines = []
+        seen_as: dict[str, int] = {}
+        lines = []  # words by number at once: a string for each word of the sample would fill the driver
         for i, (lang, text) in enumerate(rows):
             for j, line in enumerate((text or "").split("\n")):
                 if found := _WORD.findall(line.lower()):
-                    lines.append((j, i, index[lang], found))
+                    lines.append((j, i, index[lang], np.array([seen_as.setdefault(w, len(seen_as)) for w in found], np.int32)))
         lines.sort(key=lambda x: x[:2])  # first lines of all rows, then second lines ...
-        vocab: dict[str, int] = {}
-        ids, gold, begins = [], [], []
-        for n, (_, _, lang, found) in enumerate(lines):
-            ids += [vocab.setdefault(w, len(vocab)) for w in found]
-            gold += [lang] * len(found)
-            begins += [n % 16 == 0] + [False] * (len(found) - 1)
         weights, trans, init = np.zeros((n_buckets, k)), np.zeros((k, k)), np.zeros(k)
-        if not ids or k < 2:
+        if not lines or k < 2:
             return cls(labels, weights, trans, init)
-        ids, gold, begins = np.array(ids), np.array(gold), np.array(begins)
-        code, off = features(list(vocab), n_buckets)
-        share = 1.0 / np.diff(off)
-        word = np.repeat(np.arange(len(vocab)), np.diff(off))
+        size = np.array([len(x) for *_, x in lines])
+        ids = np.concatenate([x for *_, x in lines])
+        gold = np.repeat(np.array([lang for _, _, lang, _ in lines], np.int32), size)
+        begins = np.zeros(len(ids), bool)
+        begins[(np.cumsum(size) - size)[::16]] = True
+        del lines
+        order = np.argsort(np.unique(ids, return_index=True)[1])  # words by first place
+        words = list(seen_as)
+        vocab = [words[i] for i in order.tolist()]
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        ids = number[ids]
+        del seen_as, words
+        cuts = [*range(0, len(vocab), _VOCAB_WORDS), len(vocab)]
+        slabs = [features(vocab[a:b], n_buckets) for a, b in zip(cuts, cuts[1:])]
+        slabs = [(c.astype(np.int32), o) for c, o in slabs]
+        code = np.concatenate([c for c, _ in slabs])
+        width = np.concatenate([np.diff(o) for _, o in slabs])
+        share = 1.0 / width
+        word = np.repeat(np.arange(len(vocab), dtype=np.int32), width)
         seen = np.zeros((len(vocab), k))
         np.add.at(seen, (ids, gold), 1)
         inner = ~begins[1:]
@@ -198,12 +211,12 @@ class Crf:
         gold_first = np.bincount(gold[begins], minlength=k)
         acc = [np.full_like(x, 1e-8) for x in (weights, trans, init)]
         starts = np.flatnonzero(begins)
-        cuts = [*starts[np.searchsorted(starts, np.arange(0, len(ids), _FIT_WORDS))[: -(-len(ids) // _FIT_WORDS)].clip(max=len(starts) - 1)], len(ids)]
-        cuts = sorted(set(cuts))
+        runs = [*starts[np.searchsorted(starts, np.arange(0, len(ids), _FIT_WORDS))[: -(-len(ids) // _FIT_WORDS)].clip(max=len(starts) - 1)], len(ids)]
+        runs = sorted(set(runs))
         for _ in range(epochs):
-            emit = np.add.reduceat(weights[code], off[:-1], axis=0) * share[:, None]
+            emit = np.concatenate([np.add.reduceat(weights[c], o[:-1], axis=0) for c, o in slabs]) * share[:, None]
             expected, pairs, firsts = np.zeros((len(vocab), k)), np.zeros((k, k)), np.zeros(k)
-            for a, b in zip(cuts, cuts[1:]):  # whole chains, a bounded number of words at a time
+            for a, b in zip(runs, runs[1:]):  # whole chains, a bounded number of words at a time
                 gamma, p, f, _ = marginals(emit[ids[a:b]], begins[a:b], trans, init)
                 expected += np.stack([np.bincount(ids[a:b], gamma[:, j], len(vocab)) for j in range(k)], 1)
                 pairs, firsts = pairs + p, firsts + f
