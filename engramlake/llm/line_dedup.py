@@ -29,7 +29,7 @@ MIN_CHARS = 40
 #: Positions in a chunk of the suffix array.
 CHUNK_ROWS = 50_000
 #: Rows in a range of a running sum.
-RANGE_ROWS = 200_000
+RANGE_ROWS = 1_000_000
 
 _KEY = ["d", "h"]
 _PLACE = "d long, h long, pos long"
