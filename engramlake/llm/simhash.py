@@ -226,14 +226,17 @@ def link_fingerprints(distinct: DataFrame, runs: list[Run], most: int, partition
 
 SIMILARITY = 0.8
 STAGE_SHINGLE = 5
-#: Share of the pairs just at the similarity that meet at an anchor; pairs above it meet more often.
+#: Share of the pairs just at the similarity that meet in a band; pairs above it meet more often.
 RECALL = 0.997
-#: Fingerprints that a fingerprint may meet by chance at the anchors of one run.
-CHANCE = 8192
-#: Words of a fingerprint that a copy carries, and the standard deviations of slack in comparing these and all words.
-CARRIED, SLACK, WHOLE_SLACK = 2, 3.5, 4.5
+#: Minima that make the key of one band: sets of similarity s share a key with probability s^BAND_ROWS.
+BAND_ROWS = 8
+#: Words of a fingerprint, and the standard deviations of slack in comparing them.
+WORDS, SLACK = 3, 4.5
 #: Shingles of a cluster that are compared in one block; the blocks of a larger cluster meet two by two.
 BLOCK_SHINGLES = 2_000_000
+#: Keys that one task brings together.
+BAND_KEYS = 1_000_000
+_MINIMA_AT_ONCE = 512
 
 
 def flips(similarity: float) -> float:
@@ -241,37 +244,81 @@ def flips(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def meeting(width: int, p: float) -> float:
-    """Share of the pairs that differ in at most one bit of a run of ``width`` bits, each flipped with probability ``p``."""
-    return (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+def bands(similarity: float = SIMILARITY) -> int:
+    """Bands that ``RECALL`` needs, whatever the number of texts."""
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - similarity**BAND_ROWS))
 
 
-def stage_runs(n: int, similarity: float = SIMILARITY) -> tuple[list[Run], int]:
-    """(runs, number of words) for ``n`` fingerprints: runs as short as chance meetings allow, as many as ``RECALL`` needs."""
-    width = 15
-    while width < 31 and n * (width + 1) / 2**width > CHANCE:
-        width += 1
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - meeting(width, flips(similarity))))
-    each = 64 // width
-    words = max(-(-count // each), CARRIED + 1)
-    return [Run(CoveringCode(k % each * width, width, 1), k // each, tuple((k // each + 1 + j) % words for j in range(CARRIED))) for k in range(count)], words
+def band_keys(hashes: np.ndarray, count: int) -> np.ndarray:
+    """``count`` keys of a set that isn't empty, each of the minima of the set under ``BAND_ROWS`` hash functions."""
+    k = np.arange(count * BAND_ROWS, dtype=np.uint64)
+    times, plus = (mix64(2 * k + np.uint64(99991)) | np.uint64(1)).astype(np.uint32), mix64(2 * k + np.uint64(1299710)).astype(np.uint32)
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(k), np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(x), _MINIMA_AT_ONCE):
+        np.minimum(least, (x[i : i + _MINIMA_AT_ONCE, None] * times + plus).min(0), out=least)
+    keys = np.arange(1, count + 1, dtype=np.uint64)
+    for row in least.reshape(count, BAND_ROWS).T:
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + row)
+    return keys.view(np.int64)
 
 
-def shingle_sketches(rows: DataFrame, words: int, shingle: int) -> DataFrame:
-    """(row, d0, d1, n, w0, w1 ...) of (row, text): 128-bit digest, size and fingerprint of the set of shingles."""
+def shingle_sketches(rows: DataFrame, words: int, shingle: int, count: int) -> DataFrame:
+    """(row, d0, d1, n, w0, w1 ..., keys) of (row, text): 128-bit digest, size, fingerprint and ``count`` band keys of the set
+    of shingles; an empty set has no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
+            out, keys = [], []
             for t in batch.column(1).to_pylist():
                 h = np.unique(shingle_hashes(lower_words(t), shingle))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
                 out.append([*digest.tolist(), len(h), *(np.uint64(fingerprint(mix64(h + np.uint64(k)))).view(np.int64) for k in range(words))])
+                keys.append(band_keys(h, count) if len(h) else np.empty(0, np.int64))
             cols = np.array(out, np.int64).reshape(len(out), words + 3).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols)],
-                                             names=["row", "d0", "d1", "n", *(f"w{k}" for k in range(words))])
+            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols), lists],
+                                             names=["row", "d0", "d1", "n", *(f"w{k}" for k in range(words)), "keys"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, d0 long, d1 long, n long" + "".join(f", w{k} long" for k in range(words)))
+    kind = "row long, d0 long, d1 long, n long" + "".join(f", w{k} long" for k in range(words)) + ", keys array<long>"
+    return rows.select("row", "text").mapInArrow(run, kind)
+
+
+def band_links(keyed: DataFrame, partitions: int) -> DataFrame:
+    """Edges (a, b) from each row of (node, keys) to the least node that shares a key with it, for each key.
+
+    Rows of one batch that share a key are linked there and only their least node goes on, so a key that many rows
+    share sends one row a batch."""
+
+    def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        first = first_of_runs(key)
+        return first, node, node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else node
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            key = lists.flatten().to_numpy()
+            node = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            first, node, least = stars(key, node)
+            # a link that is already found rides with its node, an entry of a key with the key
+            deals = np.where(first, np.sort(key), mix64(node).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(deals), pa.array(node), pa.array(least), pa.array(first)], names=["key", "node", "least", "entry"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        key, node, least, entry = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        first, met, low = stars(key[entry], node[entry])
+        edges = np.stack([np.concatenate([node[~entry], met[~first]]), np.concatenate([least[~entry], low[~first]])], 1)
+        edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], names=["a", "b"])
+
+    dealt = keyed.select("node", "keys").mapInArrow(deal, "key long, node long, least long, entry boolean")
+    return dealt.repartition(partitions, "key").mapInArrow(meet, "a long, b long")
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -363,20 +410,16 @@ def confirmed_links(clusters: DataFrame, rows: DataFrame, words: int, most: int,
     return found
 
 
-def link_texts(classes: DataFrame, rows: DataFrame, runs: list[Run], words: int, similarity: float, shingle: int, partitions: int) -> DataFrame:
+def link_texts(classes: DataFrame, keyed: DataFrame, rows: DataFrame, words: int, similarity: float, shingle: int, partitions: int) -> DataFrame:
     """Edges (a, b) between nodes of ``classes`` (node, n, w0, w1 ...) whose texts in ``rows`` (row, text) are similar, enough
-    to connect all similar pairs that met at an anchor.
+    to connect all similar pairs that share a key in ``keyed`` (node, keys).
 
-    Fingerprints that meet at an anchor and are near by the words they carry make clusters; within a cluster the whole
-    fingerprints and then the sets themselves are compared."""
-    p = flips(similarity)
-
-    def bound(bits: int, slack: float) -> int:
-        return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
-
-    roots = materialize(components(link_fingerprints(classes, runs, bound(64 * CARRIED, SLACK), partitions), "clusters"), "clusters")
+    Texts that share a key make clusters; within a cluster the fingerprints and then the sets themselves are compared."""
+    p, bits = flips(similarity), 64 * words
+    most = math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
+    roots = materialize(components(band_links(keyed, partitions), "clusters"), "clusters")
     clusters = classes.join(roots, "node").select("node", "root", "n", *(f"w{k}" for k in range(words)))
-    return confirmed_links(clusters, rows, words, bound(64 * words, WHOLE_SLACK), similarity, shingle)
+    return confirmed_links(clusters, rows, words, most, similarity, shingle)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE,
@@ -385,9 +428,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingl
     (null ids come last, then the earlier row).
 
     Two documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
-    more and their SimHash fingerprints over these sets meet at an anchor; links are followed.  Every pair that meets
-    is confirmed by its exact similarity, so no other documents are linked.  Pairs meet with a probability of
-    ``RECALL`` just at ``similarity`` and more above it; equal sets always do.  Texts of fewer words are one shingle.
+    more and these sets share the key of a band of minima; links are followed.  Every link is confirmed by its exact
+    similarity, so no other documents are linked.  Pairs meet with a probability of ``RECALL`` just at ``similarity``
+    and more above it; equal sets always do.  A row costs a fixed number of keys, and texts that have little in common
+    don't meet, so the work grows with the rows.  Texts of fewer words are one shingle.
     Null and empty texts are one group.  Rows are numbered once and stored with their numbers, as another read
     may deal them otherwise.
     """
@@ -395,16 +439,17 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingl
     numbered = materialize(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
     doc, text = (names[docs.columns.index(c)] for c in (doc_col, text_col))
     n = max(1, numbered.count())
-    runs, words = stage_runs(n, similarity)
+    count = bands(similarity)
     rows = numbered.select("row", F.col(text).alias("text"))
-    sketches = materialize(shingle_sketches(rows, words, shingle), "sketches")
-    prints = [f"w{k}" for k in range(words)]
+    sketches = materialize(shingle_sketches(rows, WORDS, shingle, count), "sketches")
+    prints = [f"w{k}" for k in range(WORDS)]
     order = F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), "row")
-    keyed = sketches.join(numbered.select("row", doc), "row")
-    classes = keyed.groupBy("d0", "d1").agg(F.min(order).alias("first"), *(F.min(c).alias(c) for c in ("n", *prints)))
+    named = sketches.drop("keys").join(numbered.select("row", doc), "row")
+    classes = named.groupBy("d0", "d1").agg(F.min(order).alias("first"), *(F.min(c).alias(c) for c in ("n", *prints)))
     classes = materialize(classes.select(F.col("first.row").alias("node"), F.col("first.none").alias("none"), F.col("first.doc").alias("doc"), "n", *prints), "classes")
-    partitions = int(max(24, n * len(runs) * 8 // 2_000_000))
-    roots = components(link_texts(classes, rows, runs, words, similarity, shingle, partitions), "near")
+    keyed = sketches.select(F.col("row").alias("node"), "keys").join(classes.select("node"), "node", "left_semi")
+    partitions = int(max(24, n * count // BAND_KEYS))
+    roots = components(link_texts(classes, keyed, rows, WORDS, similarity, shingle, partitions), "near")
     placed = classes.join(roots, "node", "left").select("node", "none", "doc", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min(F.struct("none", "doc", "node")).alias("first")).select(F.col("first.node").alias("row"))
     # narrow rows tell which go; these are few as a rule, and then texts needn't be dealt anew to be left out

@@ -237,6 +237,29 @@ def test_near_duplicate_stage_links_exactly_the_similar(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(group.values()))
 
 
+def test_near_duplicate_candidates_grow_with_the_rows(spark):
+    """Unrelated sets don't meet, however many they are; pairs just at the similarity do, and a shared key gives stars."""
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    count = simhash.bands()
+
+    def keys(h):
+        return simhash.band_keys(np.unique(h), count)
+
+    met = 0
+    for n in (9, 45, 90, 450) * 100:
+        h = rng.integers(0, 1 << 63, n * 10 // 9, dtype=np.uint64)
+        met += bool((keys(h[:n]) == keys(h[len(h) - n :])).any())  # 8 of 10, in each size
+    assert met >= 390
+    alone = [(i, keys(rng.integers(0, 1 << 63, 60, dtype=np.uint64)).tolist()) for i in range(4000)]
+    d = spark.createDataFrame(alone, "node long, keys array<long>").repartition(5)
+    assert simhash.band_links(d, 3).count() == 0
+    hot = spark.createDataFrame([(i, [7, 100 + i // 2]) for i in range(500)], "node long, keys array<long>").repartition(5)
+    links = {(r.a, r.b) for r in simhash.band_links(hot, 3).collect()}
+    assert len(links) <= 1500 and {a for a, _ in links} == set(range(1, 500)) and all(a > b for a, b in links)
+
+
 def test_near_duplicate_stage_survives_another_dealing_of_files(spark):
     from engramlake.llm.common import materialize
 
