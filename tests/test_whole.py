@@ -61,6 +61,29 @@ def test_links_of_copies(spark):
         assert sorted((r.a, r.b) for r in R.first_pairs(d, "id", "t", 0.7, k, within="grp").collect()) == every[:k]
 
 
+def test_similar_sets_in_blocks(spark, monkeypatch):
+    """Blocks of few sets, few grams as bits and few first rows give the same pairs, characters of any width included; pairs
+    are compared without sending a set for each."""
+    rng = random.Random(12)
+    letters = "abcdeéßж漢𝒳"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(60)]
+    rows = []
+    for k in range(60):
+        base = rng.choices(vocabulary, k=rng.randint(1, 60))
+        rows += [(3 * k + v, rng.choice(["x", None]), " ".join(base + rng.choices(vocabulary, k=v * len(base) // 12))) for v in range(3)]
+    d = spark.createDataFrame(rows, "id long, grp string, t string")
+    grams = {r.id: frozenset(r.g) for r in d.select("id", X.trigrams(F.col("t")).alias("g")).collect()}
+    every = sorted((a, b) for a, x, _ in rows for b, y, _ in rows if a < b and x == y and grams[a] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) > 0.7)
+    assert len(every) > 20
+    for block, dense, lead in ((16_384, 4096, 16), (7, 64, 1), (20, 3, 1)):
+        for name, value in (("BLOCK_SETS", block), ("DENSE_GRAMS", dense), ("LEAD_WORDS", lead), ("FIRST_ROWS", block)):
+            monkeypatch.setattr(R, name, value)
+        found = [(r.a, r.b) for r in R.similar_names(d, "id", "t", 0.7, within="grp").collect()]
+        assert sorted(found) == every
+        for k in (3, 10_000):
+            assert [(r.a, r.b) for r in R.first_pairs(d, "id", "t", 0.7, k, within="grp").collect()] == every[:k]
+
+
 def test_cosine_band_in_blocks(spark):
     """A hot group in many blocks, ties, nulls and vectors of other lengths against all pairs."""
     rng = random.Random(13)
