@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from engramlake.functions import scores as S
 from engramlake.lineage import cut, discard
@@ -204,48 +205,107 @@ def betweenness(edges: DataFrame, partitions: int = 32) -> DataFrame:
     """(node, score): shortest-path betweenness over ordered sources on the undirected multigraph, divided by
     (n-1)(n-2)/2, so that scores reach 2.
 
-    Sources are spread over tasks; the adjacency is broadcast after its size was checked, and larger graphs are
-    refused: the algorithm costs nodes times edges, so it isn't meant for them."""
+    Trees that hang on the graph are folded into the node they hang on: all paths between two branches of a node pass
+    it, so these are counted by sizes, and only the nodes that are left are sources, weighted by what they hold.  Sources are
+    spread over tasks; the adjacency is broadcast after its size was checked, and larger graphs are refused: the
+    algorithm costs nodes times edges of what is left, so it isn't meant for them."""
     e = cut(edges.select("src", "dst"), "edges")
     if e.limit(MAX_BROADCAST_EDGES + 1).count() > MAX_BROADCAST_EDGES:
         raise ValueError(f"betweenness takes graphs of up to {MAX_BROADCAST_EDGES} edges")
-    adjacency: dict = {}
+    number: dict = {}
+    adjacency: list[dict] = []
     for a, b in e.collect():
-        adjacency.setdefault(a, []).append(b)
-        adjacency.setdefault(b, []).append(a)
-    shared = edges.sparkSession.sparkContext.broadcast(adjacency)
-    kind = edges.schema["src"].dataType.simpleString()
+        for x in (a, b):
+            if x not in number:
+                number[x] = len(adjacency)
+                adjacency.append({})
+        i, j = number[a], number[b]
+        if i != j:
+            adjacency[i][j] = adjacency[i].get(j, 0) + 1
+            adjacency[j][i] = adjacency[j].get(i, 0) + 1
+    n = len(adjacency)
+    weight, branches = _fold(adjacency)
+    size = _component_sizes(adjacency, weight, branches)
+    own = [0.0] * n
+    for v, below in enumerate(branches):
+        rest = size[v] - weight[v]
+        own[v] = float((size[v] - 1) ** 2 - sum(weight[c] ** 2 for c in below) - rest**2) if below else 0.0
+    kept = [v for v in range(n) if adjacency[v]]
+    shared = edges.sparkSession.sparkContext.broadcast(({v: list(adjacency[v].items()) for v in kept}, {v: weight[v] for v in kept}))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
-        graph = shared.value
+        graph, held = shared.value
         for p in parts:
-            for source in p["node"]:
+            for source in p["node"].tolist():
                 reached, ways, before = {source: 0}, {source: 1.0}, {}
                 order, queue = [], deque([source])
                 while queue:
                     v = queue.popleft()
                     order.append(v)
-                    for w in graph.get(v, ()):
+                    for w, times in graph[v]:
                         if w not in reached:
                             reached[w] = reached[v] + 1
                             queue.append(w)
                         if reached[w] == reached[v] + 1:
-                            ways[w] = ways.get(w, 0.0) + ways[v]
-                            before.setdefault(w, []).append(v)
+                            ways[w] = ways.get(w, 0.0) + ways[v] * times
+                            before.setdefault(w, []).append((v, times))
                 share: dict = {}
                 for w in reversed(order):
-                    for v in before.get(w, ()):
-                        share[v] = share.get(v, 0.0) + ways[v] / ways[w] * (1 + share.get(w, 0.0))
+                    for v, times in before.get(w, ()):
+                        share[v] = share.get(v, 0.0) + ways[v] * times / ways[w] * (held[w] + share.get(w, 0.0))
                     if w != source and share.get(w):
-                        total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame({"node": pd.Series(list(total), dtype=object), "score": pd.Series(list(total.values()), dtype=float)})
+                        total[w] = total.get(w, 0.0) + held[source] * share[w]
+        yield pd.DataFrame({"node": pd.Series(list(total), dtype="int64"), "score": pd.Series(list(total.values()), dtype=float)})
 
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    n = len(adjacency)
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType
     scale = (n - 1) * (n - 2) / 2 if n > 2 else 1.0
-    summed = nodes.repartition(partitions, "node").mapInPandas(run, f"node {kind}, score double").groupBy("node").agg(F.sum("score").alias("score"))
-    return summed.select("node", (F.col("score") / scale).alias("score"))
+    sources = spark.createDataFrame([(v,) for v in kept], "node long").repartition(partitions, "node")
+    passed = sources.mapInPandas(run, "node long, score double")
+    folded = spark.createDataFrame([(v, own[v]) for v in range(n) if own[v]], "node long, score double")
+    summed = passed.union(folded).groupBy("node").agg(F.sum("score").alias("score"))
+    names = spark.createDataFrame([(i, x) for x, i in number.items()], StructType([StructField("i", LongType()), StructField("name", kind)]))
+    return summed.join(names, summed.node == names.i).select(F.col("name").alias("node"), (F.col("score") / scale).alias("score"))
+
+
+def _fold(adjacency: list[dict]) -> tuple[list[int], list[list[int]]]:
+    """(weight, branches) of each node, itself and all folded below it counted; nodes with one neighbour, again and again,
+    are taken out of ``adjacency`` and become branches of that neighbour."""
+    weight, branches = [1] * len(adjacency), [[] for _ in adjacency]
+    ends = deque(v for v, near in enumerate(adjacency) if len(near) == 1)
+    while ends:
+        v = ends.popleft()
+        if len(adjacency[v]) != 1:  # its last neighbour was folded into it
+            continue
+        (up,) = adjacency[v]
+        adjacency[v].clear()
+        del adjacency[up][v]
+        weight[up] += weight[v]
+        branches[up].append(v)
+        if len(adjacency[up]) == 1:
+            ends.append(up)
+    return weight, branches
+
+
+def _component_sizes(adjacency: list[dict], weight: list[int], branches: list[list[int]]) -> list[int]:
+    """Nodes of each node's connected part, of a graph that :func:`_fold` has folded."""
+    size = [0] * len(adjacency)
+    below = {c for b in branches for c in b}
+    for root in range(len(adjacency)):
+        if size[root] or root in below:
+            continue
+        part, queue = {root}, [root]
+        while queue:
+            for w in adjacency[queue.pop()]:
+                if w not in part:
+                    part.add(w)
+                    queue.append(w)
+        total, queue = sum(weight[v] for v in part), list(part)
+        while queue:
+            v = queue.pop()
+            size[v] = total
+            queue.extend(branches[v])
+    return size
 
 
 def connected(edges: DataFrame, most: int = 60) -> DataFrame:

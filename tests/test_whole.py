@@ -142,6 +142,44 @@ def test_page_rank_is_one(spark, monkeypatch):
         assert abs(sum(here.values()) - 1) < 1e-9
 
 
+def test_betweenness_folds_trees(spark):
+    """Trees, a cycle, repeated edges, a loop and several parts against counting all paths; a star of many leaves is one fold."""
+    rng = random.Random(8)
+    pairs = [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(14)] + [("n1", "n2"), ("n1", "n2"), ("n0", "n0"), ("x", "y"), ("y", "z"), ("z", "w"), ("z", "z2")]
+    pairs += [(f"t{i}", f"t{rng.randrange(i)}" if i % 3 else f"n{i % 9}") for i in range(1, 14)] + [("t0", "n3"), ("t4", "t0"), ("t5", "n2"), ("t5", "n2")]
+    near = {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, []).append(y)
+
+    def ways(s):
+        d, count, level = {s: 0}, {s: 1}, [s]
+        while level:
+            following = {}
+            for v in level:
+                for w in near[v]:
+                    if w not in d:
+                        following[w] = following.get(w, 0) + count[v]
+            d.update({w: d[level[0]] + 1 for w in following})
+            count.update(following)
+            level = list(following)
+        return d, count
+
+    found = {s: ways(s) for s in near}
+    want = {}
+    for s, (d, c) in found.items():
+        for t in d:
+            for v in d:
+                dv, cv = found[v]
+                if len({s, t, v}) == 3 and d[v] + dv[t] == d[t]:
+                    want[v] = want.get(v, 0.0) + c[v] * cv[t] / c[t]
+    n = len(near)
+    got = {r.node: r.score for r in G.betweenness(graph(spark, pairs), 3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v] / ((n - 1) * (n - 2) / 2)) < 1e-9 for v in want)
+    star = spark.range(30_000).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))
+    assert [(r.node, round(r.score, 9)) for r in G.betweenness(star).collect()] == [(-1, 2.0)]
+
+
 def test_distances_of_a_long_chain(spark):
     e = graph(spark, [(f"c{i}", f"c{i + 1}") for i in range(56)])
     d = {r.node: r.d for r in G.distances(e, spark.createDataFrame([("c0",)], "node string")).collect()}
