@@ -84,6 +84,70 @@ def test_similar_sets_in_blocks(spark, monkeypatch):
             assert [(r.a, r.b) for r in R.first_pairs(d, "id", "t", 0.7, k, within="grp").collect()] == every[:k]
 
 
+def test_first_pairs_store_no_sets(spark, monkeypatch):
+    """Where the least rows have the pairs asked for, no row's set is stored; tasks keep the first pairs only, in groups, parts
+    and orders of any kind, and rows of many grams are not held."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choices("abcdeéßж漢𝒳İ\u0301_", k=rng.randint(1, 6))) for _ in range(40)]
+    rows = []
+    for _ in range(25):
+        base = rng.choices(vocabulary, k=rng.randint(1, 40))
+        rows += [(rng.choice(["x", "y", None]), " ".join(base + rng.choices(vocabulary, k=v * len(base) // 14)).upper()) for v in (0, 0, 0, 1, 2)]
+    rows = [(f"k{i:03d}", g, t) for i, (g, t) in enumerate(rng.sample(rows + [("x", ""), ("x", None), (None, "...")], len(rows) + 3))]
+    d = spark.createDataFrame(rng.sample(rows, len(rows)) + [(None, "x", rows[5][2])], "id string, grp string, t string").repartition(3)
+    grams = {r.id: frozenset(r.g or []) for r in d.select("id", X.trigrams(F.col("t")).alias("g")).collect()}
+    every = sorted((a, b) for a, x, _ in rows for b, y, _ in rows if a < b and x == y and grams[a] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) > 0.7)
+
+    def first(k):
+        return [(r.a, r.b) for r in R.first_pairs(d, "id", "t", 0.7, k, within="grp").collect()]
+
+    whole = R._signed_classes
+    monkeypatch.setattr(R, "_signed_classes", None)
+    monkeypatch.setattr(R, "FIRST_ROWS", 2)
+    blank = spark.createDataFrame([(0, None), (1, "..."), (2, None), (3, "ab cd"), (4, ""), (5, "cd ab")], "i long, t string")
+    assert [tuple(r) for r in R.first_pairs(blank, "i", "t", 0.7, 3).collect()] == [(3, 5)]
+    for least, part, k in ((1024, 100, 10_000), (20, 1, 5), (4, 100, 12)):
+        monkeypatch.setattr(R, "FIRST_ROWS", least)
+        monkeypatch.setattr(R, "PART_BYTES", part)
+        assert first(k) == every[:k] and len(every) > 40
+    monkeypatch.setattr(R, "_signed_classes", whole)
+    for most, k in ((0, 30), (300, 10_000)):
+        monkeypatch.setattr(R, "FIRST_GRAMS", most)
+        assert first(k) == every[:k]
+    assert not R.first_pairs(d.where("id < ''"), "id", "t", 0.7, 3, within="grp").count()
+
+
+def test_grams_of_texts(spark):
+    """Sets that tasks take apart are those of the expression, whatever the letters."""
+    rng = random.Random(15)
+    texts = ["", " ", "a", "A b", "...", "İıK\u0301x", "x_y-z", "a\nb\0c", "𝒳𝒳 y"] + ["".join(rng.choices(range_, k=rng.randint(0, 60))) for range_ in ("aB c.é", "ab漢ж 𝒳\u0903²Ⅷ", "".join(map(chr, range(1, 0x3000))) + " " * 4000) for _ in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.lower("t").alias("low"), X.trigrams(F.col("t")).alias("g")).orderBy("i").collect()
+    flat, sizes = R._text_codes([r.low for r in d], R._of_words(X.letters(spark)))
+    flat = [chr(c >> 42) + chr(c >> 21 & 0x1FFFFF) + chr(c & 0x1FFFFF) for c in flat.tolist()]
+    for r, n in zip(d, sizes.tolist()):
+        assert sorted(r.g) == sorted(flat[:n])
+        flat = flat[n:]
+    assert not flat
+
+
+def test_merge_without_entity(spark, tmp_path):
+    """Notes of no entity have no duplicates, as in the SQL."""
+    import duckdb
+
+    from engramlake.plans import registry
+
+    registry.load()
+    rows = [(i, f"the same text {i // 4}", "en", None if i % 2 else "src0", 15) for i in range(1, 13)] + [(14, None, "en", "src0", None), (15, "", None, "src0", 0)]
+    for name, schema, of in (("documents", "doc_id long, text string, lang string, source string, n_chars long", rows), ("labels", "doc_id long, quality int, toxic int", [(3, 1, 0)])):
+        spark.createDataFrame(of, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["s2_11_5_merge_duplicates"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["s2_11_5_merge_duplicates"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and any(r[1] == "superseded" for r in want)
+
+
 def test_cosine_band_in_blocks(spark):
     """A hot group in many blocks, ties, nulls and vectors of other lengths against all pairs."""
     rng = random.Random(13)
